@@ -74,6 +74,15 @@ def sorted_json(columns: Sequence[str]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 
 
+def utc_iso(run_time: Column) -> Column:
+    """ISO text of a run's time stamp, which is a parameter of the run and not the clock of a task."""
+    return F.date_format(F.to_utc_timestamp(run_time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def utc_day(run_time: Column) -> Column:
+    return F.date_format(F.to_utc_timestamp(run_time, F.current_timezone()), "yyyy-MM-dd")
+
+
 def storage_refs(document: Column, bucket: str, object_name: Column, stored_at: Column) -> Column:
     """Where a document is stored, with the size and md5 of its JSON text."""
     return F.struct(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfspark.functions.text import price_label, sku_label
-from shelfspark.operators.neighbours import Cells, nearest
+from shelfspark.operators.neighbours import PackedIndex, nearest
 from shelfspark.operators.ranking import paged_lists
 
 # The acceptance threshold, the number of matches looked at, and the reply messages.
@@ -15,9 +15,8 @@ MESSAGE_NONE = "Không tìm thấy sản phẩm nào trong ảnh"
 MESSAGE_OK = "Thành công"
 
 
-def reply_columns(payload: DataFrame) -> list[Column]:
+def reply_columns() -> list[Column]:
     """Name, price, sku and platform with the defaults of the reply; a null price is 0.0 and flagged."""
-    del payload
     return [
         F.coalesce("name", F.lit("Unknown Product")).alias("name"),
         F.coalesce(F.col("price"), F.lit(0.0)).alias("price"),
@@ -30,16 +29,16 @@ def reply_columns(payload: DataFrame) -> list[Column]:
 def describe_matches(matches: DataFrame, payload: DataFrame) -> DataFrame:
     """Matches with the reply columns of their point; ``payload`` is keyed by ``point_id``."""
     joined = matches.join(payload.select("point_id", "name", "price", "sku", "platform"), "point_id")
-    return joined.select(*matches.columns, *reply_columns(payload))
+    return joined.select(*matches.columns, *reply_columns())
 
 
-def cart_items(detections: DataFrame, index: DataFrame, payload: DataFrame, accept: float = ACCEPT,
-               cells: Cells | None = None) -> DataFrame:
+def cart_items(detections: DataFrame, index: DataFrame | PackedIndex, payload: DataFrame,
+               accept: float = ACCEPT) -> DataFrame:
     """One item per detection whose best match scores above ``accept``; equal products stay separate items.
 
     ``detections`` has ``cart_id, query_id, vector``, with a null or empty vector where embedding failed.
     """
-    best = nearest(detections, index, k=1, threshold=accept, cells=cells)
+    best = nearest(detections, index, k=1, threshold=accept)
     matched = detections.select("cart_id", "query_id").join(best.drop("match_rank"), "query_id")
     return describe_matches(matched, payload)
 

@@ -218,14 +218,14 @@ def normalize_images(df: DataFrame, limit: int = MAX_SIDE, state_col: str = "sta
     return out.drop("target_height", "target_width")
 
 
-def fit_mask(mask: bytes, mask_height: int, mask_width: int, height: int, width: int) -> np.ndarray:
-    """0/1 mask brought to the image size by its nearest pixels."""
-    plane = np.frombuffer(mask, np.uint8).reshape(mask_height, mask_width)
+def fit_mask(mask: bytes, mask_height: int, mask_width: int, height: int, width: int, unit: int = 1) -> np.ndarray:
+    """Mask brought to the image size by its nearest pixels; a pixel counts from the value ``unit`` on."""
+    plane = np.frombuffer(mask, np.uint8).reshape(mask_height, mask_width) >= unit
     if (mask_height, mask_width) == (height, width):
-        return plane != 0
+        return plane
     rows = ((np.arange(height) + 0.5) * mask_height / height).astype(int)
     columns = ((np.arange(width) + 0.5) * mask_width / width).astype(int)
-    return plane[np.ix_(rows, columns)] != 0
+    return plane[np.ix_(rows, columns)]
 
 
 def crop(image: np.ndarray, box: list[int], mask: np.ndarray | None) -> np.ndarray:
@@ -237,14 +237,14 @@ def crop(image: np.ndarray, box: list[int], mask: np.ndarray | None) -> np.ndarr
 
 
 def decode_mask(mask_base64: Column) -> Column:
-    """Bytes of a transported mask; null where the text is no base64."""
+    """Bytes of a transported mask, of which 255 is foreground; null where the text is no base64."""
     return F.try_to_binary(mask_base64, F.lit("base64"))
 
 
-def crop_objects(images: DataFrame, detections: DataFrame) -> DataFrame:
+def crop_objects(images: DataFrame, detections: DataFrame, mask_unit: int = 1) -> DataFrame:
     """Cut every detection out of its image; boxes are cut to the image and empty ones dropped.
 
-    ``detections`` may carry ``mask`` (0/1 bytes) with ``mask_height`` and ``mask_width``, the
+    ``detections`` may carry ``mask`` (0/1 bytes, or 0/255 with ``mask_unit=255``) with ``mask_height`` and ``mask_width``, the
     image size being assumed where these are missing; a mask that does not fit is ignored, and ``mask_applied`` tells.
     """
     names = detections.columns
@@ -260,7 +260,8 @@ def crop_objects(images: DataFrame, detections: DataFrame) -> DataFrame:
     def step(image: np.ndarray, row: dict) -> np.ndarray:
         applied = None
         if row["mask_applied"]:
-            applied = fit_mask(row["mask"], int(row["mask_height"]), int(row["mask_width"]), *image.shape[:2])
+            applied = fit_mask(row["mask"], int(row["mask_height"]), int(row["mask_width"]),
+                               *image.shape[:2], mask_unit)
         return crop(image, [int(v) for v in row["box"]], applied)
 
     extra = {"box": F.col("box"), "mask_applied": F.col("mask_applied"), "mask": mask,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfspark.functions.text import IMAGE_EXTENSIONS, base_name, extension, normalize_path
+from shelfspark.operators.upsert import overlay
 
 
 def spread_nulls(key: Column) -> Column:
@@ -60,6 +61,15 @@ def join_paths(df: DataFrame, paths: DataFrame, path_column: str, key: str = "pr
     return df.withColumn("_key", spread_nulls(F.col(key).cast("string"))).join(single, "_key", "left").drop("_key")
 
 
+def merge_open(older: Column, newer: Column) -> Column:
+    """Two open records (variant objects) in one: every key of ``newer`` wins, those with a null value too."""
+    def fields(record: Column) -> Column:
+        return F.coalesce(F.try_variant_get(record, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+    kept = F.map_filter(fields(older), lambda key, _: ~F.map_contains_key(fields(newer), key))
+    return F.to_variant_object(F.map_concat(kept, fields(newer)))
+
+
 def enrich(listing: DataFrame, detail: DataFrame, structured: DataFrame, key: str = "id") -> DataFrame:
     """Listing rows enriched by the detail record, else by structured page data, else left alone.
 
@@ -70,7 +80,7 @@ def enrich(listing: DataFrame, detail: DataFrame, structured: DataFrame, key: st
     d = detail.select(key, *[F.col(c).alias(f"_d_{c}") for c in fields], F.lit(True).alias("_has_detail"))
     s = structured.select(key, F.col("ld_json").alias("_ld"))
     joined = listing.join(d, key, "left").join(s, key, "left")
-    merged = {c: F.coalesce(f"_d_{c}", c) if c in listing.columns else F.col(f"_d_{c}") for c in fields}
+    merged = {c: overlay(F.col(f"_d_{c}"), F.col(c)) if c in listing.columns else F.col(f"_d_{c}") for c in fields}
     by_page = F.col("_has_detail").isNull() & F.col("_ld").isNotNull()
     # The labels of the three sources.
     label = (F.when(F.col("_has_detail"), "api_detail").when(by_page, "requests_ld_json").otherwise("listing_only"))

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.operators.ranking import top_per_group
 
@@ -84,18 +84,29 @@ class Cells:
         return max(16, BLOCK_BYTES // (4 * self.dim))
 
 
-def choose_pivots(index: DataFrame, count: int = 16) -> np.ndarray | None:
-    """``count`` vectors picked by the hash of their id, so that every run picks the same; None for an empty index.
+def choose_pivots(index: DataFrame, count: int = 16, candidates: int = 512) -> np.ndarray | None:
+    """Up to ``count`` well spread vectors of the index; None for an empty one.
 
-    At most ``count`` rows reach the driver.
+    Pivots decide how much is pruned, never what is found, so the first ``candidates`` rows
+    Spark comes by are good enough: no scan, and a bounded number of rows on the driver. Of
+    these, each next pivot is the one farthest from all chosen before.
     """
-    usable = index.filter(F.exists("vector", lambda x: x != 0))
-    picked = (usable.select("point_id", "vector").orderBy(F.xxhash64("point_id"), "point_id").limit(count).collect())
-    if not picked:
+    usable = index.filter(F.exists("vector", lambda x: x != 0)).select("point_id", "vector")
+    rows = sorted(usable.limit(candidates).collect(), key=lambda row: row.point_id)
+    if not rows:
         return None
-    if len({len(row.vector) for row in picked}) > 1:
+    if len({len(row.vector) for row in rows}) > 1:
         raise ValueError("index holds vectors of different dimensions")
-    return np.unique(_unit(np.array([row.vector for row in picked], dtype=np.float32)), axis=0)
+    units = _unit(np.array([row.vector for row in rows], dtype=np.float32))
+    chosen = [0]
+    closest = units @ units[0]
+    while len(chosen) < min(count, len(units)):
+        farthest = int(closest.argmin())
+        if closest[farthest] > 1 - 1e-9:
+            break
+        chosen.append(farthest)
+        closest = np.maximum(closest, units @ units[farthest])
+    return units[chosen]
 
 
 def assign_cells(index: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -231,23 +242,56 @@ def _score_blocks(dim: int, k: int, threshold: float | None):
     return score
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int = 3, threshold: float | None = 0.6,
-            cells: Cells | None = None, pivots: int = 16) -> DataFrame:
+@dataclass(frozen=True)
+class PackedIndex:
+    """An index ready for searching: its cells, and its vectors in blocks ``cell, shard, ids, vectors``."""
+
+    cells: Cells
+    blocks: DataFrame
+
+
+def pack_index(index: DataFrame, pivots: int = 16) -> PackedIndex | None:
+    """Survey an index and plan its blocks; None if it holds no usable vector."""
+    chosen = choose_pivots(index, pivots)
+    if chosen is None:
+        return None
+    cells = survey_cells(index, chosen)
+    return PackedIndex(cells, _pack_index(index, cells))
+
+
+def store_packed(packed: PackedIndex, path: str) -> None:
+    """Write a packed index, one folder per cell, so that a search reads the cells it needs and packs nothing."""
+    spark = packed.blocks.sparkSession
+    pivots = [(i, row.tolist()) for i, row in enumerate(packed.cells.pivots)]
+    spark.createDataFrame(pivots, "pivot int, vector array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/pivots")
+    spark.createDataFrame(sorted(packed.cells.shards.items()), "cell int, shards int").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/shards")
+    packed.blocks.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/blocks")
+
+
+def load_packed(spark: SparkSession, path: str) -> PackedIndex:
+    pivots = spark.read.parquet(f"{path}/pivots").orderBy("pivot").collect()
+    shards = spark.read.parquet(f"{path}/shards").collect()
+    cells = Cells(np.array([row.vector for row in pivots]), {row.cell: row.shards for row in shards})
+    return PackedIndex(cells, spark.read.schema(_PACKED).parquet(f"{path}/blocks"))
+
+
+def nearest(queries: DataFrame, index: DataFrame | PackedIndex, k: int = 3, threshold: float | None = 0.6,
+            pivots: int = 16) -> DataFrame:
     """Up to ``k`` best points per query with a cosine strictly above ``threshold``.
 
     ``queries`` has ``query_id bigint, vector array<float>``, ``index`` has ``point_id bigint,
-    vector array<float>``; ids are unique. Null, empty and zero vectors match nothing; a vector of another dimension is an
-    error. Returns ``query_id, point_id, score, match_rank``; scores are rounded to nine
-    decimals, so that copies of a vector tie wherever they lie, and ties go to the smaller id.
-    Pass ``cells`` (from :func:`survey_cells`) to reuse the survey of an index.
+    vector array<float>`` or is packed already; ids are unique. Null, empty and zero vectors
+    match nothing; a vector of another dimension is an error. Returns ``query_id, point_id,
+    score, match_rank``; scores are rounded to nine decimals, so that copies of a vector tie
+    wherever they lie, and ties go to the smaller id.
     """
-    if cells is None:
-        chosen = choose_pivots(index, pivots)
-        if chosen is None:
-            return queries.sparkSession.createDataFrame([], _MATCH + ", match_rank int")
-        cells = survey_cells(index, chosen)
+    packed = index if isinstance(index, PackedIndex) else pack_index(index, pivots)
+    if packed is None:
+        return queries.sparkSession.createDataFrame([], _MATCH + ", match_rank int")
+    cells = packed.cells
     reach = math.pi if threshold is None or threshold < -1 else math.acos(min(threshold, 1.0))
-    points = _pack_index(index, cells).select(
+    points = packed.blocks.select(
         "cell", "shard", F.col("ids").alias("point_ids"), F.col("vectors").alias("point_vectors"))
     asked = _route_queries(queries, cells, reach).select(
         "cell", "shard", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))

@@ -19,11 +19,23 @@ def fold_changes(df: DataFrame, keys: Sequence[str], version: Sequence[str]) ->
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in rest])
 
 
-def upsert(base: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``new`` over ``base``: its non-null fields override, absent ones survive, unknown keys are added."""
-    old = base.withColumn("_version", F.lit(0))
-    both = old.unionByName(new.withColumn("_version", F.lit(1)), allowMissingColumns=True)
-    return fold_changes(both, keys, ["_version"])
+def upsert(base: DataFrame, new: DataFrame, keys: Sequence[str], version: Sequence[str] = ()) -> DataFrame:
+    """``new`` over ``base``: its non-null fields override, absent ones survive, unknown keys are added.
+
+    ``base`` has one row per key, and so must ``new`` have, unless ``version`` orders its changes; they are
+    folded first then. Either way the join meets each key once per side and cannot be skewed.
+    """
+    changes = fold_changes(new, keys, version) if version else new
+    joined = base.alias("b").join(changes.alias("n"), list(keys), "full_outer")
+    columns = []
+    for name in [*base.columns, *[c for c in changes.columns if c not in base.columns]]:
+        if name in keys:
+            columns.append(F.col(name))
+        elif name in base.columns and name in changes.columns:
+            columns.append(overlay(F.col(f"n.{name}"), F.col(f"b.{name}")).alias(name))
+        else:
+            columns.append(F.col(name))
+    return joined.select(*columns)
 
 
 def absent_from(new: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -42,6 +54,6 @@ def copy_from_old(old: DataFrame, new: DataFrame, keys: Sequence[str], wanted: D
     return absent_from(rows, new, keys)
 
 
-def overlay(detail: Column, listing: Column) -> Column:
-    """Detail field over listing field."""
-    return F.coalesce(detail, listing)
+def overlay(newer: Column, older: Column) -> Column:
+    """The newer value where there is one."""
+    return F.coalesce(newer, older)

@@ -61,6 +61,16 @@ def current(spark: SparkSession, path: str, keys: Sequence[str], version: Sequen
     return fold_changes(changes if "batch" in version else changes.drop("batch"), keys, version)
 
 
+def save_state(state: DataFrame, path: str, run: int) -> None:
+    """Keep the resume state of a run: one row per key, only what changed."""
+    log_changes(state, path, run)
+
+
+def load_state(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame | None:
+    """The resume state after all saved runs; None before the first."""
+    return current(spark, path, keys) if exists(spark, path) else None
+
+
 def compact(spark: SparkSession, path: str, keys: Sequence[str], into: str) -> None:
     """Write the folded log as the first batch of a new log at ``into``."""
     log_changes(current(spark, path, keys), into, 0)

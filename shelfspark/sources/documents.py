@@ -28,12 +28,12 @@ def parse_documents(texts: DataFrame) -> DataFrame:
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
-    """One row per readable ``*.json`` file of a folder; unreadable ones are dropped."""
+    """One row per readable ``*.json`` file of a folder; unreadable and empty ones are dropped."""
     return parse_documents(_read_text_files(spark, path)).filter(F.col("body").isNotNull())
 
 
 def unreadable_products(spark: SparkSession, path: str) -> DataFrame:
-    """Names of the files :func:`read_products` drops."""
+    """Names of the files with a content that :func:`read_products` drops."""
     return parse_documents(_read_text_files(spark, path)).filter(F.col("body").isNull()).select("source_file")
 
 

@@ -6,26 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.operators.checkout import ACCEPT, cart_items, carts
-from shelfspark.operators.neighbours import choose_pivots, survey_cells
+from shelfspark.operators.neighbours import load_packed, pack_index, store_packed
+from shelfspark.session import scratch_path
 from shelfspark.sinks.tables import log_changes, read_changes
 
 
 def checkout_stream(feed: DataFrame, index: DataFrame, payload: DataFrame, out: str, checkpoint: str,
                     accept: float = ACCEPT) -> StreamingQuery:
-    """Write the detections seen and the items found of every batch. The index is surveyed once, at the start.
+    """Write the detections seen and the items found of every batch.
 
-    A basket may be spread over batches: carts are summed up when read (:func:`read_carts`).
+    The index is packed and stored once, at the start; a batch reads the cells its vectors are
+    routed to. A basket may be spread over batches: carts are summed up when read (:func:`read_carts`).
     """
-    pivots = choose_pivots(index)
-    if pivots is None:
+    spark = feed.sparkSession
+    planned = pack_index(index)
+    if planned is None:
         raise ValueError("the index holds no usable vectors")
-    cells = survey_cells(index, pivots)
+    stored = scratch_path(spark, "packed-index")
+    store_packed(planned, stored)
+    packed = load_packed(spark, stored)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             log_changes(batch.select("cart_id", "query_id"), f"{out}/detections", batch_id)
-            log_changes(cart_items(batch, index, payload, accept, cells), f"{out}/items", batch_id)
+            log_changes(cart_items(batch, packed, payload, accept), f"{out}/items", batch_id)
         finally:
             batch.unpersist()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.functions import vectors
-from shelfspark.operators import checkout, detections as D, neighbours
+from shelfspark.operators import checkout, detections as D, neighbours, ranking
 from shelfspark.session import scratch_path
 from shelfspark.sinks.vector_index import ensure_index, publish, read_points
 from shelfspark.suite.adapters import baskets, cte, index_vectors, query_vectors, table, view
@@ -77,6 +77,14 @@ def cosine_threshold(spark, sf):
     return found.select("query_id", "point_id", F.round("score", 6).alias("score"))
 
 
+def self_neighbours(spark, sf):
+    """The three nearest other vectors of every vector."""
+    index = index_vectors(spark, sf)
+    found = neighbours.nearest(index.withColumnRenamed("point_id", "query_id"), index, k=4, threshold=None)
+    others = found.filter("query_id <> point_id").drop("match_rank")
+    return ranking.top_per_group(others, ["query_id"], [F.desc("score"), F.col("point_id")], 3).withColumn("score", F.round("score", 6))
+
+
 def _items(spark, sf):
     asked = baskets(spark, sf)
     return asked, checkout.cart_items(asked.filter("query_id IS NOT NULL"), index_vectors(spark, sf), view(spark, sf, "payload"))
@@ -149,7 +157,7 @@ def vector_upsert(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     confident_detections, top1_detection, nearest_centre_detection, label_detections, object_metadata, crop_boxes,
-    l2_normalize, cosine_expression, cosine_topk, cosine_threshold, cart_checkout, cart_items, cart_lines,
+    l2_normalize, cosine_expression, cosine_topk, cosine_threshold, self_neighbours, cart_checkout, cart_items, cart_lines,
     cart_quantities, cart_reply_pages, match_payload, index_dimensions, point_payload, vector_upsert)}
 
 _ORDER = "l_orderkey, l_linenumber, l_suppkey, l_extendedprice"
@@ -187,6 +195,9 @@ ORACLE = {
         FROM query_vectors JOIN embeddings ON vec_id = query_id""",
     "cosine_topk": cte(*_VECTORS) + "SELECT query_id, point_id, round(score, 6) AS score, match_rank FROM matches WHERE match_rank <= 3",
     "cosine_threshold": cte(*_VECTORS) + "SELECT query_id, point_id, round(score, 6) AS score FROM matches WHERE match_rank <= 3 AND score > 0.6",
+    "self_neighbours": """SELECT query_id, point_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rn
+        FROM (SELECT a.vec_id AS query_id, b.vec_id AS point_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) AS score
+              FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rn <= 3""",
     "cart_checkout": cte(*_CART) + """SELECT b.cart_id, n_detections, coalesce(n_items, 0) AS n_items, coalesce(total_price, 0.0) AS total_price,
         coalesce(n_price_missing, 0) AS n_price_missing,
         CASE WHEN n_detections > 0 THEN 'Thành công' ELSE 'Không tìm thấy sản phẩm nào trong ảnh' END AS message
