@@ -17,10 +17,12 @@ def spread_nulls(key: Column) -> Column:
 
 def preferred_image(files: DataFrame, name: str = "file_name") -> DataFrame:
     """One image per base name: the best extension wins, others (upper case too) do not count."""
-    rank = F.array_position(F.array(*[F.lit(e) for e in IMAGE_EXTENSIONS]), extension(F.col(name)))
-    return (files.select(base_name(F.col(name)).alias("base"), F.col(name).alias("image_file"), rank.alias("_rank"))
-            .filter("_rank > 0")
-            .groupBy("base").agg(F.min_by("image_file", "_rank").alias("image_file")))
+    known = F.array(*[F.lit(e) for e in IMAGE_EXTENSIONS])
+    rank = F.array_position(known, extension(F.col(name))).cast("int")
+    best = (files.select(base_name(F.col(name)).alias("base"), rank.alias("_rank")).filter("_rank > 0")
+            .groupBy("base").agg(F.min("_rank").alias("_rank")))
+    # The name is put together again: a minimum of integers is a hash aggregate, one of names would sort.
+    return best.select("base", F.concat("base", F.element_at(known, F.col("_rank"))).alias("image_file"))
 
 
 def match_images(products: DataFrame, files: DataFrame, source_file: str = "source_file") -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfspark.session import materialize
 
 
+#: Rows of one group that a single window task may sort.
+GROUP_ROWS = 1_000_000
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1,
                   rank_col: str | None = None) -> DataFrame:
     """The first ``k`` rows of each group under a total ``order``.
@@ -24,30 +28,30 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
 
 def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank_col: str = "rank",
                   descending: Sequence[str] = (), slices: int | None = None) -> DataFrame:
-    """Exact 1-based row number inside each group, without ever holding one group in one task.
+    """Exact 1-based row number inside each group, for groups of any size; ``order`` must be total.
 
-    Rows are range-partitioned by group and order, so a large group lies in several
+    The largest group is counted first. Up to ``GROUP_ROWS`` a window over the group will do.
+    Beyond that (or with ``slices`` given, or without ``keys``, where the rank is global) no task gets a whole
+    group: rows are range-partitioned by group and order, so a large group lies in several
     consecutive slices. The slices are pinned by a written table, ranks are counted inside
     (slice, group), and each group that continues from earlier slices gets the number of
     rows it had there. At most one group per slice continues, so the offsets have fewer rows than
-    there are slices; that bound is what allows their broadcast. ``order`` must be total;
-    with no ``keys`` the rank is global.
+    there are slices; that bound is what allows their broadcast.
     """
     by = [F.col(c).desc() if c in descending else F.col(c).asc() for c in order]
+    if keys and slices is None:
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if largest <= GROUP_ROWS:
+            rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+            return df.withColumn(rank_col, rank.cast("bigint"))
     placement = [F.col(c).asc() for c in keys] + by
     spread = df.repartitionByRange(slices, *placement) if slices else df.repartitionByRange(*placement)
     sliced = materialize(spread.withColumn("_slice", F.spark_partition_id()), "ranked")
 
+    # One row per slice and group; over all groups, a window of at most one row per slice.
     held = sliced.groupBy("_slice", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    if keys:
-        # Only groups seen in more than one slice can need an offset.
-        split = (held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_slices"))
-                 .filter("_slices > 1").drop("_slices"))
-        same = [F.col(f"h.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-        held = held.alias("h").join(split.alias("s"), same, "left_semi")
-        earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    else:
-        earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.partitionBy(*keys).orderBy("_slice")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = (held.withColumn("_before", F.sum("_n").over(earlier))
                .filter(F.col("_before").isNotNull()).drop("_n"))
 

@@ -183,6 +183,14 @@ def enrich_merge(spark, sf):
     return matching.enrich(listing, detail, structured)
 
 
+def enrich_open_fields(spark, sf):
+    """Open event properties overlaid by a second record, which some events lack."""
+    newer = F.when(F.col("event_type") == "purchase", F.to_json(F.struct(F.col("user_id").alias("k"), F.col("event_type").alias("kind")))).when(
+        F.col("event_type") == "view", F.to_json(F.struct(F.col("user_id").alias("viewer"))))
+    merged = matching.merge_open(F.parse_json("props"), F.parse_json(newer))
+    return table(spark, sf, "events").select("event_id", F.to_json(merged).alias("merged"))
+
+
 def product_uuid(spark, sf):
     return table(spark, sf, "part").select("p_partkey", ids.product_uuid(F.col("p_partkey")).alias("product_uuid"))
 
@@ -269,7 +277,7 @@ QUERIES = {f.__name__: f for f in (
     clean_required_fields, missing_identity, kept_columns, canonical_products, strip_and_price_default, strip_and_price_drop,
     dedupe_identifier, distinct_identifiers, path_normalize, full_image_path, image_match_extension, ingest_status,
     ingest_report, checkpoint_scan, stage_paths, crop_paths, join_paths, bytes_by_path, byte_fallback, upsert_latest,
-    anti_new_rows, semi_reusable, copy_from_old, insert_absent, stage_append, enrich_merge, product_uuid,
+    anti_new_rows, semi_reusable, copy_from_old, insert_absent, stage_append, enrich_merge, enrich_open_fields, product_uuid,
     product_fingerprint, storage_refs, thumbnails, stage_states, run_report, batch_numbers, batch_sizes_64,
     page_structured_data, document_scan, collection_scan, listing_ids, collect_products)}
 
@@ -363,6 +371,8 @@ ORACLE = {
         'listing' AS platform, CASE WHEN p_type = 'ECONOMY' THEN p_size::bigint END AS size,
         CASE WHEN p_type <> 'ECONOMY' AND p_size <= 25 THEN '{"p_brand":"' || p_brand || '"}' END AS ld_json,
         CASE WHEN p_type = 'ECONOMY' THEN 'api_detail' WHEN p_size <= 25 THEN 'requests_ld_json' ELSE 'listing_only' END AS data_source FROM part""",
+    "enrich_open_fields": """SELECT event_id, CASE event_type WHEN 'purchase' THEN '{"k":' || user_id || ',"kind":"purchase"}'
+        WHEN 'view' THEN '{"k":' || (props->>'$.k') || ',"viewer":' || user_id || '}' ELSE '{"k":' || (props->>'$.k') || '}' END AS merged FROM events""",
     "product_uuid": f"""SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
         translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS product_uuid FROM ({_UUID})""",
     "product_fingerprint": cte("products") + f"""SELECT product_id, md5(doc) AS etag, strlen(doc)::bigint AS size

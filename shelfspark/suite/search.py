@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.functions import vectors
 from shelfspark.operators import checkout, detections as D, neighbours, ranking
-from shelfspark.session import scratch_path
+from shelfspark.session import materialize, scratch_path
 from shelfspark.sinks.vector_index import ensure_index, publish, read_points
 from shelfspark.suite.adapters import baskets, cte, index_vectors, query_vectors, table, view
 
@@ -86,7 +86,8 @@ def self_neighbours(spark, sf):
 
 
 def _items(spark, sf):
-    asked = baskets(spark, sf)
+    # Stored once, as the vectors of a real run would be.
+    asked = materialize(baskets(spark, sf), "baskets")
     return asked, checkout.cart_items(asked.filter("query_id IS NOT NULL"), index_vectors(spark, sf), view(spark, sf, "payload"))
 
 

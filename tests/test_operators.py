@@ -54,6 +54,21 @@ def test_global_rank_over_many_slices(skewed):
     assert [r for _, r in rows(found, "o")] == list(range(1, len(source) + 1))
 
 
+def test_small_groups_need_no_slices(skewed):
+    source, df = skewed
+    ranked = ranking.rank_in_group(df, ["k"], ["o"])
+    assert "rangepartitioning" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, ranked.collect())) == expected_ranks(source)
+
+
+def test_large_groups_are_sliced_unasked(skewed, monkeypatch):
+    source, df = skewed
+    monkeypatch.setattr(ranking, "GROUP_ROWS", 2999)
+    ranked = ranking.rank_in_group(df, ["k"], ["o"])
+    assert "_slice" in ranked._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, ranked.collect())) == expected_ranks(source)
+
+
 def test_pages_are_bounded_and_whole(skewed):
     source, df = skewed
     pages = ranking.paged_lists(df, ["k"], ["o"], F.col("o"), 100).collect()
@@ -73,7 +88,8 @@ def test_top_per_group_limits_before_the_shuffle(skewed):
     assert sorted(map(tuple, top.collect())) == sorted((k, o) for k, os in groups.items() for o in sorted(os)[-2:])
 
 
-def test_quota_of_a_hot_leaf(spark, skewed):
+def test_quota_of_a_hot_leaf(spark, skewed, monkeypatch):
+    monkeypatch.setattr(ranking, "GROUP_ROWS", 100)
     source, df = skewed
     candidates = df.select(F.col("k").alias("leaf"), F.when(F.col("o") % 2 == 0, 1).otherwise(2).alias("phase"), F.col("o").alias("product_id"))
     targets = candidates.select("leaf").distinct().withColumn("target", F.when(F.col("leaf") == "hot", 1700).otherwise(3))
@@ -167,6 +183,12 @@ def test_enrichment_precedence(spark):
                                  (3, "l3", "t", None, None, "listing_only")]
 
 
+def test_open_records_merge_by_key(spark):
+    df = spark.createDataFrame([('{"a":1,"b":{"x":1}}', '{"b":null,"c":[1]}'), ('{"a":1}', None), (None, '{"z":2.5}'), (None, None)], "l string, d string")
+    merged = df.select(F.to_json(matching.merge_open(F.try_parse_json("l"), F.try_parse_json("d"))))
+    assert [r[0] for r in merged.collect()] == ['{"a":1,"b":null,"c":[1]}', '{"a":1}', '{"z":2.5}', "{}"]
+
+
 def test_best_detection_breaks_ties_by_order(spark):
     df = spark.createDataFrame([("i", 0, 0.7), ("i", 1, 0.9), ("i", 2, 0.9), ("j", 0, 0.5), ("j", 1, 0.49)],
                                "image_id string, det_idx int, confidence double")
