@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfspark.functions import ids
 from shelfspark.functions.text import crop_object_name, s3_path
-from shelfspark.operators import images as I
 from shelfspark.operators.detections import CONFIDENCE, label_detections, metadata_expressions
+from shelfspark.operators.images import crop, fit_mask, to_array
 from shelfspark.schemas import RASTER
 
 Detector = Callable[[np.ndarray], Sequence[dict]]
@@ -36,7 +36,7 @@ _FOUND = T.StructType([
 def _detections(model: Detector, row: dict, confidence: float, best_only: bool, with_crop: bool) -> list[dict]:
     """Detections of one image; none if it is unreadable or the model fails."""
     try:
-        image = I.to_array(int(row["height"]), int(row["width"]), int(row["n_channels"]), row["data"])
+        image = to_array(int(row["height"]), int(row["width"]), int(row["n_channels"]), row["data"])
         found = [d for d in model(image) if d["confidence"] >= confidence]
     except Exception:
         return []
@@ -59,8 +59,8 @@ def _detections(model: Detector, row: dict, confidence: float, best_only: bool,
             y1, y2 = (min(max(v, 0), h) for v in (y1, y2))
             if x2 <= x1 or y2 <= y1:
                 continue
-            fitted = None if mask is None else I.fit_mask(mask.tobytes(), *mask.shape, h, w)
-            piece = np.ascontiguousarray(I.crop(image, [x1, y1, x2, y2], fitted))
+            fitted = None if mask is None else fit_mask(mask.tobytes(), *mask.shape, h, w)
+            piece = np.ascontiguousarray(crop(image, [x1, y1, x2, y2], fitted))
             record.update(crop_height=piece.shape[0], crop_width=piece.shape[1],
                           crop_channels=piece.shape[2], crop_data=piece.tobytes())
         out.append(record)
@@ -95,7 +95,7 @@ def embed(df: DataFrame, model_factory: Callable[[], Embedder], prefix: str = "c
             vectors = []
             for row in batch.to_dict("records"):
                 try:
-                    image = I.to_array(int(row["height"]), int(row["width"]), int(row["channels"]), row["data"])
+                    image = to_array(int(row["height"]), int(row["width"]), int(row["channels"]), row["data"])
                     vectors.append(np.asarray(model(image), dtype=np.float32))
                 except Exception:
                     vectors.append(np.empty(0, np.float32))

@@ -3,18 +3,18 @@
 Vectors are grouped in *cells*: a cell is the nearest of a bounded number of pivot vectors,
 plus a ring of angles around it. Angles obey the triangle inequality, so a match above the
 threshold can only lie in a ring within ``acos(threshold)`` of the query's own angle to the
-pivot. Queries are sent to those cells alone, by an equi-join on the cell. Everything a cell
-holds is scored, hence the result is exact, whatever the data.
+pivot. Queries are sent to those cells alone. Everything a cell holds is scored, hence the
+result is exact, whatever the data.
 
-Vectors travel in packed blocks; one Arrow stage multiplies pairs of blocks and keeps the
-top k of each pair, and a ``WindowGroupLimit`` merges them. A crowded cell (copies of one
-vector, say) is cut in shards that are joined apart.
+A crowded cell (copies of one vector, say) is cut in shards, and so are its queries in parts: index and
+queries meet in a cogroup on (cell, shard, part) whose two sides are bounded. Each group multiplies
+blocks of vectors and keeps the top k per query; a ``WindowGroupLimit`` merges the groups.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,28 +25,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfspark.operators.ranking import top_per_group
 
 SCORE_DECIMALS = 9
+#: Packed rows, shards of a cell and parts of its queries, in bytes of float32.
 BLOCK_BYTES = 256 * 1024
-SHARD_ROWS = 256 * 1024
+SHARD_BYTES = 64 * 1024 * 1024
+PART_BYTES = 32 * 1024 * 1024
+#: Up to this many index vectors per pivot; an index that needs one pivot is not cut in rings either.
+ROWS_PER_PIVOT = 64 * 1024
+MAX_PIVOTS = 256
 RINGS = 12
 _SLACK = 1e-6
+_SCALE = 10.0**SCORE_DECIMALS
 
 _PACKED = "cell int, shard int, ids array<bigint>, vectors binary"
 _MATCH = "query_id bigint, point_id bigint, score double"
+_KEY = ["cell", "shard", "part"]
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a list column that are usable vectors, as a float32 matrix, and their positions."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
     lengths = np.asarray(column.value_lengths().fill_null(0))
     filled = lengths > 0
     wrong = filled & (lengths != dim)
     if wrong.any():
         raise ValueError(f"vector of {lengths[wrong][0]} dimensions where {dim} are expected")
-    positions = np.flatnonzero(filled)
     values = column.flatten()
     if values.null_count:
         raise ValueError("vector with a null element")
+    positions = np.flatnonzero(filled)
     matrix = np.asarray(values, dtype=np.float32).reshape(len(positions), dim)
     usable = np.square(matrix, dtype=np.float64).sum(axis=1) > 0
     return matrix[usable], positions[usable]
@@ -57,34 +62,37 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return wide / np.linalg.norm(wide, axis=1, keepdims=True)
 
 
-def _angles(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(_unit(matrix) @ pivots.T, -1.0, 1.0))
-
-
-def _pack(keys: list[tuple[int, int]], ids: list[np.ndarray], vectors: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([
-        pa.array([c for c, _ in keys], pa.int32()), pa.array([s for _, s in keys], pa.int32()),
-        pa.array(ids, pa.list_(pa.int64())), pa.array([v.tobytes() for v in vectors], pa.binary()),
-    ], names=["cell", "shard", "ids", "vectors"])
-
-
 @dataclass(frozen=True)
 class Cells:
-    """Pivots (unit rows) and the number of shards of each occupied cell; both bounded by the cell count."""
+    """Pivots (unit rows), rings around each, and the number of shards of each occupied cell.
+
+    Cell ``pivot * rings + ring``. Everything here is bounded by the number of cells.
+    """
 
     pivots: np.ndarray
+    rings: int
     shards: dict[int, int]
 
     @property
     def dim(self) -> int:
         return self.pivots.shape[1]
 
-    @property
-    def block_rows(self) -> int:
-        return max(16, BLOCK_BYTES // (4 * self.dim))
+    def rows_in(self, size: int) -> int:
+        return max(1, size // (4 * self.dim))
+
+    def angles(self, matrix: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(_unit(matrix) @ self.pivots.T, -1.0, 1.0))
 
+    def cell_of(self, matrix: np.ndarray) -> np.ndarray:
+        if self.rings == 1 and len(self.pivots) == 1:
+            return np.zeros(len(matrix), np.int32)
+        angles = self.angles(matrix)
+        nearest = angles.argmin(axis=1)
+        ring = (angles[np.arange(len(angles)), nearest] * (self.rings / math.pi)).astype(np.int64)
+        return (nearest * self.rings + np.minimum(ring, self.rings - 1)).astype(np.int32)
 
-def choose_pivots(index: DataFrame, count: int = 16, candidates: int = 512) -> np.ndarray | None:
+
+def choose_pivots(index: DataFrame, count: int, candidates: int = 1024) -> np.ndarray | None:
     """Up to ``count`` well spread vectors of the index; None for an empty one.
 
     Pivots decide how much is pruned, never what is found, so the first ``candidates`` rows
@@ -92,7 +100,7 @@ def choose_pivots(index: DataFrame, count: int = 16, candidates: int = 512) -> n
     these, each next pivot is the one farthest from all chosen before.
     """
     usable = index.filter(F.exists("vector", lambda x: x != 0)).select("point_id", "vector")
-    rows = sorted(usable.limit(candidates).collect(), key=lambda row: row.point_id)
+    rows = sorted(usable.limit(candidates if count > 1 else 1).collect(), key=lambda row: row.point_id)
     if not rows:
         return None
     if len({len(row.vector) for row in rows}) > 1:
@@ -109,67 +117,66 @@ def choose_pivots(index: DataFrame, count: int = 16, candidates: int = 512) -> n
     return units[chosen]
 
 
-def assign_cells(index: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """``point_id`` and the cell of every usable vector."""
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            matrix, rows = _matrix(batch.column("vector"), pivots.shape[1])
-            if len(rows):
-                ids = np.asarray(batch.column("point_id"))[rows]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(_cell_of(matrix, pivots))], names=["point_id", "cell"])
+def survey_cells(index: DataFrame, pivots: np.ndarray, rings: int, rows: int) -> Cells:
+    """Count the rows of each cell (at most pivots x rings counts come back) and derive its shards.
 
-    return index.select("point_id", "vector").mapInArrow(assign, "point_id bigint, cell int")
+    A shard stays below ``SHARD_BYTES``; a smaller index is cut so that every core gets some.
+    """
+    cells = Cells(pivots, rings, {})
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    limit = min(cells.rows_in(SHARD_BYTES), max(cells.rows_in(BLOCK_BYTES), math.ceil(rows / (2 * cores))))
+    if rings == 1 and len(pivots) == 1:
+        return Cells(pivots, rings, {0: math.ceil(rows / limit)})
 
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix, _ = _matrix(batch.column("vector"), cells.dim)
+            found, n = np.unique(cells.cell_of(matrix), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["cell", "n"])
 
-def _cell_of(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    angles = _angles(matrix, pivots)
-    nearest = angles.argmin(axis=1)
-    ring = np.minimum((angles[np.arange(len(angles)), nearest] * (RINGS / math.pi)).astype(np.int64), RINGS - 1)
-    return (nearest * RINGS + ring).astype(np.int32)
+    counts = index.select("vector").mapInArrow(assign, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    return Cells(pivots, rings, {row.cell: math.ceil(row.n / limit) for row in counts.collect()})
 
 
-def survey_cells(index: DataFrame, pivots: np.ndarray) -> Cells:
-    """Count the rows of each cell (at most pivots x rings rows come back) and derive its shards."""
-    counts = assign_cells(index, pivots).groupBy("cell").count().collect()
-    return Cells(pivots, {row["cell"]: math.ceil(row["count"] / SHARD_ROWS) for row in counts})
+def _pack(keys: list[tuple[int, int]], ids: list[np.ndarray], vectors: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array([c for c, _ in keys], pa.int32()), pa.array([s for _, s in keys], pa.int32()),
+        pa.array(ids, pa.list_(pa.int64())), pa.array([v.tobytes() for v in vectors], pa.binary()),
+    ], names=["cell", "shard", "ids", "vectors"])
 
 
-def _pack_index(index: DataFrame, cells: Cells) -> DataFrame:
+def _pack_points(index: DataFrame, cells: Cells) -> DataFrame:
     """Index vectors in blocks of one cell each; consecutive blocks of a cell go to its shards in turn."""
+    block_rows = cells.rows_in(BLOCK_BYTES)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
+        turn = TaskContext.get().partitionId()
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         sizes: dict[int, int] = {}
-        emitted: dict[int, int] = {}
 
         def flush(cell: int) -> pa.RecordBatch:
+            nonlocal turn
             parts = held.pop(cell)
-            sizes.pop(cell)
+            del sizes[cell]
             ids = np.concatenate([i for i, _ in parts])
-            order = ids.argsort(kind="stable")
-            vectors = np.concatenate([v for _, v in parts])[order]
-            ids = ids[order]
-            starts = range(0, len(ids), cells.block_rows)
-            keys = []
-            for _ in starts:
-                turn = emitted.get(cell, task)
-                emitted[cell] = turn + 1
-                keys.append((cell, turn % cells.shards.get(cell, 1)))
-            return _pack(keys, [ids[s:s + cells.block_rows] for s in starts],
-                         [vectors[s:s + cells.block_rows] for s in starts])
+            vectors = np.concatenate([v for _, v in parts])
+            starts = range(0, len(ids), block_rows)
+            shards = cells.shards.get(cell, 1)
+            keys = [(cell, (turn + i) % shards) for i in range(len(starts))]
+            turn += len(starts)
+            return _pack(keys, [ids[s:s + block_rows] for s in starts], [vectors[s:s + block_rows] for s in starts])
 
         for batch in batches:
             matrix, rows = _matrix(batch.column("vector"), cells.dim)
             if not len(rows):
                 continue
             ids = np.asarray(batch.column("point_id"))[rows]
-            cell_ids = _cell_of(matrix, cells.pivots)
+            cell_ids = cells.cell_of(matrix)
             for cell in np.unique(cell_ids).tolist():
                 mine = cell_ids == cell
                 held.setdefault(cell, []).append((ids[mine], matrix[mine]))
                 sizes[cell] = sizes.get(cell, 0) + int(mine.sum())
-                if sizes[cell] >= cells.block_rows:
+                if sizes[cell] >= block_rows:
                     yield flush(cell)
         for cell in list(held):
             yield flush(cell)
@@ -177,67 +184,120 @@ def _pack_index(index: DataFrame, cells: Cells) -> DataFrame:
     return index.select("point_id", "vector").mapInArrow(pack, _PACKED)
 
 
-def _route_queries(queries: DataFrame, cells: Cells, reach: float) -> DataFrame:
-    """Query vectors in blocks, once per shard of every cell that can hold a match."""
-    occupied = sorted(cells.shards)
-    pivot_of = np.array([c // RINGS for c in occupied])
-    inner = np.array([c % RINGS for c in occupied]) * (math.pi / RINGS)
-    outer = inner + math.pi / RINGS
+def _router(cells: Cells, reach: float) -> Callable[[np.ndarray], Iterator[tuple[int, np.ndarray]]]:
+    """Function from query vectors to the cells that can hold a match, each with the rows concerned."""
+    occupied = np.array(sorted(cells.shards))
+    inner = (occupied % cells.rings) * (math.pi / cells.rings)
+    outer = inner + math.pi / cells.rings
+
+    def route(matrix: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        angles = cells.angles(matrix)[:, occupied // cells.rings]
+        wanted = (angles >= inner - reach - _SLACK) & (angles <= outer + reach + _SLACK)
+        for column in np.flatnonzero(wanted.any(axis=0)):
+            yield int(occupied[column]), np.flatnonzero(wanted[:, column])
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return route
+
+
+def _survey_queries(queries: DataFrame, cells: Cells, reach: float) -> dict[int, int]:
+    """Number of queries each cell will be asked by; as many counts as there are cells."""
+    route = _router(cells, reach)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix, rows = _matrix(batch.column("vector"), cells.dim)
+            if len(rows):
+                found = [(cell, len(mine)) for cell, mine in route(matrix)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c for c, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int64())], names=["cell", "n"])
+
+    counts = queries.select("vector").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    return {row.cell: row.n for row in counts.collect()}
+
+
+def _pack_queries(queries: DataFrame, cells: Cells, reach: float, parts: dict[int, int]) -> DataFrame:
+    """Query vectors in blocks, each in one part of a cell's queries and once per shard of the cell."""
+    route, block_rows = _router(cells, reach), cells.rows_in(BLOCK_BYTES)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
         for batch in batches:
             matrix, rows = _matrix(batch.column("vector"), cells.dim)
             if not len(rows):
                 continue
             ids = np.asarray(batch.column("query_id"))[rows]
-            angles = _angles(matrix, cells.pivots)[:, pivot_of]
-            wanted = (angles >= inner - reach - _SLACK) & (angles <= outer + reach + _SLACK)
-            for column in np.flatnonzero(wanted.any(axis=0)).tolist():
-                mine = np.flatnonzero(wanted[:, column])
-                starts = range(0, len(mine), cells.block_rows)
-                keys, id_blocks, vector_blocks = [], [], []
-                for shard in range(cells.shards[occupied[column]]):
-                    for s in starts:
-                        take = mine[s:s + cells.block_rows]
-                        keys.append((occupied[column], shard))
-                        id_blocks.append(ids[take])
-                        vector_blocks.append(matrix[take])
-                yield _pack(keys, id_blocks, vector_blocks)
-
-    return queries.select("query_id", "vector").mapInArrow(route, _PACKED)
-
-
-def _score_blocks(dim: int, k: int, threshold: float | None):
-    floor = -math.inf if threshold is None else threshold
-
-    def best_of(query_ids, query_vectors, point_ids, point_vectors):
-        q = _unit(np.frombuffer(query_vectors, np.float32).reshape(-1, dim))
-        x = _unit(np.frombuffer(point_vectors, np.float32).reshape(-1, dim))
-        scores = np.round(q @ x.T, SCORE_DECIMALS)
-        keep = scores > floor
-        if scores.shape[1] > k:
-            kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-            keep &= scores >= kth[:, None]
-        row, column = np.nonzero(keep)
-        found = scores[row, column]
-        # Ids ascend inside a block, so the column breaks ties.
-        order = np.lexsort((column, -found, row))
-        row, column, found = row[order], column[order], found[order]
-        first = np.searchsorted(row, row, side="left")
-        head = np.arange(len(row)) - first < k
-        return query_ids[row[head]], point_ids[column[head]], found[head]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [
-                best_of(np.asarray(q_ids.values), q_vectors.as_py(), np.asarray(p_ids.values), p_vectors.as_py())
-                for q_ids, q_vectors, p_ids, p_vectors in zip(*[
-                    batch.column(c) for c in ("query_ids", "query_vectors", "point_ids", "point_vectors")])
-            ]
-            if parts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(column)) for column in zip(*parts)],
-                    names=["query_id", "point_id", "score"])
+            for cell, mine in route(matrix):
+                blocks = [mine[s:s + block_rows] for s in range(0, len(mine), block_rows)]
+                n_parts = parts.get(cell, 1)
+                yield _pack([(cell, (turn + i) % n_parts) for i in range(len(blocks))],
+                            [ids[b] for b in blocks], [matrix[b] for b in blocks])
+                turn += len(blocks)
+
+    packed = queries.select("query_id", "vector").mapInArrow(pack, _PACKED).withColumnRenamed("shard", "part")
+    return packed.withColumn("shard", F.explode(F.sequence(F.lit(0), _lookup("cell", cells.shards) - 1)))
+
+
+def _lookup(column: str, values: dict[int, int]):
+    """The value of a cell, 1 where none is given; ``values`` has at most one entry per cell."""
+    wide = {cell: n for cell, n in values.items() if n > 1}
+    if not wide:
+        return F.lit(1)
+    table = F.create_map(*[F.lit(v) for pair in wide.items() for v in pair])
+    return F.coalesce(F.try_element_at(table, F.col(column)), F.lit(1))
+
+
+def _score(dim: int, k: int, threshold: float | None, block_rows: int):
+    def gather(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.asarray(table.column("ids").combine_chunks().flatten())
+        parts = [np.frombuffer(v.as_buffer(), np.float32) for chunk in table.column("vectors").chunks for v in chunk]
+        return ids, np.concatenate(parts).reshape(-1, dim)
+
+    def best(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Top k of every row; ``ids`` ascend, and the first maximum is taken, so ties go to the smaller id."""
+        width = min(k, scores.shape[1])
+        if width > 16:
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :width]
+            return np.take_along_axis(scores, order, axis=1), ids[order]
+        rows = np.arange(len(scores))
+        top_scores, top_ids = np.empty((len(scores), width)), np.empty((len(scores), width), np.int64)
+        for place in range(width):
+            column = scores.argmax(axis=1)
+            top_scores[:, place], top_ids[:, place] = scores[rows, column], ids[column]
+            scores[rows, column] = -np.inf
+        return top_scores, top_ids
+
+    def score(asked: pa.Table, points: pa.Table) -> pa.Table:
+        result = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        if len(asked) and len(points):
+            query_ids, queries = gather(asked)
+            point_ids, vectors = gather(points)
+            order = point_ids.argsort(kind="stable")
+            point_ids, vectors = point_ids[order], vectors[order]
+            queries = _unit(queries)
+            top_scores = np.full((len(query_ids), k), -np.inf)
+            top_ids = np.full((len(query_ids), k), np.iinfo(np.int64).max)
+            for p in range(0, len(point_ids), 4 * block_rows):
+                ids = point_ids[p:p + 4 * block_rows]
+                columns = _unit(vectors[p:p + 4 * block_rows]).T
+                for q in range(0, len(query_ids), block_rows):
+                    found = queries[q:q + block_rows] @ columns
+                    # Rounded while scaled: copies tie exactly, in whichever block they lie.
+                    np.rint(np.multiply(found, _SCALE, out=found), out=found)
+                    rows = np.arange(q, q + len(found))
+                    if threshold is not None:
+                        hit = found.max(axis=1) / _SCALE > threshold
+                        found, rows = found[hit], rows[hit]
+                        if not len(rows):
+                            continue
+                    new_scores, new_ids = best(found, ids)
+                    both = np.hstack([top_scores[rows], new_scores]), np.hstack([top_ids[rows], new_ids])
+                    order = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
+                    top_scores[rows] = np.take_along_axis(both[0], order, axis=1)
+                    top_ids[rows] = np.take_along_axis(both[1], order, axis=1)
+            top_scores /= _SCALE
+            keep = top_scores > (-np.inf if threshold is None else threshold)
+            result = [np.repeat(query_ids, k).reshape(-1, k)[keep], top_ids[keep], top_scores[keep]]
+        return pa.table(result, names=["query_id", "point_id", "score"])
 
     return score
 
@@ -248,22 +308,29 @@ class PackedIndex:
 
     cells: Cells
     blocks: DataFrame
+    stored: bool = False
+
 
+def pack_index(index: DataFrame, pivots: int | None = None) -> PackedIndex | None:
+    """Survey an index and plan its blocks; None if it holds no usable vector.
 
-def pack_index(index: DataFrame, pivots: int = 16) -> PackedIndex | None:
-    """Survey an index and plan its blocks; None if it holds no usable vector."""
-    chosen = choose_pivots(index, pivots)
+    The number of pivots follows from the number of rows unless it is given.
+    """
+    rows = index.count()
+    count = pivots or min(MAX_PIVOTS, math.ceil(rows / ROWS_PER_PIVOT))
+    chosen = choose_pivots(index, max(1, count))
     if chosen is None:
         return None
-    cells = survey_cells(index, chosen)
-    return PackedIndex(cells, _pack_index(index, cells))
+    cells = survey_cells(index, chosen, 1 if count == 1 else RINGS, rows)
+    return PackedIndex(cells, _pack_points(index, cells))
 
 
 def store_packed(packed: PackedIndex, path: str) -> None:
     """Write a packed index, one folder per cell, so that a search reads the cells it needs and packs nothing."""
     spark = packed.blocks.sparkSession
-    pivots = [(i, row.tolist()) for i, row in enumerate(packed.cells.pivots)]
-    spark.createDataFrame(pivots, "pivot int, vector array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/pivots")
+    pivots = [(i, packed.cells.rings, row.tolist()) for i, row in enumerate(packed.cells.pivots)]
+    spark.createDataFrame(pivots, "pivot int, rings int, vector array<double>").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/pivots")
     spark.createDataFrame(sorted(packed.cells.shards.items()), "cell int, shards int").coalesce(1).write.mode(
         "overwrite").parquet(f"{path}/shards")
     packed.blocks.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/blocks")
@@ -271,13 +338,13 @@ def store_packed(packed: PackedIndex, path: str) -> None:
 
 def load_packed(spark: SparkSession, path: str) -> PackedIndex:
     pivots = spark.read.parquet(f"{path}/pivots").orderBy("pivot").collect()
-    shards = spark.read.parquet(f"{path}/shards").collect()
-    cells = Cells(np.array([row.vector for row in pivots]), {row.cell: row.shards for row in shards})
-    return PackedIndex(cells, spark.read.schema(_PACKED).parquet(f"{path}/blocks"))
+    shards = {row.cell: row.shards for row in spark.read.parquet(f"{path}/shards").collect()}
+    cells = Cells(np.array([row.vector for row in pivots]), pivots[0].rings, shards)
+    return PackedIndex(cells, spark.read.schema(_PACKED).parquet(f"{path}/blocks"), stored=True)
 
 
 def nearest(queries: DataFrame, index: DataFrame | PackedIndex, k: int = 3, threshold: float | None = 0.6,
-            pivots: int = 16) -> DataFrame:
+            pivots: int | None = None) -> DataFrame:
     """Up to ``k`` best points per query with a cosine strictly above ``threshold``.
 
     ``queries`` has ``query_id bigint, vector array<float>``, ``index`` has ``point_id bigint,
@@ -286,19 +353,28 @@ def nearest(queries: DataFrame, index: DataFrame | PackedIndex, k: int = 3, thre
     score, match_rank``; scores are rounded to nine decimals, so that copies of a vector tie
     wherever they lie, and ties go to the smaller id.
     """
+    spark = queries.sparkSession
     packed = index if isinstance(index, PackedIndex) else pack_index(index, pivots)
     if packed is None:
-        return queries.sparkSession.createDataFrame([], _MATCH + ", match_rank int")
-    cells = packed.cells
+        return spark.createDataFrame([], _MATCH + ", match_rank int")
+    cells, blocks = packed.cells, packed.blocks
     reach = math.pi if threshold is None or threshold < -1 else math.acos(min(threshold, 1.0))
-    points = packed.blocks.select(
-        "cell", "shard", F.col("ids").alias("point_ids"), F.col("vectors").alias("point_vectors"))
-    asked = _route_queries(queries, cells, reach).select(
-        "cell", "shard", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
-    # Routing multiplies its input, so the planner's size estimate must not lead to a broadcast.
-    pairs = (asked.hint("merge").join(points, ["cell", "shard"])
-             .select("query_ids", "query_vectors", "point_ids", "point_vectors"))
-    matches = pairs.mapInArrow(_score_blocks(cells.dim, k, threshold), _MATCH)
+
+    parts: dict[int, int] = {}
+    part_rows = cells.rows_in(PART_BYTES)
+    if packed.stored or queries.count() > part_rows:
+        asked_by = _survey_queries(queries, cells, reach)
+        parts = {cell: math.ceil(n / part_rows) for cell, n in asked_by.items()}
+        blocks = blocks.filter(F.col("cell").isin(list(parts)))
+    points = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), _lookup("cell", parts) - 1)))
+    asked = _pack_queries(queries, cells, reach, parts)
+
+    # Few bytes make much work here: the partitions follow the number of groups, and are not coalesced.
+    groups = sum(n * parts.get(cell, 1) for cell, n in cells.shards.items())
+    n = min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    sides = [side.select(*_KEY, "ids", "vectors").repartition(n, *_KEY) for side in (asked, points)]
+    matches = (sides[0].groupBy(*_KEY).cogroup(sides[1].groupBy(*_KEY))
+               .applyInArrow(_score(cells.dim, k, threshold, cells.rows_in(BLOCK_BYTES)), _MATCH))
     return top_per_group(matches, ["query_id"], [F.desc("score"), F.col("point_id")], k, rank_col="match_rank")
 
 
