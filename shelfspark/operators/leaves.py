@@ -16,19 +16,21 @@ def resolve_leaves(roots: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPT
 
     ``roots`` has ``root``; ``edges`` has ``parent, id, is_leaf``. A node flagged as leaf is
     not descended into; a node without usable children is its own leaf. One join per level
-    of the tree; a tree deeper than ``max_depth`` is taken for a cycle and refused.
+    of the tree; a tree deeper than ``max_depth`` is taken for a cycle and refused. Children come by an
+    inner join, whose skewed partitions AQE can split on either side.
     """
     usable = edges.filter(F.col("id").isNotNull() & (F.col("id") != ""))
     usable = usable.select(F.col("parent").alias("node"), F.col("id").alias("child"),
                            F.coalesce("is_leaf", F.lit(False)).alias("child_is_leaf"))
+    parents = usable.select("node").distinct()
     frontier = roots.select("root", F.col("root").alias("node"))
     found: DataFrame | None = None
     for _ in range(max_depth):
-        level = materialize(frontier.join(usable, "node", "left"), "leaves")
-        here = level.filter("child IS NULL OR child_is_leaf").select("root", F.coalesce("child", "node").alias("leaf"))
+        childless = frontier.join(parents, "node", "left_anti").select("root", F.col("node").alias("leaf"))
+        level = materialize(frontier.join(usable, "node").drop("node"), "leaves")
+        here = childless.unionByName(level.filter("child_is_leaf").select("root", F.col("child").alias("leaf")))
         found = here if found is None else found.unionByName(here)
-        frontier = (level.filter("child IS NOT NULL AND NOT child_is_leaf")
-                    .select("root", F.col("child").alias("node")))
+        frontier = level.filter("NOT child_is_leaf").select("root", F.col("child").alias("node"))
         if frontier.isEmpty():
             return found
     raise ValueError(f"category tree deeper than {max_depth} levels, or cyclic")
@@ -54,7 +56,7 @@ def leaf_totals(counts: DataFrame) -> DataFrame:
 
 
 def unfinished(leaves: DataFrame, done: DataFrame) -> DataFrame:
-    return leaves.join(done.select("leaf"), "leaf", "left_anti")
+    return leaves.join(done.select("leaf").distinct(), "leaf", "left_anti")
 
 
 def with_old_counts(leaves: DataFrame, counts: DataFrame) -> DataFrame:

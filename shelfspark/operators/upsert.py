@@ -39,13 +39,16 @@ def upsert(base: DataFrame, new: DataFrame, keys: Sequence[str], version: Sequen
 
 
 def absent_from(new: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not in ``target`` yet."""
-    return new.join(target.select(*keys), list(keys), "left_anti")
+    """Rows of ``new`` whose key is not in ``target`` yet.
+
+    The keys are made distinct first: one that fills ``target`` shrinks before the shuffle, which the join shares.
+    """
+    return new.join(target.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def reusable_from(wanted: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``wanted`` that the old store can supply."""
-    return wanted.join(old.select(*keys), list(keys), "left_semi")
+    return wanted.join(old.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def copy_from_old(old: DataFrame, new: DataFrame, keys: Sequence[str], wanted: DataFrame | None = None) -> DataFrame:

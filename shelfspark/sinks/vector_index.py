@@ -28,7 +28,9 @@ def publish(points: DataFrame, path: str, batch: int) -> None:
     fits = F.assert_true(F.size("vector") == dim, F.lit(f"vector without {dim} dimensions"))
     checked = points.withColumn("_ok", fits).filter(F.col("_ok").isNull()).drop("_ok")
     log_changes(checked, f"{path}/points", batch)
-    clash = id_collisions(spark.read.parquet(f"{path}/points")).first()
+    log = spark.read.parquet(f"{path}/points")
+    written = log.filter(F.col("batch") == batch).select("point_id").distinct()
+    clash = id_collisions(log.join(written, "point_id", "left_semi")).first()
     if clash:
         raise ValueError(f"point id {clash.point_id} stands for {clash.first_sub_id} and {clash.last_sub_id}")
 

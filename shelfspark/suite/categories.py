@@ -74,10 +74,11 @@ def leaf_keywords(spark, sf):
 
 def leaf_progress(spark, sf):
     """Orders as leaves of their customer's nation, done when finished; nations without orders are complete."""
-    customers = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.expr("n_nationkey = c_nationkey"), "right")
-    orders = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("leaf"), F.expr("o_orderstatus = 'F'").alias("done"))
-    state = customers.join(orders, F.expr("o_custkey = c_custkey"), "left").select(F.col("n_name").alias("root"), "leaf", "done")
-    return L.progress(state).withColumn("percent", F.round("percent", 6))
+    nations = table(spark, sf, "nation")
+    owners = table(spark, sf, "customer").join(nations, F.expr("n_nationkey = c_nationkey"))
+    leaves = (table(spark, sf, "orders").join(owners, F.expr("o_custkey = c_custkey"))
+              .select(F.col("n_name").alias("root"), F.col("o_orderkey").alias("leaf"), F.expr("o_orderstatus = 'F'").alias("done")))
+    return L.progress(leaves.unionByName(nations.select(F.col("n_name").alias("root")), allowMissingColumns=True)).withColumn("percent", F.round("percent", 6))
 
 
 def leaves_left(spark, sf):
