@@ -37,6 +37,8 @@ def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank
     (slice, group), and each group that continues from earlier slices gets the number of
     rows it had there. At most one group per slice continues, so the offsets have fewer rows than
     there are slices; that bound is what allows their broadcast.
+
+    ``df`` is evaluated more than once: store it first if it is dear.
     """
     by = [F.col(c).desc() if c in descending else F.col(c).asc() for c in order]
     if keys and slices is None:
@@ -72,9 +74,8 @@ def batch_numbers(df: DataFrame, order: Sequence[str], size: int, batch_col: str
 def paged_lists(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, page_size: int,
                 list_col: str = "items", page_col: str = "page") -> DataFrame:
     """Ordered lists of ``value`` per group, cut into pages of ``page_size`` so that no row grows with its group."""
-    ranked = rank_in_group(df, keys, order, "_rank")
-    paged = ranked.select(
-        *keys, F.ceil(F.col("_rank") / page_size).cast("bigint").alias(page_col), F.col("_rank"),
-        value.alias("_value"))
+    narrow = df.select(*dict.fromkeys([*keys, *order]), value.alias("_value"))
+    paged = rank_in_group(narrow, keys, order, "_rank").select(
+        *keys, F.ceil(F.col("_rank") / page_size).cast("bigint").alias(page_col), "_rank", "_value")
     lists = paged.groupBy(*keys, page_col).agg(F.sort_array(F.collect_list(F.struct("_rank", "_value"))).alias("_l"))
     return lists.select(*keys, page_col, F.transform("_l", lambda e: e["_value"]).alias(list_col))

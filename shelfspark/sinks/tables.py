@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shelfspark.operators.upsert import absent_from, fold_changes
 
@@ -36,8 +36,9 @@ def insert_absent(df: DataFrame, path: str, keys: Sequence[str], run_id: str) ->
     """Append rows whose key no earlier run stored."""
     spark = df.sparkSession
     if exists(spark, path):
-        stored = spark.read.parquet(path)
-        earlier = stored.filter(F.col("run_id").cast("string") != run_id)
+        # With the schema given, a run id that looks like a number stays the text it is.
+        stored = spark.read.schema(T.StructType([*df.schema, T.StructField("run_id", T.StringType())])).parquet(path)
+        earlier = stored.filter(F.col("run_id") != run_id)
         df = absent_from(df, earlier, keys)
     df.dropDuplicates(list(keys)).write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
     return path

@@ -14,7 +14,8 @@ def ingest(feed: DataFrame, log_path: str, checkpoint: str,
            prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> StreamingQuery:
     """Add every unseen row of ``feed`` to a change log and stop when there are no more.
 
-    Progress is kept in ``checkpoint``; ``sinks.tables.current`` reads the upserted state.
+    Progress is kept in ``checkpoint``, whose batch numbers name the batches of the log: the two belong
+    together. ``sinks.tables.current`` reads the upserted state.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         log_changes(prepare(batch), log_path, batch_id)

@@ -112,7 +112,8 @@ def cart_quantities(spark, sf):
 
 
 def cart_reply_pages(spark, sf):
-    pages = checkout.cart_pages(_items(spark, sf)[1], page_size=8)
+    items = materialize(_items(spark, sf)[1], "items")
+    pages = checkout.cart_pages(items, page_size=8)
     return pages.select("cart_id", "page", F.size("items").cast("bigint").alias("n_items"),
                         F.concat_ws("|", F.transform("items", lambda i: i["name"])).alias("names"))
 

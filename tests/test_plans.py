@@ -68,6 +68,14 @@ def test_runs_replace_themselves(spark, tmp_path):
     assert stored.count() == 10 and "image_data" not in stored.columns
 
 
+def test_insert_absent_reruns_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for run, rows in (("007", [1, 2, 2]), ("008", [2, 3]), ("007", [1, 2, 2]), ("008", [2, 3])):
+        tables.insert_absent(spark.createDataFrame([(r,) for r in rows], "k int"), path, ["k"], run)
+    stored = spark.read.schema("k int, run_id string").parquet(path)
+    assert sorted(map(tuple, stored.collect())) == [(1, "007"), (2, "007"), (3, "008")]
+
+
 def test_change_log(spark, tmp_path):
     path = str(tmp_path / "log")
     tables.log_changes(spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, s string, n int"), path, 0)
