@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import toxicity
+from shelfspark.llm import simhash, toxicity
 from shelfspark.session import materialize
 
 
@@ -14,8 +14,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.keep_clean(docs, model)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays."""
+    return simhash.keep_one(docs, shingle=3, radius=2)
+
+
 STAGES = [
     ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
 ]
 
 #: No stage here can be said in SQL as a whole; tests hold the stages against brute force.

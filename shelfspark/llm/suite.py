@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import toxicity
+from shelfspark.llm import simhash, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_toxicity(spark, sf):
                          (F.col("score") >= 0.7).cast("int").alias("predicted"), "toxic_by_language")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity,)}
+def op4_simhash(spark, sf):
+    """Near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, radius=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_simhash)}
 
 ORACLE: dict[str, str] = {}
