@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import simhash, toxicity
+from shelfspark.llm import decontaminate, simhash, toxicity
 from shelfspark.session import materialize
 
 
@@ -19,9 +19,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.keep_one(docs, shingle=3, radius=2)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item stay."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 STAGES = [
     ("toxicity", toxicity_stage),
     ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
 ]
 
 #: No stage here can be said in SQL as a whole; tests hold the stages against brute force.

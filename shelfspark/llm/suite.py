@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import simhash, toxicity
+from shelfspark.llm import decontaminate, simhash, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op4_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, radius=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_simhash)}
+def op5_decontaminate(spark, sf):
+    """Every document passage that overlaps a benchmark item."""
+    return decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_simhash, op5_decontaminate)}
 
 ORACLE: dict[str, str] = {}
