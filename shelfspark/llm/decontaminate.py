@@ -55,13 +55,10 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
                          before.alias("_before")).filter("_seed IS NOT NULL")
 
 
-def _overlap(words: str, item_words: str, shift: str) -> Column:
-    """Struct (matched, length, stretch) of the alignment that puts item word j at document word j + shift."""
-    first = F.greatest(F.lit(0), -F.col(shift))
-    length = F.least(F.size(item_words), F.size(words) - F.col(shift)) - first
-    equal = F.zip_with(F.slice(F.col(words), first + F.col(shift) + 1, length), F.slice(F.col(item_words), first + 1, length),
-                       lambda a, b: (a == b).cast("int"))
-    start = F.struct(F.lit(0).alias("all"), F.lit(0).alias("score"), F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("stretch"))
+def _overlap(words: str, item_words: str) -> Column:
+    """Struct (matched, stretch) of two aligned stretches of words."""
+    equal = F.zip_with(words, item_words, lambda a, b: (a == b).cast("int"))
+    start = F.struct(*[F.lit(0).alias(c) for c in ("all", "score", "run", "best", "stretch")])
 
     def step(s: Column, e: Column) -> Column:
         score = F.greatest(s["score"] + F.when(e == 1, 1).otherwise(-4), F.lit(0))
@@ -70,7 +67,7 @@ def _overlap(words: str, item_words: str, shift: str) -> Column:
                         F.greatest(s["best"], score).alias("best"),
                         F.when(score > s["best"], run).otherwise(s["stretch"]).alias("stretch"))
 
-    return F.aggregate(equal, start, step, lambda s: F.struct(s["all"].alias("matched"), length.alias("length"), s["stretch"].alias("stretch")))
+    return F.aggregate(equal, start, step, lambda s: F.struct(s["all"].alias("matched"), s["stretch"].alias("stretch")))
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, least_words: int = 8,
@@ -92,12 +89,20 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, *, similarity: float =
             seeds.filter(F.pmod("_seed", F.lit(slices)) == k), placed.filter(F.pmod("_s", F.lit(slices)) == k))
         leftmost = F.col("_before").isNull() | (F.col("_i") == 0) | (F.get("_words", F.col("_i") - 1) != F.col("_before"))
         hits = sought.join(F.broadcast(part), (F.col("_s") == F.col("_seed")) & leftmost)
-        found.append(hits.select(*keys, F.col("_item").alias("item_id"), F.size("_item_words").alias("item_words"), "_words", "_item_words",
-                                 (F.col("_i") - F.col("_at")).alias("_shift")))
+        shift = F.col("_i") - F.col("_at")
+        first = F.greatest(F.lit(0), -shift)
+        length = F.least(F.size("_item_words"), F.size("_words") - shift) - first
+        found.append(hits.select(
+            *keys, F.col("_item").alias("item_id"), F.size("_item_words").alias("item_words"),
+            F.slice("_words", first + shift + 1, length).alias("_here"), F.slice("_item_words", first + 1, length).alias("_there"),
+            F.spark_partition_id().alias("_task")))
     hits = reduce(DataFrame.unionByName, found)
-    judged = hits.select(*keys, "item_id", "item_words", _overlap("_words", "_item_words", "_shift").alias("o"))
+    judged = hits.select(*keys, "item_id", "item_words", "_task", _overlap("_here", "_there").alias("o"))
     enough = ((F.col("o.matched") >= F.ceil(F.col("item_words") * similarity - 1e-9))
               | ((F.col("o.stretch") >= least_words) & (2 * F.col("o.stretch") >= F.col("item_words"))))
+    # The task's number is not deterministic to the optimiser, which so leaves this filter above the join: inside the join, its lambdas would end
+    # the generated code there, and each position of a text would be copied out with all of its words.
+    enough = enough & (F.col("_task") >= 0)
     return (judged.filter(enough).groupBy(*keys, "item_id")
             .agg(F.max("o.matched").cast("bigint").alias("matched_words"), F.max("o.stretch").cast("bigint").alias("stretch_words"),
                  F.max("item_words").cast("bigint").alias("item_words")))
