@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import decontaminate, simhash, toxicity
+from shelfspark.llm import decontaminate, pii, simhash, toxicity
 from shelfspark.session import materialize
 
 
@@ -24,10 +24,16 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; personal data in its text is replaced by its kind."""
+    return pii.redact(docs)
+
+
 STAGES = [
     ("toxicity", toxicity_stage),
     ("near_duplicates", near_duplicate_stage),
     ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
 ]
 
 #: No stage here can be said in SQL as a whole; tests hold the stages against brute force.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import decontaminate, simhash, toxicity
+from shelfspark.llm import decontaminate, pii, simhash, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op5_decontaminate(spark, sf):
     return decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_simhash, op5_decontaminate)}
+def op8_pii(spark, sf):
+    """Personal data in every document."""
+    return pii.report(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_simhash, op5_decontaminate, op8_pii)}
 
 ORACLE: dict[str, str] = {}
