@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import decontaminate, pii, simhash, toxicity
+from shelfspark.llm import bytepair, decontaminate, pii, simhash, toxicity
 from shelfspark.session import materialize
 
 
@@ -29,11 +30,17 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.redact(docs)
 
 
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document the number of its tokens and the digests of its ids and of their text."""
+    return bytepair.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
     ("toxicity", toxicity_stage),
     ("near_duplicates", near_duplicate_stage),
     ("decontamination", decontamination_stage),
     ("pii", pii_stage),
+    ("tokens", token_stage),
 ]
 
 #: No stage here can be said in SQL as a whole; tests hold the stages against brute force.

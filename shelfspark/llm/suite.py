@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import decontaminate, pii, simhash, toxicity
+from shelfspark.llm import bytepair, decontaminate, pii, simhash, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -35,6 +36,11 @@ def op8_pii(spark, sf):
     return pii.report(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_simhash, op5_decontaminate, op8_pii)}
+def op7_bytepair(spark, sf):
+    """Tokens of every document, and their text again."""
+    return bytepair.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_simhash, op5_decontaminate, op7_bytepair, op8_pii)}
 
 ORACLE: dict[str, str] = {}
