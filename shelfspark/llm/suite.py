@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import bytepair, decontaminate, pii, simhash, toxicity
+from shelfspark.llm import bytepair, decontaminate, licences, pii, simhash, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,6 +41,32 @@ def op7_bytepair(spark, sf):
     return bytepair.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_simhash, op5_decontaminate, op7_bytepair, op8_pii)}
+def op6_licences(spark, sf):
+    """The licence every document is, and those its lines name."""
+    return licences.scan(table(spark, sf, "documents"), licences.known_digests(spark))
 
-ORACLE: dict[str, str] = {}
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_simhash, op5_decontaminate, op6_licences, op7_bytepair, op8_pii)}
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical form of a licence text, in SQL."""
+    bare = f"regexp_replace({text}, '{licences.COPYRIGHT_LINE}', ' ', 'g')"
+    form = f"trim(regexp_replace(lower({bare}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    for pattern, word in licences.EQUIVALENT_SPELLINGS:
+        form = f"regexp_replace({form}, '\\b{pattern}\\b', '{word}', 'g')"
+    return form
+
+
+_KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, texts in licences.KNOWN_TEXTS.items() for text in texts)
+
+ORACLE: dict[str, str] = {
+    "op6_licences": f"""WITH known AS (SELECT min(licence) AS licence, form FROM (SELECT licence, {_canonical_sql('body')} AS form
+            FROM (VALUES {_KNOWN}) t(licence, body)) GROUP BY form),
+        units AS (SELECT doc_id, 0 AS place, text AS unit FROM documents UNION ALL
+            SELECT doc_id, 1, unnest(string_split_regex(text, '\r?\n')) FROM documents),
+        named AS (SELECT doc_id, place, licence FROM (SELECT doc_id, place, {_canonical_sql('unit')} AS form FROM units
+            WHERE regexp_matches(unit, '{licences.CUE}')) JOIN known USING (form))
+        SELECT d.doc_id, max(licence) FILTER (place = 0) AS licence, coalesce(string_agg(DISTINCT licence, ',' ORDER BY licence) FILTER (place = 1), '') AS notices,
+            count(licence) FILTER (place = 1) AS n_notices FROM documents d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id""",
+}
