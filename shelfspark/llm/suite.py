@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import bytepair, decontaminate, licences, pii, simhash, toxicity
+from shelfspark.llm import bytepair, decontaminate, licences, pii, simhash, tokenfiles, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -46,7 +46,13 @@ def op6_licences(spark, sf):
     return licences.scan(table(spark, sf, "documents"), licences.known_digests(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_simhash, op5_decontaminate, op6_licences, op7_bytepair, op8_pii)}
+def op9_tokenfiles(spark, sf):
+    """Where every document's ids lie, read back from the written files."""
+    return tokenfiles.stored_ids(spark, table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op4_simhash, op5_decontaminate, op6_licences, op7_bytepair, op8_pii, op9_tokenfiles)}
 
 
 def _canonical_sql(text: str) -> str:
