@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import bytepair, decontaminate, licences, pii, simhash, tokenfiles, toxicity
+from shelfspark.llm import blockjoin, bytepair, decontaminate, licences, pii, simhash, tokenfiles, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op1_toxicity(spark, sf):
                          (F.col("score") >= 0.7).cast("int").alias("predicted"), "toxic_by_language")
 
 
+def op3_blockjoin(spark, sf):
+    """The ten nearest other vectors of every hundredth vector."""
+    vectors = table(spark, sf, "embeddings")
+    return blockjoin.nearest(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
 def op4_simhash(spark, sf):
     """Near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, radius=2)
@@ -52,7 +58,7 @@ def op9_tokenfiles(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op4_simhash, op5_decontaminate, op6_licences, op7_bytepair, op8_pii, op9_tokenfiles)}
+    op1_toxicity, op3_blockjoin, op4_simhash, op5_decontaminate, op6_licences, op7_bytepair, op8_pii, op9_tokenfiles)}
 
 
 def _canonical_sql(text: str) -> str:
@@ -67,6 +73,10 @@ def _canonical_sql(text: str) -> str:
 _KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, texts in licences.KNOWN_TEXTS.items() for text in texts)
 
 ORACLE: dict[str, str] = {
+    "op3_blockjoin": """SELECT query_id, cast(rank AS integer) AS rank, vec_id, score FROM (
+        SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM (
+            SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.embedding::double[], c.embedding::double[]) AS score
+            FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)) WHERE rank <= 10""",
     "op6_licences": f"""WITH known AS (SELECT min(licence) AS licence, form FROM (SELECT licence, {_canonical_sql('body')} AS form
             FROM (VALUES {_KNOWN}) t(licence, body)) GROUP BY form),
         units AS (SELECT doc_id, 0 AS place, text AS unit FROM documents UNION ALL
