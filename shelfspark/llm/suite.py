@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import blockjoin, bytepair, decontaminate, licences, pii, simhash, tokenfiles, toxicity
+from shelfspark.llm import blockjoin, bytepair, decontaminate, licences, pii, simhash, tokenfiles, toxicity, warczip
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_toxicity(spark, sf):
                          (F.col("score") >= 0.7).cast("int").alias("predicted"), "toxic_by_language")
 
 
+def op2_warczip(spark, sf):
+    """Every page as a WARC record, written to ZIP packages and read back."""
+    return warczip.archived(spark, table(spark, sf, "pages"), least_bytes=0)
+
+
 def op3_blockjoin(spark, sf):
     """The ten nearest other vectors of every hundredth vector."""
     vectors = table(spark, sf, "embeddings")
@@ -58,7 +63,7 @@ def op9_tokenfiles(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op3_blockjoin, op4_simhash, op5_decontaminate, op6_licences, op7_bytepair, op8_pii, op9_tokenfiles)}
+    op1_toxicity, op2_warczip, op3_blockjoin, op4_simhash, op5_decontaminate, op6_licences, op7_bytepair, op8_pii, op9_tokenfiles)}
 
 
 def _canonical_sql(text: str) -> str:
