@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import blockjoin, bytepair, decontaminate, licences, pii, simhash, tokenfiles, toxicity, warczip
+from shelfspark.llm import blockjoin, bytepair, chat, decontaminate, licences, pii, simhash, tokenfiles, toxicity, warczip
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -62,8 +62,13 @@ def op9_tokenfiles(spark, sf):
     return tokenfiles.stored_ids(spark, table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_chat(spark, sf):
+    """Every conversation repaired and rendered, a fragment a turn."""
+    return chat.format_conversations(table(spark, sf, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_warczip, op3_blockjoin, op4_simhash, op5_decontaminate, op6_licences, op7_bytepair, op8_pii, op9_tokenfiles)}
+    op1_toxicity, op2_warczip, op3_blockjoin, op4_simhash, op5_decontaminate, op6_licences, op7_bytepair, op8_pii, op9_tokenfiles, op10_chat)}
 
 
 def _canonical_sql(text: str) -> str:
