@@ -18,7 +18,7 @@ from shelfspark.llm.common import text_or_empty
 from shelfspark.llm.licence_texts import EQUIVALENT_SPELLINGS, KNOWN_TEXTS
 
 #: One of these is in every known text.
-CUE = r"(?i)licen[cs]e|permission|public domain|redistribution|spdx"
+CUE = r"(?i)licen[cs]e|released under|permission|public domain|redistribution|spdx"
 COPYRIGHT_LINE = (r"(?im)^[^\p{L}\p{N}©(]*(?:copyright\s*(?:\(c\)|©|[<\[]?y|[0-9]{4}|by\s|holders?\s*$)|\(c\)\s|©|all rights reserved).*$")
 
 
