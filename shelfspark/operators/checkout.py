@@ -27,8 +27,8 @@ def reply_columns() -> list[Column]:
 
 
 def describe_matches(matches: DataFrame, payload: DataFrame) -> DataFrame:
-    """Matches with the reply columns of their point; ``payload`` is keyed by ``point_id``."""
-    joined = matches.join(payload.select("point_id", "name", "price", "sku", "platform"), "point_id")
+    """Matches with the reply columns of their point; ``payload`` is keyed by ``point_id``. A match without payload gets the defaults."""
+    joined = matches.join(payload.select("point_id", "name", "price", "sku", "platform"), "point_id", "left")
     return joined.select(*matches.columns, *reply_columns())
 
 

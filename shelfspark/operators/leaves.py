@@ -2,38 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from shelfspark.functions.ids import leaf_target
 from shelfspark.functions.text import last_segment, listing_url
 from shelfspark.operators.ranking import paged_lists, rank_in_group, top_per_group
-from shelfspark.session import materialize
+from shelfspark.session import materialize, scratch_path
 
-MAX_DEPTH = 32
 
+def resolve_leaves(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Leaves below each root as ``(root, leaf)``, each once.
 
-def resolve_leaves(roots: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Leaves below each root as ``(root, leaf)``.
-
-    ``roots`` has ``root``; ``edges`` has ``parent, id, is_leaf``. A node flagged as leaf is
-    not descended into; a node without usable children is its own leaf. One join per level
-    of the tree; a tree deeper than ``max_depth`` is taken for a cycle and refused. Children come by an
-    inner join, whose skewed partitions AQE can split on either side.
+    ``roots`` has ``root``; ``edges`` has ``parent, id, is_leaf``. A node that any of its edges flags as leaf is
+    not descended into; a node without usable children is its own leaf. One join per level of the tree, however
+    deep: nodes met before are not met again, so that a node with several parents counts once and a cycle ends. Children
+    come by an inner join, whose skewed partitions AQE can split on either side.
     """
+    spark = roots.sparkSession
     usable = edges.filter(F.col("id").isNotNull() & (F.col("id") != ""))
-    usable = usable.select(F.col("parent").alias("node"), F.col("id").alias("child"),
-                           F.coalesce("is_leaf", F.lit(False)).alias("child_is_leaf"))
-    parents = usable.select("node").distinct()
-    frontier = roots.select("root", F.col("root").alias("node"))
-    found: DataFrame | None = None
-    for _ in range(max_depth):
-        childless = frontier.join(parents, "node", "left_anti").select("root", F.col("node").alias("leaf"))
-        level = materialize(frontier.join(usable, "node").drop("node"), "leaves")
-        here = childless.unionByName(level.filter("child_is_leaf").select("root", F.col("child").alias("leaf")))
-        found = here if found is None else found.unionByName(here)
-        frontier = level.filter("NOT child_is_leaf").select("root", F.col("child").alias("node"))
+    flagged = F.max(F.coalesce("is_leaf", F.lit(False))).alias("child_is_leaf")
+    usable = usable.groupBy(F.col("parent").alias("node"), F.col("id").alias("child")).agg(flagged)
+    path = scratch_path(spark, "leaves")
+    level = roots.select("root", F.col("root").alias("node"), F.lit(False).alias("is_leaf")).distinct()
+    depth = 0
+    while True:
+        level.write.parquet(f"{path}/level={depth}")
+        visited = spark.read.schema(T.StructType([*level.schema, T.StructField("level", T.IntegerType())])).parquet(path)
+        frontier = visited.filter((F.col("level") == depth) & ~F.col("is_leaf"))
         if frontier.isEmpty():
-            return found
-    raise ValueError(f"category tree deeper than {max_depth} levels, or cyclic")
+            break
+        below = (frontier.select("root", "node").join(usable, "node").groupBy("root", F.col("child").alias("node"))
+                 .agg(F.max("child_is_leaf").alias("is_leaf")))
+        level = below.join(visited.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", "is_leaf")
+        depth += 1
+    inner = usable.select("node").distinct()
+    childless = visited.filter("NOT is_leaf").join(inner, "node", "left_anti")
+    found = visited.filter("is_leaf").select("root", "node").unionByName(childless.select("root", "node"))
+    return materialize(found.withColumnRenamed("node", "leaf"), "leaves-found")
 
 
 def products_by_leaf(products: DataFrame, path: str = "primary_category_path") -> DataFrame:
@@ -80,10 +85,19 @@ def phases(old: DataFrame, listed: DataFrame) -> DataFrame:
             .unionByName(listed.withColumn("phase", F.lit(2)), allowMissingColumns=True))
 
 
-def fill_quota(candidates: DataFrame, targets: DataFrame, product: str = "product_id") -> DataFrame:
+def with_targets(leaves: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
+    """Rows with the ``target`` of their leaf; a leaf without one gets the target drawn for it, so no row is lost.
+
+    Of several targets of a leaf the largest counts.
+    """
+    given = targets.groupBy("leaf").agg(F.max("target").alias("target"))
+    return leaves.join(given, "leaf", "left").withColumn("target", F.coalesce("target", leaf_target(F.col("leaf"), seed)))
+
+
+def fill_quota(candidates: DataFrame, targets: DataFrame, product: str = "product_id", seed: int = 0) -> DataFrame:
     """Candidates taken per leaf, phase 1 first, until the leaf's ``target`` is reached; exact for any leaf size."""
     ranked = rank_in_group(candidates, ["leaf"], ["phase", product], "taken")
-    return ranked.join(targets.select("leaf", "target"), "leaf").filter("taken <= target")
+    return with_targets(ranked, targets, seed).filter("taken <= target")
 
 
 def leaf_keywords(leaves: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -101,9 +115,9 @@ def fetch_list(leaf_keyword: DataFrame, endpoint: str, page: Column) -> DataFram
 
 
 def page_cursors(listings: DataFrame, order: list[str], page_size: int = 40) -> DataFrame:
-    """Pages a landed listing fills: number of rows and pages, and rows on the last page, per leaf."""
+    """Pages a landed listing fills: number of rows and pages, and rows on the last page, per leaf. ``order`` is that of the pages."""
     pages = F.ceil(F.col("n_rows") / page_size).cast("bigint")
-    return (listings.groupBy("leaf").agg(F.count(order[0]).alias("n_rows"))
+    return (listings.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_rows"))
             .withColumns({"n_pages": pages,
                           "last_page_rows": F.col("n_rows") - (F.greatest(pages, F.lit(1)) - 1) * page_size}))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfspark.functions.text import IMAGE_EXTENSIONS, base_name, extension, normalize_path
-from shelfspark.operators.upsert import overlay
+from shelfspark.operators.upsert import one_per_key, overlay
 
 
 def spread_nulls(key: Column) -> Column:
@@ -37,7 +37,8 @@ def ingest_status(incoming: DataFrame, checkpoint: DataFrame, files: DataFrame)
     ``skip_done``: stored with its image; ``skip_wait``: stored, no image yet and none to be had;
     ``update``: stored, and its image has turned up; ``new``: not stored.
     """
-    known = checkpoint.select("source_file", F.col("image_path").alias("_stored"), F.lit(True).alias("_known"))
+    known = (checkpoint.groupBy("source_file").agg(F.max("image_path").alias("_stored"))
+             .withColumn("_known", F.lit(True)))
     status = (F.when(F.col("_known").isNull(), "new")
               .when(F.col("_stored").isNotNull(), "skip_done")
               .when(F.col("image_file").isNull(), "skip_wait")
@@ -76,9 +77,11 @@ def enrich(listing: DataFrame, detail: DataFrame, structured: DataFrame, key: st
     """Listing rows enriched by the detail record, else by structured page data, else left alone.
 
     Non-null detail fields override listing fields of the same name and add the others. Where there
-    is no detail, the page data (column ``ld_json``) is nested. ``data_source`` says which it was.
+    is no detail, the page data (column ``ld_json``) is nested. ``data_source`` says which it was. Of several records of
+    a key the first by their columns counts, so listings are never multiplied.
     """
     fields: Sequence[str] = [c for c in detail.columns if c != key]
+    detail, structured = one_per_key(detail, [key]), one_per_key(structured.select(key, "ld_json"), [key])
     d = detail.select(key, *[F.col(c).alias(f"_d_{c}") for c in fields], F.lit(True).alias("_has_detail"))
     s = structured.select(key, F.col("ld_json").alias("_ld"))
     joined = listing.join(d, key, "left").join(s, key, "left")

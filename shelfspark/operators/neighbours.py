@@ -95,12 +95,12 @@ class Cells:
 def choose_pivots(index: DataFrame, count: int, candidates: int = 1024) -> np.ndarray | None:
     """Up to ``count`` well spread vectors of the index; None for an empty one.
 
-    Pivots decide how much is pruned, never what is found, so the first ``candidates`` rows
-    Spark comes by are good enough: no scan, and a bounded number of rows on the driver. Of
-    these, each next pivot is the one farthest from all chosen before.
+    Pivots decide how much is pruned, never what is found. Their ``candidates`` are the rows with the smallest hashes of
+    their ids, whatever the order of the files: a bounded number of rows on the driver. Of these, each next pivot is
+    the one farthest from all chosen before.
     """
     usable = index.filter(F.exists("vector", lambda x: x != 0)).select("point_id", "vector")
-    rows = sorted(usable.limit(candidates if count > 1 else 1).collect(), key=lambda row: row.point_id)
+    rows = sorted(usable.orderBy(F.xxhash64("point_id"), "point_id").limit(candidates if count > 1 else 1).collect(), key=lambda row: row.point_id)
     if not rows:
         return None
     if len({len(row.vector) for row in rows}) > 1:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfspark.operators.ranking import top_per_group
+
 
 def fold_changes(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
     """Current row per key from a log of changes: per column, the newest value that is not null.
@@ -19,6 +21,20 @@ def fold_changes(df: DataFrame, keys: Sequence[str], version: Sequence[str]) ->
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in rest])
 
 
+def fold_rows(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
+    """Current row per key from a log of changes: the newest row as a whole, so that its columns belong together."""
+    rest = [c for c in df.columns if c not in keys and c not in version]
+    newest = F.max_by(F.struct(*rest), F.struct(*version)).alias("_row")
+    return df.groupBy(*keys).agg(newest).select(*keys, "_row.*")
+
+
+def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the first by ``order``, or by all columns that have an order."""
+    plain = [name for name, kind in df.dtypes if name not in keys and not any(t in kind for t in ("map<", "variant"))]
+    by = list(order) or plain or list(keys)
+    return top_per_group(df, list(keys), [F.col(c).asc_nulls_last() for c in by])
+
+
 def upsert(base: DataFrame, new: DataFrame, keys: Sequence[str], version: Sequence[str] = ()) -> DataFrame:
     """``new`` over ``base``: its non-null fields override, absent ones survive, unknown keys are added.
 

@@ -35,11 +35,11 @@ def balance(roots: DataFrame, edges: DataFrame, old: DataFrame, listed: DataFram
         targets = open_leaves.select("leaf").distinct().withColumn("target", leaf_target(F.col("leaf"), seed))
     fresh = listed.join(old.select("product_id"), "product_id", "left_anti")
     wanted = L.phases(old, fresh).join(open_leaves.select("leaf").distinct(), "leaf", "left_semi")
-    selected = L.fill_quota(wanted, targets).withColumn(
+    selected = L.fill_quota(wanted, targets, seed=seed).withColumn(
         "outcome", F.when(F.col("phase") == 1, "reused").otherwise("crawled"))
     filled = selected.groupBy("leaf", "target").agg(
         F.count(F.lit(1)).alias("filled"), F.count_if(F.col("phase") == 1).alias("reused"))
-    report = (open_leaves.join(targets, "leaf").join(filled.drop("target"), "leaf", "left")
+    report = (L.with_targets(open_leaves, targets, seed).join(filled.drop("target"), "leaf", "left")
               .select("root", "leaf", "target", *[
                   F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("filled", "reused")])
               .withColumn("crawled", F.col("filled") - F.col("reused")))

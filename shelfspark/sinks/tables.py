@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from shelfspark.operators.upsert import absent_from, fold_changes
+from shelfspark.operators.upsert import absent_from, fold_changes, one_per_key
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -32,34 +32,38 @@ def write_content(df: DataFrame, root: str, run_id: str, path_column: str, bytes
     return root
 
 
-def insert_absent(df: DataFrame, path: str, keys: Sequence[str], run_id: str) -> str:
-    """Append rows whose key no earlier run stored."""
+def insert_absent(df: DataFrame, path: str, keys: Sequence[str], run_id: str, order: Sequence[str] = ()) -> str:
+    """Append rows whose key no earlier run stored; of several with one key the first by ``order`` (all columns without it)."""
     spark = df.sparkSession
     if exists(spark, path):
         # With the schema given, a run id that looks like a number stays the text it is.
         stored = spark.read.schema(T.StructType([*df.schema, T.StructField("run_id", T.StringType())])).parquet(path)
         earlier = stored.filter(F.col("run_id") != run_id)
         df = absent_from(df, earlier, keys)
-    df.dropDuplicates(list(keys)).write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+    one_per_key(df, keys, order).write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
     return path
 
 
 def log_changes(df: DataFrame, path: str, batch: int) -> None:
-    """Add one batch to a change log; writing the batch again replaces it, so replays are harmless."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    """Add one batch to a change log; writing the batch again replaces it, so replays are harmless.
+
+    Rows are numbered as they come (column ``seq``), so that changes of one key in one batch have an order; a ``seq`` of the caller's stays.
+    """
+    numbered = df if "seq" in df.columns else df.withColumn("seq", F.monotonically_increasing_id())
+    numbered.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
-def current(spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str] = ("batch",)) -> DataFrame:
+def current(spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str] = ("batch", "seq")) -> DataFrame:
     """The log folded to one row per key: the newest non-null value of every column.
 
-    Changes are ordered by batch, or by ``version`` where the rows say themselves which is newer.
+    Changes are ordered by batch and place in it, or by ``version`` where the rows say themselves which is newer.
     """
     changes = read_changes(spark, path)
-    return fold_changes(changes if "batch" in version else changes.drop("batch"), keys, version)
+    return fold_changes(changes.drop(*{"batch", "seq"}.difference(version)), keys, version)
 
 
 def save_state(state: DataFrame, path: str, run: int) -> None:

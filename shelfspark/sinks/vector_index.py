@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.operators.detections import id_collisions
-from shelfspark.sinks.tables import current, exists, log_changes
+from shelfspark.operators.upsert import fold_rows
+from shelfspark.sinks.tables import exists, log_changes
 
 _META = "name string, dim int, metric string, model string"
 
@@ -36,4 +37,5 @@ def publish(points: DataFrame, path: str, batch: int) -> None:
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    return current(spark, f"{path}/points", ["point_id"])
+    """The newest row of every point as a whole: vector and payload of one publication."""
+    return fold_rows(spark.read.parquet(f"{path}/points"), ["point_id"], ["batch", "seq"])

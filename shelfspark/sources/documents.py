@@ -79,8 +79,11 @@ def find_file(files: DataFrame, name: str) -> DataFrame:
 
 
 def checkpoint_of(collection: DataFrame) -> DataFrame:
-    """``source_file`` and image path of the stored documents that came from a file."""
-    return collection.select("source_file", "image_path").filter(F.col("source_file").isNotNull())
+    """``source_file`` and image path of the stored documents that came from a file, a row a file.
+
+    A file stored several times has its image if any of them has (the greatest path).
+    """
+    return collection.filter(F.col("source_file").isNotNull()).groupBy("source_file").agg(F.max("image_path").alias("image_path"))
 
 
 def with_listing_id(listings: DataFrame, column: str = "id") -> DataFrame:

@@ -39,8 +39,8 @@ def checkout_stream(feed: DataFrame, index: DataFrame, payload: DataFrame, out:
 
 
 def read_items(spark: SparkSession, out: str) -> DataFrame:
-    return read_changes(spark, f"{out}/items").drop("batch")
+    return read_changes(spark, f"{out}/items").drop("batch", "seq")
 
 
 def read_carts(spark: SparkSession, out: str) -> DataFrame:
-    return carts(read_changes(spark, f"{out}/detections").drop("batch"), read_items(spark, out))
+    return carts(read_changes(spark, f"{out}/detections").drop("batch", "seq"), read_items(spark, out))

@@ -2,34 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from shelfspark.operators.leaves import with_targets
 from shelfspark.operators.ranking import rank_in_group
-from shelfspark.sinks.tables import exists, log_changes, read_changes
+from shelfspark.operators.upsert import one_per_key
+from shelfspark.session import materialize
+from shelfspark.sinks.tables import exists
+
+BUCKETS = 64
 
 
 def quota_stream(feed: DataFrame, targets: DataFrame, out: str, checkpoint: str,
-                 product: str = "product_id") -> StreamingQuery:
+                 product: str = "product_id", seed: int = 0) -> StreamingQuery:
     """Accept arriving products of each leaf until its ``target``; what earlier batches accepted counts.
 
-    Counts come from the accepted rows of the batches before, hence a replay sees what the
-    first try saw.
+    A product counts once per leaf, within a batch and across batches, so how many a leaf accepts does not depend on how its arrivals
+    fall into batches. Accepted rows lie in ``BUCKETS`` folders by leaf, of which a batch reads those of its own leaves.
+    They are those of the batches before, hence a replay sees what the first try saw.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        counts = None
+        columns = batch.columns
+        bucket = F.pmod(F.xxhash64("leaf"), F.lit(BUCKETS)).cast("int")
+        arrived = materialize(one_per_key(batch, ["leaf", product]).withColumn("bucket", bucket), "arrivals")
         if exists(spark, out):
-            before = read_changes(spark, out).filter(F.col("batch") < batch_id)
-            batch = batch.join(before.select(product), product, "left_anti").select(*batch.columns)
-            counts = before.groupBy("leaf").agg(F.count(F.lit(1)).alias("held"))
-        ranked = rank_in_group(batch, ["leaf"], [product], "_rank").join(targets.select("leaf", "target"), "leaf")
-        held = F.lit(0)
-        if counts is not None:
-            ranked = ranked.join(counts, "leaf", "left")
-            held = F.coalesce("held", F.lit(0))
-        accepted = ranked.filter(F.col("_rank") + held <= F.col("target"))
-        log_changes(accepted.select(*batch.columns), out, batch_id)
+            own = [row.bucket for row in arrived.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+            schema = T.StructType([*batch.schema, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+            before = spark.read.schema(schema).parquet(out).filter((F.col("batch") < batch_id) & F.col("bucket").isin(own))
+            arrived = arrived.join(before.select("leaf", product), ["leaf", product], "left_anti")
+            counts = before.groupBy("leaf").agg(F.count(F.lit(1)).alias("_held"))
+        else:
+            counts = arrived.limit(0).groupBy("leaf").agg(F.count(F.lit(1)).alias("_held"))
+        ranked = rank_in_group(arrived.select(*columns, "bucket"), ["leaf"], [product], "_rank")
+        ranked = with_targets(ranked, targets, seed).join(counts, "leaf", "left")
+        accepted = ranked.filter(F.col("_rank") + F.coalesce("_held", F.lit(0)) <= F.col("target"))
+        accepted.select(*columns, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={batch_id}")
 
     return (feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

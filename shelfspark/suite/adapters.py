@@ -134,7 +134,7 @@ DERIVED: dict[str, str] = {
         SELECT query_id // 20 AS cart_id, query_id, m.point_id, score,
                coalesce(name, 'Unknown Product') AS name, coalesce(price, 0.0) AS price,
                price IS NULL AS price_missing, coalesce(sku, '') AS sku, coalesce(platform, '') AS platform
-        FROM matches m JOIN payload USING (point_id) WHERE match_rank = 1 AND score > 0.6""",
+        FROM matches m LEFT JOIN payload USING (point_id) WHERE match_rank = 1 AND score > 0.6""",
     "edges": """
         SELECT concat('R', r_regionkey) AS parent, concat('N', n_nationkey) AS id, false AS is_leaf
         FROM region JOIN nation ON n_regionkey = r_regionkey

@@ -76,6 +76,13 @@ def ingest_status(spark, sf):
     return _statuses(spark, sf).select("source_file", "image_file", "status")
 
 
+def ingest_status_repeats(spark, sf):
+    """Every stored file twice in the checkpoint, once without its image."""
+    stored = view(spark, sf, "checkpoint").select("source_file", "image_path")
+    checkpoint = stored.unionByName(stored.withColumn("image_path", F.lit(None).cast("string")))
+    return matching.ingest_status(view(spark, sf, "products").drop("image_path"), checkpoint, image_files(spark, sf)).select("source_file", "image_file", "status")
+
+
 def ingest_report(spark, sf):
     return reports.ingest_report(_statuses(spark, sf))
 
@@ -175,12 +182,60 @@ def stage_append(spark, sf):
         F.count(F.lit(1)).alias("n_rows"), F.count("sku").alias("n_skus"), F.round(F.sum("price"), 2).alias("sum_price"))
 
 
+def insert_absent_order(spark, sf):
+    """First event of each user, in two runs of which the second brings other events."""
+    events = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    path = scratch_path(spark, "absent")
+    for run, rest in (("r1", 0), ("r2", 1), ("r1", 0)):
+        tables.insert_absent(events.filter(F.col("event_id") % 2 == rest), path, ["user_id"], run, order=["event_id"])
+    return spark.read.parquet(path).select("user_id", "event_id", "event_type", F.col("run_id").cast("string").alias("run_id"))
+
+
+def _event_log(spark, sf, label):
+    """Events as changes in three batches, many of one user in each."""
+    path = scratch_path(spark, label)
+    rows = table(spark, sf, "events").select("user_id", F.when(F.col("value") >= 50, F.round("value", 2)).alias("value"), "event_type", F.col("event_id").alias("seq"))
+    for batch in range(3):
+        tables.log_changes(rows.filter(F.col("seq") % 3 == batch), path, batch)
+    return path
+
+
+def change_log_ties(spark, sf):
+    """Newest non-null value of each column: by batch, then by place in it."""
+    return tables.current(spark, _event_log(spark, sf, "ties"), ["user_id"])
+
+
+def change_log_rows(spark, sf):
+    """Newest change of each user as a whole row."""
+    return upsert.fold_rows(tables.read_changes(spark, _event_log(spark, sf, "rows")), ["user_id"], ["batch", "seq"])
+
+
+def resume_state(spark, sf):
+    """Progress per user saved by two runs, the second one twice, and loaded again."""
+    path = scratch_path(spark, "state")
+    state = table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.count(F.lit(1)).alias("n_events"))
+    tables.save_state(state, path, 0)
+    for _ in range(2):
+        tables.save_state(state.filter("n_events > 5").select("user_id", F.lit(None).cast("bigint").alias("last_event"), (F.col("n_events") * 2).alias("n_events")), path, 1)
+    return tables.load_state(spark, path, ["user_id"])
+
+
+def enrich_repeats(spark, sf):
+    """As the plain query, with every detail and page record repeated under other values."""
+    listing, detail, structured = _enriched(spark, sf)
+    return matching.enrich(listing, detail.unionByName(detail.withColumn("name", F.lit("zz"))), structured.unionByName(structured.withColumn("ld_json", F.lit("~~"))))
+
+
 def enrich_merge(spark, sf):
+    return matching.enrich(*_enriched(spark, sf))
+
+
+def _enriched(spark, sf):
     part = table(spark, sf, "part")
     listing = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.round("p_retailprice", 2).alias("price"), F.lit("listing").alias("platform"))
     detail = part.filter("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("id"), F.concat("p_brand", F.lit(" "), "p_name").alias("name"), F.when(F.col("p_size") > 20, F.round("p_retailprice", 2) * 2).alias("price"), F.col("p_size").cast("bigint").alias("size"))
     structured = part.filter("p_size <= 25").select(F.col("p_partkey").alias("id"), F.to_json(F.struct("p_brand")).alias("ld_json"))
-    return matching.enrich(listing, detail, structured)
+    return listing, detail, structured
 
 
 def enrich_open_fields(spark, sf):
@@ -277,7 +332,7 @@ QUERIES = {f.__name__: f for f in (
     clean_required_fields, missing_identity, kept_columns, canonical_products, strip_and_price_default, strip_and_price_drop,
     dedupe_identifier, distinct_identifiers, path_normalize, full_image_path, image_match_extension, ingest_status,
     ingest_report, checkpoint_scan, stage_paths, crop_paths, join_paths, bytes_by_path, byte_fallback, upsert_latest,
-    anti_new_rows, semi_reusable, copy_from_old, insert_absent, stage_append, enrich_merge, enrich_open_fields, product_uuid,
+    anti_new_rows, semi_reusable, copy_from_old, insert_absent, insert_absent_order, change_log_ties, change_log_rows, resume_state, stage_append, enrich_merge, enrich_repeats, ingest_status_repeats, enrich_open_fields, product_uuid,
     product_fingerprint, storage_refs, thumbnails, stage_states, run_report, batch_numbers, batch_sizes_64,
     page_structured_data, document_scan, collection_scan, listing_ids, collect_products)}
 
@@ -362,6 +417,13 @@ ORACLE = {
     "copy_from_old": """SELECT c_custkey, c_name, c_mktsegment FROM customer
         WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW')
           AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""",
+    "insert_absent_order": """SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type, 'r1' AS run_id FROM events WHERE event_id % 2 = 0 GROUP BY user_id
+        UNION ALL SELECT user_id, min(event_id), arg_min(event_type, event_id), 'r2' FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 0) GROUP BY user_id""",
+    "change_log_ties": """SELECT user_id, arg_max(round(value, 2), event_id % 3 * 1000000000 + event_id) FILTER (value >= 50) AS value,
+        arg_max(event_type, event_id % 3 * 1000000000 + event_id) AS event_type FROM events GROUP BY user_id""",
+    "change_log_rows": """SELECT user_id, CASE WHEN value >= 50 THEN round(value, 2) END AS value, event_type FROM (SELECT *, row_number() OVER (
+        PARTITION BY user_id ORDER BY event_id % 3 DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
+    "resume_state": "SELECT user_id, max(event_id) AS last_event, CASE WHEN count(*) > 5 THEN 2 * count(*) ELSE count(*) END AS n_events FROM events GROUP BY user_id",
     "insert_absent": f"""WITH {_ORDERS} SELECT o_orderkey, 'r1' AS run_id FROM base
         UNION ALL SELECT o_orderkey, 'r2' FROM new WHERE o_orderkey NOT IN (SELECT o_orderkey FROM base)""",
     "stage_append": cte("products") + f"""SELECT run_id, count(*) AS n_rows, count(sku) AS n_skus, round(sum({NUMBER}), 2) AS sum_price
@@ -406,3 +468,6 @@ ORACLE = {
         SELECT coalesce(s.source_file, f.source_file) AS source_file, coalesce(f.image_path, s.image_path) AS image_path, stored, id, name, price
         FROM stored s FULL OUTER JOIN fresh f ON f.source_file = s.source_file""",
 }
+
+ORACLE["enrich_repeats"] = ORACLE["enrich_merge"]
+ORACLE["ingest_status_repeats"] = ORACLE["ingest_status"]

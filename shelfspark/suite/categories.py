@@ -18,6 +18,16 @@ def _by_leaf(spark, sf):
     return L.products_by_leaf(view(spark, sf, "old_products"))
 
 
+# All customers in chains of forty below one root; the last of each chain has two parents.
+_CHAIN = """SELECT CASE WHEN c_custkey % 40 = 0 OR c_custkey = 1 THEN 'T' ELSE concat('C', c_custkey - 1) END AS parent, concat('C', c_custkey) AS id FROM customer
+    UNION ALL SELECT concat('C', c_custkey - 2), concat('C', c_custkey) FROM customer WHERE c_custkey % 40 = 39"""
+
+
+def leaf_resolve_deep(spark, sf):
+    links = spark.sql(_CHAIN.replace("customer", "{customer}"), customer=table(spark, sf, "customer"))
+    return L.resolve_leaves(spark.range(1).select(F.lit("T").alias("root")), links.withColumn("is_leaf", F.lit(False)))
+
+
 def leaf_index(spark, sf):
     pages = L.leaf_index(_by_leaf(spark, sf), page_size=25)
     return pages.select("leaf", "page", F.concat_ws(",", "product_ids").alias("product_ids"))
@@ -61,6 +71,12 @@ def leaf_quota(spark, sf):
     return filled.select("leaf", "product_id", F.col("phase").cast("bigint").alias("phase"), "taken", F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
+def quota_without_target(spark, sf):
+    """Only some leaves have a target; the others get the one drawn for them."""
+    filled = L.fill_quota(L.phases(*_phases(spark, sf)), _targets(spark, sf).filter("target < 30"))
+    return filled.select("leaf", "product_id", "target", "taken")
+
+
 def leaf_keywords(spark, sf):
     """Every customer leaf with the keywords of its root; the last region has none."""
     leaves = (table(spark, sf, "customer").join(table(spark, sf, "nation"), F.expr("n_nationkey = c_nationkey"))
@@ -132,10 +148,11 @@ def balance_progress(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    leaf_resolve, leaf_index, leaf_counts_ranked, leaf_top10, leaf_totals, leaf_targets, leaf_quota, leaf_keywords,
+    leaf_resolve, leaf_resolve_deep, quota_without_target, leaf_index, leaf_counts_ranked, leaf_top10, leaf_totals, leaf_targets, leaf_quota, leaf_keywords,
     leaf_progress, leaves_left, listing_pages, page_cursors, next_cursor, saved_state, balance_report,
     balance_selected, balance_progress)}
 
+_DRAWN = "9000 + (('0x' || substr(md5({} || ':0'), 1, 16))::ubigint % 9223372036854775808)::bigint % 2001"
 _BY_LEAF = """by_leaf AS (SELECT *, split_part(primary_category_path, '/', 2) AS leaf FROM old_products WHERE primary_category_path <> '')"""
 _COUNTED = """counted AS (SELECT l.leaf, count(b.product_id) AS old_count FROM (SELECT concat('N', n_nationkey) AS leaf FROM nation
     UNION ALL SELECT concat('E', r_regionkey) FROM region) l LEFT JOIN by_leaf b ON b.leaf = l.leaf GROUP BY l.leaf)"""
@@ -152,6 +169,10 @@ ORACLE = {
     "leaf_resolve": cte("edges") + """, down AS (SELECT concat('R', r_regionkey) AS root, concat('R', r_regionkey) AS node, false AS is_leaf FROM region
             UNION ALL SELECT d.root, e.id, e.is_leaf FROM down d JOIN edges e ON e.parent = d.node WHERE NOT d.is_leaf AND e.id <> '')
         SELECT root, node AS leaf FROM down d WHERE is_leaf OR NOT EXISTS (SELECT 1 FROM edges e WHERE e.parent = d.node AND e.id <> '')""",
+    "leaf_resolve_deep": f"""WITH RECURSIVE links AS ({_CHAIN}), down AS (SELECT 'T' AS node UNION SELECT id FROM down JOIN links ON parent = node)
+        SELECT 'T' AS root, node AS leaf FROM down WHERE NOT EXISTS (SELECT 1 FROM links WHERE parent = node)""",
+    "quota_without_target": cte("old_products") + f""", {_BY_LEAF}, {_TAKEN} SELECT leaf, product_id, target, taken FROM (
+        SELECT leaf, product_id, taken, CASE WHEN target < 30 THEN target ELSE {_DRAWN.format('leaf')} END AS target FROM taken) WHERE taken <= target""",
     "leaf_index": cte("old_products") + f""", {_BY_LEAF} SELECT leaf, page, string_agg(product_id, ',' ORDER BY product_id) AS product_ids
         FROM (SELECT *, (row_number() OVER (PARTITION BY leaf ORDER BY product_id) + 24) // 25 AS page FROM by_leaf) GROUP BY leaf, page""",
     "leaf_counts_ranked": cte("old_products") + f", {_BY_LEAF}, {_COUNTED} SELECT *, row_number() OVER (ORDER BY old_count DESC, leaf) AS leaf_rank FROM counted",
@@ -177,7 +198,7 @@ ORACLE = {
     "saved_state": """SELECT leaf, saved_at, state FROM (SELECT user_id AS leaf, event_id AS saved_at, event_type AS state,
         row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1""",
     "balance_report": cte("old_products") + f""", {_BY_LEAF}, {_TAKEN}, {_FILLED} SELECT root, leaf, target, filled, reused, filled - reused AS crawled FROM filled
-        WHERE root IS NOT NULL UNION ALL SELECT concat('R', r_regionkey), concat('E', r_regionkey), NULL, 0, 0, 0 FROM region WHERE false""",
+        UNION ALL SELECT concat('R', r_regionkey), concat('E', r_regionkey), {_DRAWN.format("concat('E', r_regionkey)")}, 0, 0, 0 FROM region""",
     "balance_selected": cte("old_products") + f""", {_BY_LEAF}, {_TAKEN} SELECT leaf, product_id, CASE phase WHEN 1 THEN 'reused' ELSE 'crawled' END AS outcome
         FROM taken WHERE taken <= target AND n_nationkey < 20""",
     "balance_progress": cte("old_products") + f""", {_BY_LEAF}, {_TAKEN}, {_FILLED}, state AS (

@@ -125,6 +125,13 @@ def match_payload(spark, sf):
         "query_id", "point_id", F.round("score", 6).alias("score"), "name", F.round("price", 2).alias("price"), "price_missing", "sku", "platform")
 
 
+def cart_missing_payload(spark, sf):
+    """Matches some of whose points have no payload row."""
+    found = neighbours.nearest(query_vectors(spark, sf), index_vectors(spark, sf), k=3, threshold=0.1)
+    return checkout.describe_matches(found.drop("match_rank"), view(spark, sf, "payload").filter("point_id % 3 <> 0")).select(
+        "query_id", "point_id", "name", F.round("price", 2).alias("price"), "price_missing", "sku", "platform")
+
+
 def index_dimensions(spark, sf):
     found = neighbours.dimensions(table(spark, sf, "embeddings"), "embedding")
     return found.select(*[F.col(c).cast("bigint").alias(c) for c in found.columns])
@@ -160,7 +167,7 @@ def vector_upsert(spark, sf):
 QUERIES = {f.__name__: f for f in (
     confident_detections, top1_detection, nearest_centre_detection, label_detections, object_metadata, crop_boxes,
     l2_normalize, cosine_expression, cosine_topk, cosine_threshold, self_neighbours, cart_checkout, cart_items, cart_lines,
-    cart_quantities, cart_reply_pages, match_payload, index_dimensions, point_payload, vector_upsert)}
+    cart_quantities, cart_reply_pages, match_payload, cart_missing_payload, index_dimensions, point_payload, vector_upsert)}
 
 _ORDER = "l_orderkey, l_linenumber, l_suppkey, l_extendedprice"
 _BEST = f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, {_ORDER}) AS rn
@@ -213,8 +220,11 @@ ORACLE = {
     "cart_reply_pages": cte(*_CART) + """SELECT cart_id, page, count(*) AS n_items, string_agg(name, '|' ORDER BY query_id) AS names FROM (
         SELECT *, (row_number() OVER (PARTITION BY cart_id ORDER BY query_id) + 7) // 8 AS page FROM items) GROUP BY cart_id, page""",
     "match_payload": cte("query_vectors", "matches", "payload") + """SELECT query_id, point_id, round(score, 6) AS score, coalesce(name, 'Unknown Product') AS name,
-        round(coalesce(price, 0.0), 2) AS price, price IS NULL AS price_missing, coalesce(sku, '') AS sku, platform
-        FROM matches JOIN payload USING (point_id) WHERE match_rank <= 3 AND score > 0.1""",
+        round(coalesce(price, 0.0), 2) AS price, price IS NULL AS price_missing, coalesce(sku, '') AS sku, coalesce(platform, '') AS platform
+        FROM matches LEFT JOIN payload USING (point_id) WHERE match_rank <= 3 AND score > 0.1""",
+    "cart_missing_payload": cte("query_vectors", "matches", "payload") + """SELECT query_id, m.point_id, coalesce(name, 'Unknown Product') AS name,
+        round(coalesce(price, 0.0), 2) AS price, price IS NULL AS price_missing, coalesce(sku, '') AS sku, coalesce(platform, '') AS platform
+        FROM matches m LEFT JOIN (SELECT * FROM payload WHERE point_id % 3 <> 0) p ON p.point_id = m.point_id WHERE match_rank <= 3 AND score > 0.1""",
     "index_dimensions": "SELECT count(*) AS n_vectors, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim FROM embeddings",
     "point_payload": cte("payload") + f"""SELECT {_HASH.format("vec_id || '_obj0'")} AS point_id, 64::bigint AS dim, vec_id || '_obj0' AS sub_id, name, sku, round(price, 2) AS price
         FROM embeddings JOIN payload ON point_id = vec_id WHERE label <> 3""",

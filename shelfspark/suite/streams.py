@@ -54,9 +54,10 @@ def stream_checkout(spark, sf):
 
 
 def stream_quota(spark, sf):
-    """Customers arriving in key order fill their nation's quota."""
-    rows = table(spark, sf, "customer").selectExpr("concat('N', c_nationkey) AS leaf", "c_custkey AS product_id")
-    feed = _as_stream(rows, 4, "arrivals", "product_id")
+    """Customers arriving in key order fill their nation's quota; each comes twice at once, and some once more later."""
+    rows = table(spark, sf, "customer").selectExpr("concat('N', c_nationkey) AS leaf", "c_custkey AS product_id", "c_custkey AS arrival")
+    later = rows.filter("product_id % 3 = 0").withColumn("arrival", F.col("arrival") + 400)
+    feed = _as_stream(rows.unionByName(rows).unionByName(later), 8, "arrivals", "arrival")
     targets = table(spark, sf, "nation").selectExpr("concat('N', n_nationkey) AS leaf", "cast(20 + n_nationkey AS bigint) AS target")
     out = scratch_path(spark, "quota")
     _drain(quota_stream(feed, targets, f"{out}/accepted", f"{out}/checkpoint"))

@@ -226,10 +226,10 @@ def test_leaves(spark):
         ("alone", "alone"), ("r", "b"), ("r", "c"), ("r", "d"), ("r", "e")]
 
 
-def test_cyclic_tree_is_refused(spark):
-    edges = spark.createDataFrame([("r", "a", False), ("a", "r", False)], "parent string, id string, is_leaf boolean")
-    with pytest.raises(ValueError, match="cyclic"):
-        leaves.resolve_leaves(spark.createDataFrame([("r",)], "root string"), edges, max_depth=4)
+def test_nodes_are_met_once(spark):
+    edges = spark.createDataFrame([("r", "a", False), ("a", "r", False), ("r", "b", False), ("a", "x", False), ("b", "x", False), ("x", "l", False)],
+                                  "parent string, id string, is_leaf boolean")
+    assert rows(leaves.resolve_leaves(spark.createDataFrame([("r",)], "root string"), edges), "root", "leaf") == [("r", "l")]
 
 
 def test_keywords_of_roots_without_any(spark):
