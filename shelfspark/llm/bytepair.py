@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Pieces whose encodings a task remembers, and pairs it remembers as valid or not; beyond, it forgets and starts again.
-MEMO_PIECES, MEMO_PAIRS = 800_000, 600_000
+MEMO_PIECES, MEMO_PAIRS = 600_000, 500_000
 _STRETCH = 1 << 18
 _CUT = regex.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
 
@@ -53,6 +53,8 @@ class Vocabulary:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in rank_file.splitlines() if line)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.numbers = {rank: str(rank) for rank in self.tokens}
+        #: One number object a token, shared by all encodings that are remembered.
+        self.shared = {rank: rank for rank in self.tokens}
         #: Trie of the tokens read backwards; a node is (token that ends with it, or -1, and its children by byte). A token that is not the
         #: encoding of its own bytes occurs in no encoding and is left out.
         self.backwards: dict = {}
@@ -137,9 +139,11 @@ class PrefixTable:
     def ids(self, end: int | None = None) -> list[int]:
         """Encoding of the prefix of ``end`` bytes (all of them without it)."""
         at, out = len(self.data) if end is None else end, []
+        shared, tokens = self.vocabulary.shared, self.vocabulary.tokens
         while at:
-            out.append(token := self.last[at])
-            at -= len(self.vocabulary.tokens[token])
+            token = self.last[at]
+            out.append(shared[token])
+            at -= len(tokens[token])
         return out[::-1]
 
 
