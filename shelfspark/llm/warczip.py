@@ -33,6 +33,8 @@ from shelfspark.session import materialize, scratch_path
 
 #: Payload bytes and records after which a task starts its next package, and bytes that a reader fetches at once.
 PACKAGE_BYTES, PACKAGE_RECORDS, RANGE_BYTES = 256 << 20, 200_000, 1 << 20
+#: Stored bytes that one reading task should have at most, about.
+TASK_BYTES = 64 << 20
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -278,7 +280,10 @@ def read_records(packages: DataFrame, *, with_payload: bool = True, range_bytes:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     spread = packages.select("path", "bytes").repartition(max(1, packages.count()), "path")
-    return spread.mapInArrow(ranges, _RANGES).repartition("path", "start").mapInArrow(fetch, schema)
+    # A row here stands for many bytes: tasks are counted by those, or Spark would take the few rows for one task's work.
+    size = packages.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    return spread.mapInArrow(ranges, _RANGES).repartition(tasks, "path", "start").mapInArrow(fetch, schema)
 
 
 def archived(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
