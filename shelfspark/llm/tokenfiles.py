@@ -12,6 +12,7 @@ rows in any order). Null and empty texts have only the end id. An empty table gi
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -30,15 +31,22 @@ from shelfspark.llm.files import opened, read_range, written
 from shelfspark.session import materialize, scratch_path
 
 FRAME_IDS = 1 << 18
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 #: Fixed values of the seekable format.
 _INDEX_MAGIC, _SEEK_MAGIC, _FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _HEAD, _ENTRY, _FOOTER = "<II", "<III", "<IBI"
 _HEAD_BYTES, _ENTRY_BYTES, _FOOTER_BYTES = 8, 12, 9
 
 
+#: A full stop or comma between a letter and white space: a piece of its own for the tokenizer, so it may stand alone here.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer whose tokens never reach over white space; words met before are looked up."""
+    """Ids of texts by a tokenizer that lower-cases and whose tokens never reach over white space; words met before are looked up.
+
+    ASCII letters are lower-cased, and stops cut off, before words are looked up: the tokenizer does both anyhow, and there are fewer words then.
+    """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,28 +55,37 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.memo = Memo(MEMO_WORDS)
+        self.bar = self.tokenizer.encode("|", add_special_tokens=False).ids
 
     def ids(self, words: list[bytes]) -> bytes:
         """Ids of consecutive words, as little-endian unsigned 32-bit integers."""
-        get = self.memo.young.get
-        found = list(map(get, words))
+        found = list(map(self.memo.young.get, words))
         if None in found:
-            for k, value in enumerate(found):
-                if value is None:
-                    found[k] = self.memo.get(words[k])
-            missing = list(dict.fromkeys(w for w, value in zip(words, found, strict=True) if value is None))
-            if missing:
-                encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in missing], add_special_tokens=False)
-                new = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(missing, encoded, strict=True)}
-                for word, value in new.items():
-                    if len(word) <= 256:
-                        self.memo.put(word, value)
-                found = [new[w] if value is None else value for w, value in zip(words, found, strict=True)]
+            absent = {w for w, value in zip(words, found, strict=True) if value is None}
+            known = {w: value for w in absent if (value := self.memo.get(w)) is not None}
+            for word, value in self._encoded(absent.difference(known)):
+                known[word] = value
+                if len(word) <= 256:
+                    self.memo.put(word, value)
+            found = [known[w] if value is None else value for w, value in zip(words, found, strict=True)]
         return b"".join(found)
 
+    def _encoded(self, words: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words and their ids, by one call: a bar between words gives an id that words without a bar do not have."""
+        plain = [w for w in words if b"|" not in w] if len(self.bar) == 1 else []
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([b" | ".join(plain).decode("utf-8")], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = [*np.flatnonzero(ids == self.bar[0]).tolist(), len(ids)]
+            data, start = ids.tobytes(), 0
+            for word, end in zip(plain, ends, strict=True):
+                yield word, data[4 * start:4 * end]
+                start = end + 1
+        for word in words.difference(plain):
+            yield word, np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def text(self, text: str | None, block: int = 1 << 16) -> Iterator[bytes]:
         """Ids of a whole text, a block of words at a time."""
-        words = (text or "").encode("utf-8").split()  # at ASCII white space only
+        words = _STOP.sub(rb" \1", (text or "").encode("utf-8").lower()).split()  # at ASCII white space only
         for start in range(0, len(words), block):
             yield self.ids(words[start:start + block])
 
