@@ -69,7 +69,7 @@ def _bright_regions():
         box = [columns.min(), rows.min(), columns.max() + 1, rows.max() + 1]
         return [{"bbox": [0, 0, image.shape[1], image.shape[0]], "confidence": 0.5, "class_id": 1},
                 {"bbox": box, "confidence": 0.75, "class_id": 0}, {"bbox": box, "confidence": 0.25, "class_id": 2}]
-    return find
+    return lambda images: [find(image) for image in images]
 
 
 def _means():
@@ -77,7 +77,7 @@ def _means():
     def embed(image: np.ndarray) -> list[float]:
         h, w = image.shape[0] // 2, image.shape[1] // 2
         return [float(part.mean()) for part in (image[:h, :w], image[:h, w:], image[h:, :w], image[h:, w:])]
-    return embed
+    return lambda images: [embed(image) for image in images]
 
 
 def model_detections(spark, sf):

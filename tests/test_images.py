@@ -167,6 +167,10 @@ def test_bytes_by_path(spark, tmp_path):
     assert {r.id: bytes(r.image_data) for r in with_any_bytes(df, content).collect()} == {1: b"A", 2: b"T", 5: b"own"}
 
 
+def each(model):
+    return lambda images: [model(image) for image in images]
+
+
 def boxes_of(image):
     if image[0, 0, 0] == 13:
         raise RuntimeError
@@ -184,12 +188,12 @@ def mean_of(image):
 def test_detection_embedding_and_records(spark):
     bad = np.full((4, 4), 13, np.uint8)
     pictures = table(spark, {"a": np.full((4, 4), 40, np.uint8), "bad": bad, "none": (4, 4, 1, None), "odd": np.full((4, 4), 77, np.uint8)})
-    found = inference.detect(pictures, lambda: boxes_of)
+    found = inference.detect(pictures, lambda: each(boxes_of))
     assert sorted((r.image_id, r.det_idx, r.class_id) for r in found.collect()) == [
         (i, d, c) for i in ("a", "odd") for d, c in ((0, 1), (1, 2), (2, 3))]
     products = pictures.withColumns({"product_id": F.col("image_id"), "sku": F.lit(""), "title": F.lit("T"), "price": F.lit("3.5"),
                                      "image_path": F.lit(None).cast("string")})
-    records = {r.sub_id: r for r in inference.object_records(products, lambda: boxes_of, lambda: mean_of).collect()}
+    records = {r.sub_id: r for r in inference.object_records(products, lambda: each(boxes_of), lambda: each(mean_of)).collect()}
     assert sorted(records) == ["a_obj0", "odd_obj0"]
     one = records["a_obj0"]
     assert (one.class_id, one.mask_applied, one.sku, one.name, one.price, one.platform) == (2, True, "a", "T", 3.5, "")
@@ -201,8 +205,34 @@ def test_detection_embedding_and_records(spark):
 def test_labels_keep_all_detections(spark):
     pictures = table(spark, {"a": np.full((4, 4), 40, np.uint8)})
     products = spark.createDataFrame([("a", "P", "S")], "image_id string, product_id string, sku string")
-    found = inference.label(pictures, lambda: boxes_of, products)
-    assert sorted((r.sub_id, r.sku_label) for r in found.collect()) == [("P_obj0", "S"), ("P_obj1", "S"), ("P_obj2", "S")]
+    found = inference.label(pictures, lambda: each(boxes_of), products)
+    rows = sorted(found.collect(), key=lambda r: r.sub_id)
+    assert [(r.sub_id, r.sku_label) for r in rows] == [("P_obj0", "S"), ("P_obj1", "S"), ("P_obj2", "S")]
+    assert rows[1].mask is not None and rows[1].crop_data == bytes([40] * 4)  # labels show the box as it is
+
+
+def test_models_see_several_images_a_call(spark):
+    def counting():
+        return lambda images: [[{"bbox": [0, 0, 1, 1], "confidence": 0.9, "class_id": len(images)}] for _ in images]
+
+    pictures = table(spark, {f"p{k}": np.full((4, 4), k, np.uint8) for k in range(40)}).coalesce(1)
+    seen = [r.class_id for r in inference.detect(pictures, counting, call_images=16).collect()]
+    assert sorted(seen) == [8] * 8 + [16] * 32
+
+
+def test_failures_are_rows_where_wanted(spark):
+    pictures = table(spark, {"a": np.full((4, 4), 40, np.uint8), "bad": np.full((4, 4), 13, np.uint8), "short": (4, 4, 1, bytearray(b"x"))})
+    found = inference.detect(pictures, lambda: each(boxes_of), with_errors=True).filter("error IS NOT NULL").collect()
+    assert sorted((r.image_id, r.det_idx) for r in found) == [("bad", None), ("short", None)]
+
+
+def test_many_large_boxes_are_handed_on_in_parts(spark):
+    def many():
+        return lambda images: [[{"bbox": [0, 0, 800, 800], "confidence": 0.9, "class_id": k} for k in range(100)] for _ in images]
+
+    pictures = table(spark, {f"p{k}": np.full((800, 800), k, np.uint8) for k in range(4)}).coalesce(1)
+    found = inference.detect(pictures, many, with_crop=True)
+    assert found.select(F.sum(F.octet_length("crop_data"))).first()[0] == 4 * 100 * 800 * 800
 
 
 def test_raster_columns():

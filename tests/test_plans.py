@@ -141,11 +141,12 @@ def test_stages(spark, tmp_path):
 
 
 def detector():
-    return lambda image: [{"bbox": [0, 0, 2, 4], "confidence": 0.9, "class_id": 0}, {"bbox": [2, 0, 4, 4], "confidence": 0.8, "class_id": 0}] if image.max() > 20 else []
+    return lambda images: [[{"bbox": [0, 0, 2, 4], "confidence": 0.9, "class_id": 0}, {"bbox": [2, 0, 4, 4], "confidence": 0.8, "class_id": 0}]
+                           if image.max() > 20 else [] for image in images]
 
 
 def embedder():
-    return lambda image: [float(image[0, 0, 0]), 255.0 - float(image[0, 0, 0])]
+    return lambda images: [[float(image[0, 0, 0]), 255.0 - float(image[0, 0, 0])] for image in images]
 
 
 def test_index_and_checkout(spark, tmp_path):
