@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Pieces whose encodings a task remembers, and pairs it remembers as valid or not; beyond, it forgets and starts again.
-MEMO_PIECES, MEMO_PAIRS = 600_000, 500_000
+MEMO_PIECES, MEMO_PAIRS = 900_000, 500_000
 _STRETCH = 1 << 18
 _CUT = regex.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
 
