@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from shelfspark.functions.ids import leaf_target
+from shelfspark.functions.ids import LEAF_TARGET_MAX, leaf_target
 from shelfspark.functions.text import last_segment, listing_url
 from shelfspark.operators.ranking import paged_lists, rank_in_group, top_per_group
 from shelfspark.session import materialize, scratch_path
@@ -95,9 +95,13 @@ def with_targets(leaves: DataFrame, targets: DataFrame, seed: int = 0) -> DataFr
 
 
 def fill_quota(candidates: DataFrame, targets: DataFrame, product: str = "product_id", seed: int = 0) -> DataFrame:
-    """Candidates taken per leaf, phase 1 first, until the leaf's ``target`` is reached; exact for any leaf size."""
-    ranked = rank_in_group(candidates, ["leaf"], ["phase", product], "taken")
-    return with_targets(ranked, targets, seed).filter("taken <= target")
+    """Candidates taken per leaf, phase 1 first, until the leaf's ``target`` is reached; exact for any leaf size.
+
+    No leaf takes more than the largest target, so no more rows of a leaf than that leave a map task (``WindowGroupLimit``).
+    """
+    largest = max(targets.agg(F.max("target")).first()[0] or 0, LEAF_TARGET_MAX)
+    ranked = top_per_group(candidates, ["leaf"], [F.col("phase"), F.col(product)], largest, rank_col="taken")
+    return with_targets(ranked, targets, seed).withColumn("taken", F.col("taken").cast("bigint")).filter("taken <= target")
 
 
 def leaf_keywords(leaves: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -50,9 +50,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[app]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The run's own folder below the shared one, named for the application."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the run's folder."""
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession, application_id: str | None = None) -> bool:
+    """Delete what a run has left in the shared folder, this run's own without ``application_id``. Frames that read it are void then."""
+    folder = run_folder(spark) if application_id is None else f"{shared_folder(spark)}/{application_id}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

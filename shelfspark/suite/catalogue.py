@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.functions import ids, text
 from shelfspark.operators import clean, dedupe, integrate, matching, ranking, reports, upsert
+from shelfspark.operators.images import decode_mask
 from shelfspark.plans.collection import collect
 from shelfspark.session import scratch_path
 from shelfspark.sinks import tables
@@ -309,6 +310,57 @@ def document_scan(spark, sf):
     return parsed.filter("body IS NOT NULL").select("source_file", "id", "sku", "name", "title", "price", "platform")
 
 
+def _document_files(spark, sf):
+    """A folder with a JSON file for every supplier, some broken; the file name is the supplier's key."""
+    path = scratch_path(spark, "files")
+    rows = table(spark, sf, "supplier").withColumn("name_of_file", F.concat("s_suppkey", F.lit(".json")))
+    good = F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.round("s_acctbal", 2).cast("string").alias("price"),
+                              F.concat(F.lit("root/N"), "s_nationkey").alias("primary_category_path")))
+    text_ = F.when(F.col("s_suppkey") % 7 == 3, F.lit("{broken")).otherwise(good)
+    # Spark names its files itself: each is written into a folder named for its supplier.
+    rows.select("name_of_file", text_.alias("value")).write.partitionBy("name_of_file").text(path)
+    return path
+
+
+def document_files(spark, sf):
+    """Files of a folder read as documents; the folder's name stands for the file's."""
+    read = spark.read.option("wholetext", True).text(_document_files(spark, sf))
+    parsed = documents.parse_documents(read.select("value", F.col("name_of_file").alias("source_file"))).filter("body IS NOT NULL")
+    return parsed.select("source_file", "id", "name", "price")
+
+
+def trial_rows(spark, sf):
+    return documents.first_rows(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 1000)
+
+
+def spread_collection(spark, sf):
+    """A stored collection read back spread over a given number of partitions."""
+    path = scratch_path(spark, "collection")
+    table(spark, sf, "customer").write.parquet(path)
+    spread = documents.read_collection(spark, path, exclude=("c_acctbal",), partitions=16)
+    used = spread.withColumn("p", F.spark_partition_id()).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", (F.col("p") < 16).alias("spread"))
+    return used
+
+
+def counted_rows(spark, sf):
+    """Rows counted while they are written, beside those that were written."""
+    watched, seen = reports.counted(table(spark, sf, "lineitem").filter("l_quantity > 25").select("l_orderkey"), f"counted-{scratch_path(spark, 'n')[-32:]}")
+    path = scratch_path(spark, "counted")
+    watched.write.parquet(path)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_stored")).withColumn("n_counted", F.lit(seen.get["rows"]).cast("bigint"))
+
+
+def run_times(spark, sf):
+    stamp = F.col("ts").cast("timestamp")
+    return table(spark, sf, "events").select("event_id", ids.utc_iso(stamp).alias("iso"), ids.utc_day(stamp).alias("day"))
+
+
+def decoded_masks(spark, sf):
+    """Masks sent as base64, some of them damaged."""
+    sent = F.when(F.col("p_partkey") % 5 == 0, F.lit("no base64!")).otherwise(F.base64(F.encode("p_name", "UTF-8")))
+    return table(spark, sf, "part").select("p_partkey", F.hex(decode_mask(sent)).alias("mask"))
+
+
 def collection_scan(spark, sf):
     """A stored collection read back without its open column."""
     path = scratch_path(spark, "collection")
@@ -332,7 +384,7 @@ QUERIES = {f.__name__: f for f in (
     clean_required_fields, missing_identity, kept_columns, canonical_products, strip_and_price_default, strip_and_price_drop,
     dedupe_identifier, distinct_identifiers, path_normalize, full_image_path, image_match_extension, ingest_status,
     ingest_report, checkpoint_scan, stage_paths, crop_paths, join_paths, bytes_by_path, byte_fallback, upsert_latest,
-    anti_new_rows, semi_reusable, copy_from_old, insert_absent, insert_absent_order, change_log_ties, change_log_rows, resume_state, stage_append, enrich_merge, enrich_repeats, ingest_status_repeats, enrich_open_fields, product_uuid,
+    anti_new_rows, semi_reusable, copy_from_old, document_files, trial_rows, spread_collection, counted_rows, run_times, decoded_masks, insert_absent, insert_absent_order, change_log_ties, change_log_rows, resume_state, stage_append, enrich_merge, enrich_repeats, ingest_status_repeats, enrich_open_fields, product_uuid,
     product_fingerprint, storage_refs, thumbnails, stage_states, run_report, batch_numbers, batch_sizes_64,
     page_structured_data, document_scan, collection_scan, listing_ids, collect_products)}
 
@@ -417,6 +469,13 @@ ORACLE = {
     "copy_from_old": """SELECT c_custkey, c_name, c_mktsegment FROM customer
         WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW')
           AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""",
+    "document_files": """SELECT s_suppkey || '.json' AS source_file, s_suppkey::varchar AS id, s_name AS name, round(s_acctbal, 2)::varchar AS price
+        FROM supplier WHERE s_suppkey % 7 <> 3""",
+    "trial_rows": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1000",
+    "spread_collection": "SELECT c_custkey, c_name, c_nationkey, c_mktsegment, true AS spread FROM customer",
+    "counted_rows": "SELECT count(*) AS n_stored, count(*) AS n_counted FROM lineitem WHERE l_quantity > 25",
+    "run_times": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso, strftime(ts, '%Y-%m-%d') AS day FROM events",
+    "decoded_masks": "SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN hex(encode(p_name)) END AS mask FROM part",
     "insert_absent_order": """SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type, 'r1' AS run_id FROM events WHERE event_id % 2 = 0 GROUP BY user_id
         UNION ALL SELECT user_id, min(event_id), arg_min(event_type, event_id), 'r2' FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 0) GROUP BY user_id""",
     "change_log_ties": """SELECT user_id, arg_max(round(value, 2), event_id % 3 * 1000000000 + event_id) FILTER (value >= 50) AS value,

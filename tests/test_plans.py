@@ -22,6 +22,15 @@ def write_documents(folder, **contents):
         (folder / f"{name}.json").write_text(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
 
 
+def test_run_folders_are_dropped(spark):
+    from shelfspark.session import drop_scratch, materialize, run_folder, shared_folder
+    assert run_folder(spark).startswith(shared_folder(spark))
+    other = f"{shared_folder(spark)}/some-run"
+    spark.range(3).write.parquet(f"{other}/t")
+    assert materialize(spark.range(3), "kept").count() == 3
+    assert drop_scratch(spark, "some-run") and not tables.exists(spark, other) and tables.exists(spark, run_folder(spark))
+
+
 def test_documents(spark, tmp_path):
     write_documents(tmp_path / "d", a={"id": 1, "name": "Ê", "price": 12.5, "ld_json": [1, {"x": 2}]}, b={"id": "2", "ld_json": {"y": 1}, "primary_category_path": "r/l"},
                     c="{broken", d="[1, 2]", e="")
