@@ -11,6 +11,7 @@ rows in any order). Null and empty texts have only the end id. An empty table gi
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import struct
@@ -42,6 +43,15 @@ _HEAD_BYTES, _ENTRY_BYTES, _FOOTER_BYTES = 8, 12, 9
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
 
 
+def _gaps(found: list) -> list[int]:
+    """Places of None in a list that has few of them."""
+    out, at = [], -1
+    with contextlib.suppress(ValueError):
+        while True:
+            out.append(at := found.index(None, at + 1))
+    return out
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that lower-cases and whose tokens never reach over white space; words met before are looked up.
 
@@ -60,14 +70,15 @@ class WordEncoder:
     def ids(self, words: list[bytes]) -> bytes:
         """Ids of consecutive words, as little-endian unsigned 32-bit integers."""
         found = list(map(self.memo.young.get, words))
-        if None in found:
-            absent = {w for w, value in zip(words, found, strict=True) if value is None}
+        if gaps := _gaps(found):
+            absent = {words[k] for k in gaps}
             known = {w: value for w in absent if (value := self.memo.get(w)) is not None}
             for word, value in self._encoded(absent.difference(known)):
                 known[word] = value
                 if len(word) <= 256:
                     self.memo.put(word, value)
-            found = [known[w] if value is None else value for w, value in zip(words, found, strict=True)]
+            for k in gaps:
+                found[k] = known[words[k]]
         return b"".join(found)
 
     def _encoded(self, words: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
