@@ -21,7 +21,7 @@ def resolve_leaves(roots: DataFrame, edges: DataFrame) -> DataFrame:
     spark = roots.sparkSession
     usable = edges.filter(F.col("id").isNotNull() & (F.col("id") != ""))
     flagged = F.max(F.coalesce("is_leaf", F.lit(False))).alias("child_is_leaf")
-    usable = usable.groupBy(F.col("parent").alias("node"), F.col("id").alias("child")).agg(flagged)
+    usable = materialize(usable.groupBy(F.col("parent").alias("node"), F.col("id").alias("child")).agg(flagged), "edges")
     path = scratch_path(spark, "leaves")
     level = roots.select("root", F.col("root").alias("node"), F.lit(False).alias("is_leaf")).distinct()
     depth = 0
@@ -38,7 +38,7 @@ def resolve_leaves(roots: DataFrame, edges: DataFrame) -> DataFrame:
     inner = usable.select("node").distinct()
     childless = visited.filter("NOT is_leaf").join(inner, "node", "left_anti")
     found = visited.filter("is_leaf").select("root", "node").unionByName(childless.select("root", "node"))
-    return materialize(found.withColumnRenamed("node", "leaf"), "leaves-found")
+    return found.withColumnRenamed("node", "leaf")
 
 
 def products_by_leaf(products: DataFrame, path: str = "primary_category_path") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelfspark.functions.ids import leaf_target
 from shelfspark.operators import leaves as L
+from shelfspark.session import materialize
 
 
 @dataclass
@@ -27,7 +28,7 @@ def balance(roots: DataFrame, edges: DataFrame, old: DataFrame, listed: DataFram
     ``old`` and ``listed`` have ``product_id, leaf``. A listed product that an old record can supply counts as reused.
     ``targets`` (``leaf, target``) overrides the drawn targets.
     """
-    leaves = L.resolve_leaves(roots, edges)
+    leaves = materialize(L.resolve_leaves(roots, edges), "leaves")
     open_leaves = L.unfinished(leaves, done)
     counted = L.with_old_counts(open_leaves, L.leaf_counts(old))
     ranked = L.rank_leaves(counted)
