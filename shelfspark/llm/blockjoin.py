@@ -55,6 +55,14 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(kind) @ b.astype(kind).T).astype(np.float64)
 
 
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, the squares added in the order of the components."""
+    total = np.zeros(len(vectors))
+    for lost in (vectors - query).T:
+        total += lost * lost
+    return np.sqrt(total)
+
+
 def tile_nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
     """For each query the k nearest (distance, id) among the vectors, in order."""
     heaps: list[list[tuple[float, int]]] = [[] for _ in query_ids]  # of (-distance, -id): the worst kept pair is on top
@@ -75,8 +83,7 @@ def tile_nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
                 heap = heaps[row]
                 bound = min(limit[i], -heap[0][0]) if len(heap) == k else limit[i]
                 near = np.flatnonzero((low[i] <= bound) & ~own[i])
-                lost = vectors[c][near] - queries[row]
-                exact = np.sqrt(np.einsum("ij,ij->i", lost, lost))
+                exact = distances(vectors[c][near], queries[row])
                 near_ids = ids[c][near]
                 for j in np.lexsort((near_ids, exact))[:k]:
                     pair = (-float(exact[j]), -int(near_ids[j]))

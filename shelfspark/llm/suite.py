@@ -85,7 +85,8 @@ _KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name
 ORACLE: dict[str, str] = {
     "op3_blockjoin": """SELECT query_id, cast(rank AS integer) AS rank, vec_id, score FROM (
         SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM (
-            SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.embedding::double[], c.embedding::double[]) AS score
+            SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.embedding::double[], c.embedding::double[]),
+                lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
             FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)) WHERE rank <= 10""",
     "op6_licences": f"""WITH known AS (SELECT min(licence) AS licence, form FROM (SELECT licence, {_canonical_sql('body')} AS form
             FROM (VALUES {_KNOWN}) t(licence, body)) GROUP BY form),
