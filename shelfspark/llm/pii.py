@@ -164,20 +164,29 @@ _DIGITS |= {"oh": "0", "zwo": "2"}
 _WORDS = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _GAP = r"[ \t]*+[-,./·]?[ \t]*+"
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:plus|más)\b{_GAP})?(?:(?:{_WORDS}|[0-9]++)\b{_GAP}(?:(?:dot|punkt|point|punto)\b{_GAP})?){{3,}}")
-_SPELLED_CUE = re.compile(rf"(?i)(?<!\w)(?:{_WORDS})\b{_GAP}(?:(?:dot|punkt|point|punto)\b{_GAP})?(?:{_WORDS}|[0-9])\b")
+_NEXT = rf"\b{_GAP}(?:(?:dot|punkt|point|punto)\b{_GAP})?"
+#: No narrower than a run with a spelled digit: it has another digit, spelled or not, on one side or the other.
+_SPELLED_CUE = re.compile(rf"(?i)(?<!\w)(?:{_WORDS}){_NEXT}(?:(?:{_WORDS})\b|[0-9])|[0-9]{_NEXT}(?:{_WORDS})\b")
 _TOKEN = re.compile(rf"(?i)(?<!\w)(?:{_WORDS}|plus|más|dot|punkt|point|punto)(?!\w)")
 _DOTS = ("dot", "punkt", "point", "punto")
 
 
-def spelled_digits(m: Mapped) -> Mapped:
-    """Runs of three or more digits, some of them spelled: the words become digits and the gaps between them close."""
+def spelled_digits(m: Mapped) -> list[Mapped]:
+    """Runs of three or more digits, some of them spelled: the words become digits and the gaps between them close.
+
+    A run with a single spelled digit may as well be a number beside a common word. Where there is one, the text is read twice, without and
+    with such runs rewritten, and the scanners judge.
+    """
     if not _SPELLED_CUE.search(m.text):
-        return m
-    changes: list[tuple[int, int, str]] = []
+        return [m]
+    sure: list[tuple[int, int, str]] = []
+    every: list[tuple[int, int, str]] = []
     for run in _SPELLED.finditer(m.text):
         tokens = list(_TOKEN.finditer(m.text, run.start(), run.end()))
-        if sum(t.group().lower() in _DIGITS for t in tokens) < 2:
+        spelled = sum(t.group().lower() in _DIGITS for t in tokens)
+        if not spelled:
             continue
+        changes: list[tuple[int, int, str]] = []
         for t in tokens:
             word = t.group().lower()
             new = "." if word in _DOTS else _DIGITS.get(word, "+")
@@ -192,7 +201,11 @@ def spelled_digits(m: Mapped) -> Mapped:
                 while start > floor and m.text[start - 1] in " \t":
                     start -= 1
             changes.append((start, end, new))
-    return m.rewritten(changes) if changes else m
+        every += changes
+        if spelled > 1:
+            sure += changes
+    readings = [m.rewritten(sure) if sure else m]
+    return readings if len(sure) == len(every) else [*readings, m.rewritten(every)]
 
 
 #: Spoken or bracketed signs.
@@ -232,19 +245,31 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
     text = text or ""
     base = {kind: list(scan(text)) for kind, scan in SCANNERS.items()}
     source = Mapped(text)
-    m = spoken_signs(spelled_digits(source if text.isascii() else plain_letters(source)))
+    readings = [spoken_signs(m) for m in spelled_digits(source if text.isascii() else plain_letters(source))]
     out = []
     for kind, scan in SCANNERS.items():
         spans = {span: False for span in base[kind]}
-        if m is not source:
+        for m in readings:
+            if m is source:
+                continue
+            known = list(spans)
             for start, end in scan(m.text):
                 span = m.source(start, end)
-                if not any(a <= span[0] and span[1] <= b for a, b in base[kind]):
-                    spans.setdefault(span, True)
+                if any(_within(span, other) for other in known):
+                    continue
+                # What a later reading extends is one identifier; plain spans always stay.
+                for other in known:
+                    if spans.get(other) and _within(other, span):
+                        del spans[other]
+                spans[span] = True
         out.extend((kind, *span, disguised) for span, disguised in sorted(spans.items()))
     return out
 
 
+def _within(span: Span, other: Span) -> bool:
+    return other[0] <= span[0] and span[1] <= other[1]
+
+
 _SPANS = ArrayType(StructType([StructField("kind", StringType(), False), StructField("start", LongType(), False),
                                StructField("end", LongType(), False), StructField("disguised", BooleanType(), False)]), False)
 

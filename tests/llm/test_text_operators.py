@@ -237,6 +237,28 @@ def test_disguised_identifiers_are_mapped_back(text, kind, span):
     assert pii.redact_text(text) == text.replace(span, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize(("text", "kind", "span"), [
+    ("call +49 one 234 five 678 90 now", "phone", "+49 one 234 five 678 90"),
+    ("call +1 555 12 seven 0 now", "phone", "+1 555 12 seven 0"),
+    ("card 4111 one 111 1111 11 one 1 ok", "card", "4111 one 111 1111 11 one 1"),
+    ("card 4111 1111 1111 111 one.", "card", "4111 1111 1111 111 one"),
+    ("ip 10.0.0 dot seven ok", "ip", "10.0.0 dot seven"),
+])
+def test_spelled_digits_beside_numbers(text, kind, span):
+    assert [(k, text[a:b]) for k, a, b, disguised in pii.find(text) if disguised] == [(kind, span)]
+    assert pii.redact_text(text) == text.replace(span, f"[{kind.upper()}]")
+    other = "two seven one. " + text  # What else a text holds does not matter.
+    assert [(k, other[a:b]) for k, a, b, _ in pii.find(other)] == [(kind, span)]
+
+
+def test_single_spelled_digits_take_no_identifier_away():
+    assert not pii.find("page 12 un 345, rule one 2 3 or 5, 10 two")
+    text = "call +1 555 123 456 seven now"  # The plain span stays, and the last digit is redacted with it.
+    assert [s[1:] for s in pii.find(text)] == [(5, 19, False), (5, 25, True)] and pii.redact_text(text) == "call [PHONE] now"
+    for text in ("４１１１ 1111 1111 １111 un 2 3", "4111 1111 1111 1111 un 2 3"):
+        assert [(k, a, b) for k, a, b, _ in pii.find(text)] == [("card", 0, 19)]
+
+
 def test_harmless_texts_have_no_spans():
     for text in ("look at example.com", "one two buckle my shoe", "meet at noon dot", "", None, "résumé 1.2.3"):
         assert pii.find(text) == []
