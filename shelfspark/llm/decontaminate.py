@@ -7,7 +7,8 @@ together, which allows no more than two equal words in three. Hits are joined by
 row of hits along one alignment only the leftmost goes on, and the alignment around it is compared word by word.
 
 An overlap counts if 0.8 of the item's words agree at their places, or if a stretch of it (a match is worth 1, a
-substitution costs 4) has at least eight and at least half of the item's words agreeing.
+substitution costs 4) has at least eight and at least half of the item's words agreeing, or at least 13, however long the item is. Alignments
+are judged one by one: of a passage with inserted or missing words, the parts between them.
 
 Defined cases: words are lower-cased runs without ASCII white space and punctuation; null and empty texts have none; items and documents of
 fewer than five words never match; repeated rows give one result per (doc_id, item_id); null ids are kept as null; empty
@@ -70,7 +71,7 @@ def _overlap(words: str, item_words: str) -> Column:
     return F.aggregate(equal, start, step, lambda s: F.struct(s["all"].alias("matched"), s["stretch"].alias("stretch")))
 
 
-def overlaps(documents: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, least_words: int = 8,
+def overlaps(documents: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, least_words: int = 8, passage_words: int = 13,
              broadcast_seeds: int = BROADCAST_SEEDS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*keys, item_id, matched_words, stretch_words, item_words) of every document passage that overlaps a benchmark item.
 
@@ -98,7 +99,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, *, similarity: float =
             F.spark_partition_id().alias("_task")))
     hits = reduce(DataFrame.unionByName, found)
     judged = hits.select(*keys, "item_id", "item_words", "_task", _overlap("_here", "_there").alias("o"))
-    enough = ((F.col("o.matched") >= F.ceil(F.col("item_words") * similarity - 1e-9))
+    enough = ((F.col("o.matched") >= F.ceil(F.col("item_words") * similarity - 1e-9)) | (F.col("o.stretch") >= passage_words)
               | ((F.col("o.stretch") >= least_words) & (2 * F.col("o.stretch") >= F.col("item_words"))))
     # The task's number is not deterministic to the optimiser, which so leaves this filter above the join: inside the join, its lambdas would end
     # the generated code there, and each position of a text would be copied out with all of its words.

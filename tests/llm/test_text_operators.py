@@ -181,6 +181,19 @@ def test_overlaps_equal_brute_force(spark):
     assert decontaminate.overlaps(documents, benchmark.limit(0)).count() == 0
 
 
+def _found(spark, docs, items, **options):
+    documents = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], DOCS)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    return {(r.doc_id, r.item_id, r.stretch_words) for r in decontaminate.overlaps(documents, benchmark, **options).collect()}
+
+
+def test_partial_passages_of_long_items(spark):
+    items = [(1, [f"a{k}" for k in range(59)]), (2, [f"b{k}" for k in range(200)])]
+    a, b, other = items[0][1], items[1][1], [f"c{k}" for k in range(30)]
+    docs = [(1, other + a[20:49] + other), (2, b[100:190]), (3, other + a[:12]), (4, a[:14] + ["zz"] + a[14:28])]
+    assert _found(spark, docs, items) == {(1, 1, 29), (2, 2, 90), (4, 1, 14)}
+
+
 # -- licences
 
 def test_licences(spark):
