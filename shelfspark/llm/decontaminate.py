@@ -25,7 +25,7 @@ from shelfspark.llm.common import fresh, text_or_empty
 
 #: Cared-for positions of each mask.
 MASKS = ((0, 1, 2, 3, 4), (0, 2, 3, 4, 5), (0, 1, 3, 4, 5), (0, 1, 2, 4, 5), (0, 1, 2, 3, 5))
-#: Seeds that may be broadcast at once, at about 100 bytes each; a larger benchmark is searched in several slices.
+#: Seeds that may be broadcast at once, at about 100 bytes each however long their items are; a larger benchmark is searched in several slices.
 BROADCAST_SEEDS = 1_000_000
 _SEPARATORS = r"[\s\p{Punct}]+"
 
@@ -41,22 +41,26 @@ def _seed(h: str, i: str, number: int) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """(item, words): the word hashes of each item, trailing separators left out."""
+    """(item, words, key): the word hashes of each item, trailing separators left out, and a key of the words."""
     trimmed = F.regexp_replace(text_or_empty("text"), _SEPARATORS + "$", "")
     items = benchmark.select(F.col("item_id").alias("_item"), word_hashes(trimmed).alias("_words"))
-    return items.filter(F.size("_words") >= len(MASKS[0])).distinct()
+    return items.filter(F.size("_words") >= len(MASKS[0])).distinct().withColumn("_key", F.xxhash64("_words"))
 
 
 def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """(seed, item, words, at, before): every complete seed of every item and the word in front of it."""
-    spread = items.select("*", F.explode(F.sequence(F.lit(0), F.size("_words") - len(MASKS[0]))).alias("_at"))
+    """(seed, key, length, at, before): every complete seed of all different words of items and the word in front of it, in rows of one size.
+
+    The words themselves stay out: they are joined to the hits by key. Should two items share a key, their hits are compared with both.
+    """
+    texts = items.select("_key", "_words").distinct()
+    spread = texts.select("*", F.explode(F.sequence(F.lit(0), F.size("_words") - len(MASKS[0]))).alias("_at"))
     full = [F.when(F.col("_at") + max(m) < F.size("_words"), _seed("_words", "_at", k)) for k, m in enumerate(MASKS)]
     before = F.when(F.col("_at") > 0, F.get("_words", F.col("_at") - 1))
-    return spread.select(F.explode(F.array(*full)).alias("_seed"), "_item", F.col("_words").alias("_item_words"), "_at",
+    return spread.select(F.explode(F.array(*full)).alias("_seed"), "_key", F.size("_words").alias("_length"), "_at",
                          before.alias("_before")).filter("_seed IS NOT NULL")
 
 
-def _overlap(words: str, item_words: str) -> Column:
+def _overlap(words: str | Column, item_words: str | Column) -> Column:
     """Struct (matched, stretch) of two aligned stretches of words."""
     equal = F.zip_with(words, item_words, lambda a, b: (a == b).cast("int"))
     start = F.struct(*[F.lit(0).alias(c) for c in ("all", "score", "run", "best", "stretch")])
@@ -92,13 +96,13 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, *, similarity: float =
         hits = sought.join(F.broadcast(part), (F.col("_s") == F.col("_seed")) & leftmost)
         shift = F.col("_i") - F.col("_at")
         first = F.greatest(F.lit(0), -shift)
-        length = F.least(F.size("_item_words"), F.size("_words") - shift) - first
+        length = F.least(F.col("_length"), F.size("_words") - shift) - first
         found.append(hits.select(
-            *keys, F.col("_item").alias("item_id"), F.size("_item_words").alias("item_words"),
-            F.slice("_words", first + shift + 1, length).alias("_here"), F.slice("_item_words", first + 1, length).alias("_there"),
-            F.spark_partition_id().alias("_task")))
-    hits = reduce(DataFrame.unionByName, found)
-    judged = hits.select(*keys, "item_id", "item_words", "_task", _overlap("_here", "_there").alias("o"))
+            *keys, "_key", first.alias("_first"), F.slice("_words", first + shift + 1, length).alias("_here"), F.spark_partition_id().alias("_task")))
+    known = items.select("_key", F.col("_item").alias("item_id"), F.size("_words").alias("item_words"), F.col("_words").alias("_item_words"))
+    hits = reduce(DataFrame.unionByName, found).join(known, "_key")
+    there = F.slice("_item_words", F.col("_first") + 1, F.size("_here"))
+    judged = hits.select(*keys, "item_id", "item_words", "_task", _overlap("_here", there).alias("o"))
     enough = ((F.col("o.matched") >= F.ceil(F.col("item_words") * similarity - 1e-9)) | (F.col("o.stretch") >= passage_words)
               | ((F.col("o.stretch") >= least_words) & (2 * F.col("o.stretch") >= F.col("item_words"))))
     # The task's number is not deterministic to the optimiser, which so leaves this filter above the join: inside the join, its lambdas would end

@@ -194,6 +194,17 @@ def test_partial_passages_of_long_items(spark):
     assert _found(spark, docs, items) == {(1, 1, 29), (2, 2, 90), (4, 1, 14)}
 
 
+def test_seeds_do_not_grow_with_their_items(spark):
+    long = [f"l{k}" for k in range(2000)]
+    items = [(1, long), (2, long), (None, long), (2, [f"m{k}" for k in range(9)])]
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    seeds = decontaminate.benchmark_seeds(decontaminate.benchmark_items(benchmark))
+    assert {type(f.dataType).__name__ for f in seeds.schema} <= {"LongType", "IntegerType"}
+    assert seeds.count() <= len(decontaminate.MASKS) * (2000 + 9)  # Equal items share their seeds.
+    docs = [(1, ["x"] + long), (2, long[:1000] + ["x"]), (3, items[3][1])]
+    assert _found(spark, docs, items, broadcast_seeds=4000) == {(d, i, n) for d, n in ((1, 2000), (2, 1000)) for i in (1, 2, None)} | {(3, 2, 9)}
+
+
 # -- licences
 
 def test_licences(spark):
