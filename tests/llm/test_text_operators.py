@@ -205,6 +205,26 @@ def test_seeds_do_not_grow_with_their_items(spark):
     assert _found(spark, docs, items, broadcast_seeds=4000) == {(d, i, n) for d, n in ((1, 2000), (2, 1000)) for i in (1, 2, None)} | {(3, 2, 9)}
 
 
+def test_every_agreement_of_four_fifths_holds_a_seed():
+    span = max(map(max, decontaminate.MASKS)) + 1
+    most = {(): 0}  # By the last equalities, the most equal words of a passage without a seed.
+    for length in range(1, 121):
+        longer = {}
+        for last, equal in most.items():
+            for e in (0, 1):
+                seen = (*last, e)
+                # A mask that ends here; masks that end earlier were looked at there.
+                if not any(len(seen) > m[-1] and all(seen[len(seen) - 1 - m[-1] + k] for k in m) for m in decontaminate.MASKS):
+                    longer[seen[-span + 1:]] = max(longer.get(seen[-span + 1:], 0), equal + e)
+        most = longer
+        assert length < 6 or max(most.values()) < math.ceil(0.8 * length - 1e-9), length
+
+
+def test_two_words_replaced_in_the_middle(spark):
+    item = [f"a{k}" for k in range(10)]
+    assert {r[:2] for r in _found(spark, [(1, item[:4] + ["x", "y"] + item[6:])], [(1, item)])} == {(1, 1)}
+
+
 # -- licences
 
 def test_licences(spark):
