@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 EQUIVALENT_SPELLINGS = (
     ("sub licen[cs]e", "sublicense"), ("sublicence", "sublicense"), ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"),
     ("licencing", "licensing"), ("acknowledgement", "acknowledgment"), ("acknowledgements", "acknowledgments"), ("authorised", "authorized"),
@@ -65,6 +68,19 @@ def _named(spdx: str, *names: str) -> list[str]:
     return [f.format(name) for name in names for f in forms] + [f"SPDX-License-Identifier: {spdx}"]
 
 
+def _full(spdx: str) -> list[str]:
+    """The full text of a licence in its usual forms: with and without the appendix on its use, with http and https, and as lines, paragraphs or one line.
+
+    Layouts count because a copyright line is left out as a whole line, and "(c)" in front of a clause reads as one.
+    """
+    whole = resources.files("shelfspark.llm").joinpath("licence_files", f"{spdx}.txt").read_text("utf-8").replace("\f", "\n")
+    end = re.search("END OF TERMS AND CONDITIONS", whole)
+    forms = {whole, *([whole[:end.start()], whole[:end.end()]] if end else [])}
+    forms |= {f.replace("https:", "http:") for f in forms} | {re.sub("https?:", "https:", f) for f in forms}
+    paragraphs = {"\n\n".join(" ".join(part.split()) for part in re.split(r"\n\s*\n", f)) for f in forms}
+    return sorted(forms | paragraphs | {" ".join(f.split()) for f in forms})
+
+
 KNOWN_TEXTS: dict[str, list[str]] = {
     "MIT": [_MIT, "MIT License\n\n" + _MIT, "The MIT License\n\n" + _MIT, "The MIT License (MIT)\n\n" + _MIT, *_named("MIT", "MIT License")],
     "ISC": [_ISC, "ISC License\n\n" + _ISC, *_named("ISC", "ISC License")],
@@ -73,13 +89,14 @@ KNOWN_TEXTS: dict[str, list[str]] = {
     "BSD-3-Clause": [_BSD_HEAD + _BSD_THIRD + _BSD_TAIL, "BSD 3-Clause License\n\n" + _BSD_HEAD + _BSD_THIRD + _BSD_TAIL,
                      *_named("BSD-3-Clause", "BSD 3-Clause License")],
     "Zlib": [_ZLIB, "zlib License\n\n" + _ZLIB, *_named("Zlib", "zlib License")],
-    "Apache-2.0": [_APACHE_NOTICE, *_named("Apache-2.0", "Apache License, Version 2.0", "Apache License 2.0")],
-    "GPL-2.0-only": _named("GPL-2.0-only", "GNU General Public License, version 2"),
-    "GPL-3.0-only": _named("GPL-3.0-only", "GNU General Public License, version 3"),
-    "LGPL-3.0-only": _named("LGPL-3.0-only", "GNU Lesser General Public License, version 3"),
+    "Apache-2.0": [*_full("Apache-2.0"), _APACHE_NOTICE, *_named("Apache-2.0", "Apache License, Version 2.0", "Apache License 2.0")],
+    "GPL-2.0-only": [*_full("GPL-2.0-only"), *_named("GPL-2.0-only", "GNU General Public License, version 2")],
+    "GPL-3.0-only": [*_full("GPL-3.0-only"), *_named("GPL-3.0-only", "GNU General Public License, version 3")],
+    "LGPL-2.1-only": [*_full("LGPL-2.1-only"), *_named("LGPL-2.1-only", "GNU Lesser General Public License, version 2.1")],
+    "LGPL-3.0-only": [*_full("LGPL-3.0-only"), *_named("LGPL-3.0-only", "GNU Lesser General Public License, version 3")],
     "AGPL-3.0-only": _named("AGPL-3.0-only", "GNU Affero General Public License, version 3"),
-    "MPL-2.0": _named("MPL-2.0", "Mozilla Public License, version 2.0"),
-    "CC0-1.0": ["To the extent possible under law, the author has dedicated this work to the public domain.", *_named("CC0-1.0", "CC0 1.0")],
+    "MPL-2.0": [*_full("MPL-2.0"), *_named("MPL-2.0", "Mozilla Public License, version 2.0")],
+    "CC0-1.0": [*_full("CC0-1.0"), "To the extent possible under law, the author has dedicated this work to the public domain.", *_named("CC0-1.0", "CC0 1.0")],
     "CC-BY-4.0": _named("CC-BY-4.0", "CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
     "CC-BY-SA-4.0": _named("CC-BY-SA-4.0", "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC-BY-NC-4.0": _named("CC-BY-NC-4.0", "CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),

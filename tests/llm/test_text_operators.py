@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 
@@ -241,6 +242,21 @@ def test_licences(spark):
     assert licences.scan(documents.limit(0), known).count() == 0
 
 
+def test_full_licence_texts(spark):
+    names = ["Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0"]
+    rows, wanted = [], {}
+    for name in names:
+        with open(f"{os.path.dirname(licences.__file__)}/licence_files/{name}.txt", encoding="utf-8") as file:
+            text = file.read()
+        joined = "\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", text))
+        for form, licence in ((text, name), (text.upper().replace("\n", "\r\n"), name), (joined, name), (" ".join(text.split()), name),
+                              (text.split("END OF TERMS")[0], name), (text + " more", None)):
+            wanted[len(rows)] = licence
+            rows.append((len(rows), form))
+    found = licences.scan(spark.createDataFrame(rows, DOCS), licences.known_digests(spark)).collect()
+    assert {r.doc_id: r.licence for r in found} == wanted
+
+
 # -- personal data
 
 def _plain(text):
