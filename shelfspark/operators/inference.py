@@ -98,7 +98,8 @@ def detect(df: DataFrame, model_factory: Callable[[], Detector], confidence: flo
     ``with_errors`` adds a row with the column ``error`` for each image that could not be read or on which the model failed.
     """
     names = [n for n in _FOUND if (with_crop or n not in _CROP) and (with_errors or n != "error")]
-    readable = df.filter(F.col("data").isNotNull() & (F.col("height") > 0)).select(*keep, F.struct(*RASTER.names).alias("_raster"))
+    sought = df if with_errors else df.filter(F.col("data").isNotNull() & (F.col("height") > 0))
+    readable = sought.select(*keep, F.struct(*RASTER.names).alias("_raster"))
     schema = T.StructType([*readable.schema.fields[:len(keep)], *[T.StructField(n, _FOUND[n][0]) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,6 +115,8 @@ def detect(df: DataFrame, model_factory: Callable[[], Detector], confidence: flo
                 part = batch.slice(start, call_images)
                 raster = pa.RecordBatch.from_struct_array(part.column(len(keep)))
                 images = _images(raster, RASTER.names)
+                if with_errors:
+                    images = [ValueError("no image") if isinstance(i, np.ndarray) and not len(i) else i for i in images]
                 rows, size = [], 0
                 for k, (image, answer) in enumerate(zip(images, _results(model, images), strict=True)):
                     try:

@@ -226,6 +226,13 @@ def test_failures_are_rows_where_wanted(spark):
     assert sorted((r.image_id, r.det_idx) for r in found) == [("bad", None), ("short", None)]
 
 
+def test_unreadable_images_are_failures_too(spark):
+    pictures = table(spark, {"a": np.full((4, 4), 40, np.uint8), "none": (4, 4, 1, None), "flat": (0, 4, 1, bytearray()), "null": (None, None, None, None)})
+    found = inference.detect(pictures, lambda: each(boxes_of), with_errors=True)
+    assert sorted(r.image_id for r in found.filter("error IS NOT NULL").collect()) == ["flat", "none", "null"]
+    assert {r.image_id for r in inference.detect(pictures, lambda: each(boxes_of)).collect()} == {"a"}
+
+
 def test_many_large_boxes_are_handed_on_in_parts(spark):
     def many():
         return lambda images: [[{"bbox": [0, 0, 800, 800], "confidence": 0.9, "class_id": k} for k in range(100)] for _ in images]
