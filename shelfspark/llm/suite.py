@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import blockjoin, bytepair, chat, decontaminate, licences, pii, simhash, tokenfiles, toxicity, warczip
+from shelfspark.llm import (
+    blockjoin, bytepair, centroids, chat, decontaminate, licences, pii, resample, simhash, tokenfiles, toxicity, urlfilter, warczip)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -67,8 +68,34 @@ def op10_chat(spark, sf):
     return chat.format_conversations(table(spark, sf, "conversations"))
 
 
+def op11_resample(spark, sf):
+    """Every document's weight and score towards the benchmark, and the rank of those drawn."""
+    return resample.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"), percent=5, min_words=20, seed=42)
+
+
+def op12_centroids(spark, sf):
+    """The cluster of every vector."""
+    return centroids.clustered(table(spark, sf, "embeddings"), clusters=8, rounds=10, seed=3, size=64, scale=1024)
+
+
+#: Sites of the contract, and patterns for hosts and pages that no corpus wants.
+URL_RULES = (
+    urlfilter.Site("allow", "com"), urlfilter.Site("block", "example.com", "/en/"), urlfilter.Site("allow", "www.example.com", "/en/"),
+    urlfilter.Site("block", "net", "/es/"), urlfilter.Site("block", "net", "/fr/"),
+    *(urlfilter.Pattern("block", text) for text in (
+        "||casino-*.", "||free-bets.", "||adult-x.", "||cheap-pills.", "||spam-farm.", "||ads-track.", "^popunder^", "/redirect?*url=http")),
+    urlfilter.Pattern("allow", "||example.org/*/help."),
+)
+
+
+def op13_urlfilter(spark, sf):
+    """The verdict on every page's address, by sites and patterns."""
+    return urlfilter.judge(table(spark, sf, "pages"), URL_RULES)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_warczip, op3_blockjoin, op4_simhash, op5_decontaminate, op6_licences, op7_bytepair, op8_pii, op9_tokenfiles, op10_chat)}
+    op1_toxicity, op2_warczip, op3_blockjoin, op4_simhash, op5_decontaminate, op6_licences, op7_bytepair, op8_pii, op9_tokenfiles, op10_chat,
+    op11_resample, op12_centroids, op13_urlfilter)}
 
 
 def _canonical_sql(text: str) -> str:
@@ -82,7 +109,46 @@ def _canonical_sql(text: str) -> str:
 
 _KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, texts in licences.KNOWN_TEXTS.items() for text in texts)
 
+
+def _centroids_sql(rounds: int = 10) -> str:
+    """Lloyd's rounds, one after the other."""
+    steps = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) AS point
+            FROM embeddings WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN 0 ELSE 1 END)) = 0
+            AND list_count(embedding) = 64)""",
+             """c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id), point) - 1)::integer AS cluster, point FROM v
+            ORDER BY cluster LIMIT 8)"""]
+    for turn in range(rounds + 1):
+        steps.append(f"""a{turn} AS MATERIALIZED (SELECT n, any_value(vec_id) AS vec_id, any_value(point) AS point, min(near).cluster AS cluster, min(near).distance AS distance
+            FROM (SELECT v.n, v.vec_id, v.point, {{'distance': list_sum(list_transform(list_zip(v.point, c.point),
+            lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint, 'cluster': c.cluster}} AS near FROM v, c{turn} c) GROUP BY n)""")
+        if turn < rounds:
+            steps.append(f"""c{turn + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.point, c.point) AS point FROM c{turn} c LEFT JOIN (
+            SELECT cluster, list(((total - ((total % size) + size) % size) // size)::bigint ORDER BY place) AS point FROM (
+            SELECT cluster, place, sum(x)::bigint AS total, count(*) AS size FROM (
+            SELECT cluster, unnest(point) AS x, generate_subscripts(point, 1) AS place FROM a{turn}) GROUP BY cluster, place) GROUP BY cluster) m USING (cluster))""")
+    return f"""WITH {", ".join(steps)} SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::bigint AS cluster_inertia,
+        (sum(distance) OVER ())::bigint AS inertia, sha256(list_aggregate(c.point, 'string_agg', ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c USING (cluster)"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_centroids": _centroids_sql(),
+    "op13_urlfilter": r"""WITH parsed AS (SELECT page_id, row_number() OVER () AS n, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_replace(rest, '^[^/?#]*', '') AS tail
+            FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)),
+        sites(site_host, site_path, site_verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+            ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        patterns(text, pattern_verdict, regex) AS (VALUES ('||casino-*.', 'block', '(?is)^([^/?#]*\.)?casino-.*\.'), ('||free-bets.', 'block', '(?is)^([^/?#]*\.)?free-bets\.'),
+            ('||adult-x.', 'block', '(?is)^([^/?#]*\.)?adult-x\.'), ('||cheap-pills.', 'block', '(?is)^([^/?#]*\.)?cheap-pills\.'),
+            ('||spam-farm.', 'block', '(?is)^([^/?#]*\.)?spam-farm\.'), ('||ads-track.', 'block', '(?is)^([^/?#]*\.)?ads-track\.'),
+            ('^popunder^', 'block', '(?is)[^a-z0-9_.%-]popunder([^a-z0-9_.%-]|$)'), ('/redirect?*url=http', 'block', '(?is)/redirect\?.*url=http'),
+            ('||example.org/*/help.', 'allow', '(?is)^([^/?#]*\.)?example\.org/.*/help\.')),
+        by_site AS (SELECT n, arg_max({'name': site_host || site_path, 'verdict': site_verdict}, length(site_host || site_path) * 1000 + length(site_host)) AS s
+            FROM parsed JOIN sites ON (host = site_host OR ends_with(host, '.' || site_host)) AND starts_with(path, site_path) GROUP BY n),
+        by_pattern AS (SELECT n, max({'allows': pattern_verdict = 'allow', 'size': length(text), 'name': text, 'verdict': pattern_verdict}) AS p
+            FROM parsed JOIN patterns ON regexp_matches(host || tail, regex) GROUP BY n)
+        SELECT page_id, host, path, s.name AS rule, CASE WHEN s IS NULL THEN p.name END AS pattern, coalesce(s.verdict, p.verdict, 'allow') AS verdict
+        FROM parsed LEFT JOIN by_site USING (n) LEFT JOIN by_pattern USING (n)""",
     "op3_blockjoin": """SELECT query_id, cast(rank AS integer) AS rank, vec_id, score FROM (
         SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM (
             SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.embedding::double[], c.embedding::double[]),
