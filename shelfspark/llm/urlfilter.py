@@ -122,13 +122,11 @@ def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
 
 
-def address(url: str) -> dict[str, Column]:
-    """``host``, ``path`` and ``address`` (host in lower case and all that follows it) of a URL column."""
+def address(url: str) -> Column:
+    """Of a URL column, what follows the first ``://``, with the host in lower case; empty without it."""
     at = F.locate("://", F.col(url))
     rest = F.when(at > 0, F.substr(F.col(url), at + F.lit(3))).otherwise(F.lit(""))
-    found = F.regexp_extract(rest, "^([^/?#]*)([^?#]*)", 1), F.regexp_extract(rest, "^([^/?#]*)([^?#]*)", 2)
-    host = lowered(F.coalesce(found[0], F.lit("")))
-    return {"host": host, "path": F.coalesce(found[1], F.lit("")), "address": F.concat(host, F.coalesce(F.regexp_replace(rest, "^[^/?#]*", ""), F.lit("")))}
+    return F.concat(lowered(F.regexp_extract(rest, "^[^/?#]*", 0)), F.regexp_replace(rest, "^[^/?#]*", ""))
 
 
 def lowered(text: Column) -> Column:
@@ -161,17 +159,18 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", keep: Se
     table = rule_table(spark, rules)
     kept = [F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)]
     names = [f"_keep{k}" for k in range(len(keep))]
-    parsed = pages.select(*kept, F.col(url).alias("_url")).select(*names, *[c.alias(n) for n, c in address("_url").items()])
+    parsed = pages.select(*kept, F.col(url).alias("_url")).select(*names, address("_url").alias("address"))
     # The empty token is in the index even if no rule is: it keeps one row of every address.
     anchor = spark.range(1, numPartitions=1).select(F.lit(0).alias("rank"), F.lit("").alias("token"), F.lit(None).cast("string").alias("regex"))
     index = rarest_tokens(table, parsed).join(table.select("rank", "regex"), "rank").select("rank", "token", "regex").unionByName(anchor)
     candidates = parsed.select("*", F.explode(url_tokens(F.col("address"))).alias("token")).join(index, "token")
     fits = F.when(F.col("rank") > 0, F.when(F.rlike(F.col("address"), F.col("regex")), F.col("rank")))
-    judged = candidates.groupBy(*names, "host", "path", "address").agg(
+    judged = candidates.groupBy(*names, "address").agg(
         F.max(fits).alias("rank"), F.count_if(F.col("rank") == 0).cast("int").alias("_copies"))
     decided = table.select("rank", "site", "name", "verdict")
     return (judged.join(decided, "rank", "left").select("*", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
-            .select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "host", "path",
+            .select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)],
+                    F.regexp_extract("address", "^[^/?#]*", 0).alias("host"), F.regexp_extract("address", "^[^/?#]*([^?#]*)", 1).alias("path"),
                     F.when(F.col("site"), F.col("name")).alias("rule"), F.when(~F.col("site"), F.col("name")).alias("pattern"),
                     F.coalesce("verdict", F.lit("allow")).alias("verdict")))
 
