@@ -11,23 +11,25 @@ rows in any order). Null and empty texts have only the end id. An empty table gi
 
 from __future__ import annotations
 
-import contextlib
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from shelfspark.llm.bytepair import Memo
-from shelfspark.llm.common import text_or_empty
+from shelfspark.llm.common import pieces, text_or_empty
 from shelfspark.llm.files import opened, read_range, written
 from shelfspark.session import materialize, scratch_path
 
@@ -39,66 +41,176 @@ _HEAD, _ENTRY, _FOOTER = "<II", "<III", "<IBI"
 _HEAD_BYTES, _ENTRY_BYTES, _FOOTER_BYTES = 8, 12, 9
 
 
-#: A full stop or comma between a letter and white space: a piece of its own for the tokenizer, so it may stand alone here.
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
-
-
-def _gaps(found: list) -> list[int]:
-    """Places of None in a list that has few of them."""
-    out, at = [], -1
-    with contextlib.suppress(ValueError):
-        while True:
-            out.append(at := found.index(None, at + 1))
-    return out
+#: The normalizer and the split of the tokenizers whose pieces are found without the library. Pieces are encoded one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: The same split for words of ASCII, and for words with the letters U+00C0 to U+017F, which no normalization changes and which have lower forms of their own.
+_VISIBLE = re.compile(rb"[!-~]+")
+_ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_LATIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+#: Words longer than this are not remembered; pieces of one call; bytes of texts that are encoded together.
+_MEMO_BYTES, _CALL_PIECES, _WINDOW = 256, 20_000, 8 << 20
+_SPACE = b" \t\n\v\f\r"
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that lower-cases and whose tokens never reach over white space; words met before are looked up.
 
-    ASCII letters are lower-cased, and stops cut off, before words are looked up: the tokenizer does both anyhow, and there are fewer words then.
+    Words not met before are cut into the pieces that the tokenizer would make of them, and pieces not met before are encoded by the library, many in a
+    call. The last token of a piece says that it is the last, which tells the pieces apart again. Names of added tokens in a text are those tokens.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        parts = json.loads(definition)
+        added = {t["content"].encode("utf-8"): t for t in parts["added_tokens"]}
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added.values()):
+            raise ValueError("added tokens that are not plain names")
+        self.added = {name: struct.pack("<I", t["id"]) for name, t in added.items()}
+        self.names = re.compile(b"(" + b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) + b")") if added else None
+        self.whole = Tokenizer.from_str(definition)
+        self.whole.encode_special_tokens = True  # what looks like a name after lower-casing is ordinary text
+        self.bar = self.whole.encode("|", add_special_tokens=False).ids
         self.memo = Memo(MEMO_WORDS)
-        self.bar = self.tokenizer.encode("|", add_special_tokens=False).ids
-
-    def ids(self, words: list[bytes]) -> bytes:
-        """Ids of consecutive words, as little-endian unsigned 32-bit integers."""
-        found = list(map(self.memo.young.get, words))
-        if gaps := _gaps(found):
-            absent = {words[k] for k in gaps}
-            known = {w: value for w in absent if (value := self.memo.get(w)) is not None}
-            for word, value in self._encoded(absent.difference(known)):
-                known[word] = value
-                if len(word) <= 256:
-                    self.memo.put(word, value)
-            for k in gaps:
-                found[k] = known[words[k]]
-        return b"".join(found)
-
-    def _encoded(self, words: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Words and their ids, by one call: a bar between words gives an id that words without a bar do not have."""
+        self.bare = None
+        suffix = parts["model"].get("end_of_word_suffix")
+        if suffix and parts["normalizer"] == _NORMALIZER and parts["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTE_LEVEL]}:
+            cut = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, _BYTE_LEVEL]}
+            bare = parts | {"normalizer": None, "added_tokens": []}
+            self.bare = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": cut}))
+            self.visible = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": {"type": "WhitespaceSplit"}}))
+            vocabulary = self.bare.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.last[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _pieces(self, word: bytes) -> list[bytes] | None:
+        """What the tokenizer makes of a word before it merges; None where only the library can tell."""
+        if word.isascii():
+            return _ASCII_PIECES.findall(word)
+        text = word.decode("utf-8")
+        return [p.encode("utf-8") for p in _LATIN_PIECES.findall(text.lower())] if _LATIN.fullmatch(text) else None
+
+    def _encoded(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Pieces with their ids. Visible ASCII stands for itself in the tokenizer's alphabet of bytes; others are translated by the library."""
+        visible = [p for p in pieces if _VISIBLE.fullmatch(p)]
+        for tokenizer, part in ((self.visible, visible), (self.bare, [p for p in pieces if not _VISIBLE.fullmatch(p)] if len(visible) < len(pieces) else [])):
+            for start in range(0, len(part), _CALL_PIECES):
+                call = part[start:start + _CALL_PIECES]
+                ids = np.array(tokenizer.encode_batch_fast([b" ".join(call).decode("utf-8")], add_special_tokens=False)[0].ids, dtype="<u4")
+                ends, data = (4 * np.flatnonzero(self.last[ids]) + 4).tolist(), ids.tobytes()
+                yield from zip(call, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True)
+
+    def _odd(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words by the whole tokenizer, in one call: a bar between words gives an id that words without a bar do not have."""
         plain = [w for w in words if b"|" not in w] if len(self.bar) == 1 else []
         if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([b" | ".join(plain).decode("utf-8")], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.whole.encode_batch_fast([b" | ".join(plain).decode("utf-8")], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = [*np.flatnonzero(ids == self.bar[0]).tolist(), len(ids)]
             data, start = ids.tobytes(), 0
             for word, end in zip(plain, ends, strict=True):
                 yield word, data[4 * start:4 * end]
                 start = end + 1
-        for word in words.difference(plain):
-            yield word, np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def text(self, text: str | None, block: int = 1 << 16) -> Iterator[bytes]:
-        """Ids of a whole text, a block of words at a time."""
-        words = _STOP.sub(rb" \1", (text or "").encode("utf-8").lower()).split()  # at ASCII white space only
-        for start in range(0, len(words), block):
-            yield self.ids(words[start:start + block])
+        for word in words if not plain else [w for w in words if b"|" in w]:
+            yield word, np.array(self.whole.encode(word.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _resolved(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of distinct words that the memo does not have."""
+        new, several, odd, known = set(), [], [] if self.bare else words, {}
+        for word in words if self.bare else ():
+            pieces = self._pieces(word)
+            if pieces is None:
+                odd.append(word)
+            elif pieces == [word]:
+                new.add(word)
+            else:
+                several.append((word, pieces))
+        for piece in {p for _, pieces in several for p in pieces}.difference(new):
+            if (value := self.memo.get(piece)) is None:
+                new.add(piece)
+            else:
+                known[piece] = value
+        found = dict(self._encoded(list(new))) if new else {}
+        found.update(self._odd(odd))
+        known.update(found)
+        for word, pieces in several:
+            found[word] = known[word] = b"".join(map(known.__getitem__, pieces))
+        for key, value in found.items():
+            if len(key) <= _MEMO_BYTES:
+                self.memo.put(key, value)
+        return known
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without names of added tokens, one after the other, and where each text's begin (and the last one's end).
+
+        Each distinct word of the texts is looked up once; what a word occurs for is gathered as arrays.
+        """
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        words, at = _byte_strings(coded.dictionary), coded.indices.to_numpy()
+        found = list(map(self.memo.young.get, words))
+        gaps = [k for k, value in enumerate(found) if value is None]
+        absent = []
+        for k in gaps:
+            if (value := self.memo.get(words[k])) is None:
+                absent.append(words[k])
+            else:
+                found[k] = value
+        known = self._resolved(absent)
+        for k in gaps:
+            if found[k] is None:
+                found[k] = known[words[k]]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
+        ids, firsts = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        places = np.repeat(firsts[at] - ends[:-1], sizes[at]) + np.arange(ends[-1])
+        return ids[places], ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+    def text(self, text: str | None, piece: int = 1 << 18) -> Iterator[bytes]:
+        """Ids of a whole text, a stretch at a time."""
+        data = (text or "").encode("utf-8")
+        for k, part in enumerate(self.names.split(data) if self.names else [data]):
+            if k % 2:
+                yield self.added[part]
+            else:
+                for stretch in pieces(part, _SPACE, piece):
+                    yield self.encode(pa.array([stretch.decode("utf-8")]))[0].tobytes()
+
+    def texts(self, texts: pa.Array) -> Iterator[Iterable[bytes]]:
+        """Ids of whole texts, each in blocks. Texts that are not very long share the lookups and the calls to the library."""
+        alone = pc.greater(pc.binary_length(texts), _WINDOW)
+        for name in self.added:
+            alone = pc.or_(alone, pc.match_substring(texts, name.decode("utf-8")))
+        ids, bounds = self.encode(texts.filter(pc.invert(alone)))
+        k = 0
+        for text, apart in zip(texts, alone.to_pylist(), strict=True):
+            if apart:
+                yield self.text(text.as_py())
+            else:
+                yield [ids[bounds[k]:bounds[k + 1]].tobytes()]
+                k += 1
+
+
+def _byte_strings(values: pa.StringArray) -> list[bytes]:
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[values.offset:values.offset + len(values) + 1].tolist() if len(values) else [0]
+    data = data.to_pybytes() if data else b""
+    return list(map(data.__getitem__, map(slice, at, at[1:])))
+
+
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive documents whose texts have about :data:`_WINDOW` bytes together, or one longer text."""
+    for batch in batches:
+        ends, start = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)), 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + _WINDOW, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 class FileWriter:
@@ -236,15 +348,11 @@ def write_files(documents: DataFrame, tokenizer_path: str, folder: str, *, end_i
             kept["encoder"] = WordEncoder(kept["definition"])
         encoder, number = kept["encoder"], first.column(0)[0].as_py()
 
-        def blocks(text: str) -> Iterator[bytes]:
-            yield from encoder.text(text)
-            yield end
-
         with written(folder, f"{number:06d}.tokens.zst") as (out, path):
             writer = FileWriter(out, frame_ids)
-            for batch in _and(first, batches):
-                for doc_id, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    writer.add(doc_id, blocks(text.as_py()))
+            for window in _windows(chain([first], batches)):
+                for doc_id, blocks in zip(window.column(1).to_pylist(), encoder.texts(window.column(2)), strict=True):
+                    writer.add(doc_id, chain(blocks, [end]))
             writer.finish()
         values = [number, path, len(writer.counts), sum(writer.counts), writer.bytes]
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=_FILES.names)
@@ -252,11 +360,6 @@ def write_files(documents: DataFrame, tokenizer_path: str, folder: str, *, end_i
     return materialize(in_order.mapInArrow(run, _FILES), "tokenfiles")
 
 
-def _and(first, rest):
-    yield first
-    yield from rest
-
-
 def file_starts(files: DataFrame) -> DataFrame:
     """``files`` with ``start``: the ids in all files before. One row a file, so one task can hold them."""
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)

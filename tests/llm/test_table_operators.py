@@ -5,6 +5,7 @@ import collections
 import hashlib
 import io
 import itertools
+import json
 import random
 import re
 import struct
@@ -131,20 +132,40 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(TOKENIZER)
 
 
 def test_words_encode_as_whole_texts_do(library):
     with open(TOKENIZER, encoding="utf-8") as file:
         encoder = tokenfiles.WordEncoder(file.read())
     rng = random.Random(4)
-    for k in range(3000):
-        text = "".join(rng.choice("abcABCéÉßΣσ'sdl 1234  \n\t.,İ́ x<|endoftext|>") for _ in range(rng.randint(0, 30)))
+    parts = [*"abcABCéÉßΣσ'sdl 1234  \n\t.,İ́ x|<>\x1f\x0b\x85\u00a0\u00d7ŸſŒK½", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", " don't. ", "'re", "...", "a.", "é.", "9,", "=\u0338"]
+    texts = []
+    for k in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
         if k % 5 == 0:
-            text = "".join(chr(rng.choice([rng.randrange(1, 0x3000), rng.randrange(0x10000, 0x1F000)])) for _ in range(12))
-        assert np.frombuffer(b"".join(encoder.text(text)), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+            text = "".join(chr(rng.choice([rng.randrange(0x300), rng.randrange(1, 0x3000), rng.randrange(0x10000, 0x1F000)])) for _ in range(12))
+        texts.append(text)
+    for start in range(0, len(texts), 400):
+        for text, blocks in zip(texts[start:start + 400], encoder.texts(pa.array(texts[:start + 400])[start:]), strict=True):
+            expected = library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(b"".join(blocks), "<u4").tolist() == expected, text
+            assert np.frombuffer(b"".join(encoder.text(text, piece=2)), "<u4").tolist() == expected, text
+
+
+def test_words_of_other_tokenizers_go_through_the_library(library):
+    other = json.loads(library.to_str())
+    other["normalizer"] = {"type": "Lowercase"}
+    encoder, whole = tokenfiles.WordEncoder(json.dumps(other)), Tokenizer.from_str(json.dumps(other))
+    for text in ("Hello, w|rld don't", "a.b <|endoftext|>é", ""):
+        assert np.frombuffer(b"".join(encoder.text(text)), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_forgotten_words_are_encoded_again(library, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "MEMO_WORDS", 8)
+    encoder = tokenfiles.WordEncoder(library.to_str())
+    text = " ".join(f"word{'abcdefghij'[k % 10]}{k % 23}, x." for k in range(200))
+    assert np.frombuffer(b"".join(encoder.text(text, piece=70)), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def _expected(rows, library):
@@ -160,7 +181,7 @@ def test_token_files_come_back(spark, library):
     documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     found = sorted(tuple(r) for r in tokenfiles.stored_ids(spark, documents, TOKENIZER, frame_ids=300).collect())
     assert found == _expected([(r.doc_id, r.text) for r in documents.collect()], library)
-    odd = [(3, None), (None, "a b"), (1, ""), (3, "")]
+    odd = [(3, None), (None, "a b"), (1, ""), (3, ""), (5, "One <|endoftext|> two"), (6, "long " * 300_000), (7, "a <|ENDOFTEXT|>")]
     rows = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "1 as start", "'f' as _file")
     assert sorted(map(str, (tuple(r) for r in tokenfiles.stored_ids(spark, rows, TOKENIZER).collect()))) == sorted(map(str, _expected(odd, library)))
     assert tokenfiles.stored_ids(spark, rows.limit(0), TOKENIZER).count() == 0
