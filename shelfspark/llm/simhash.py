@@ -260,20 +260,19 @@ def keep_one(documents: DataFrame, *, shingle: int = 3, radius: int = 2, seed: i
 
     Of several rows of a component with that doc_id, the first in the order of all columns stays; so does one of a component without any doc_id.
     """
+    own, fp, root, component = (fresh(documents, name) for name in ("_own", "_fp", "_root", "_component"))
     marked = _marked(documents, shingle, seed)
     placed = materialize(_placed(marked, radius, tree_nodes), "placed")
     ids = marked.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("_fp").alias("_fp"))
-    once = ids.filter("n = 1").join(placed, "_fp").filter("doc_id = component_id").select(F.col("doc_id").alias("_once"))
-    kept = documents.join(once, documents["doc_id"] == F.col("_once"), "left_semi")
-    repeated = ids.filter("n > 1").select(F.col("doc_id").alias("_again"))
+    once = ids.filter("n = 1").join(placed, "_fp").filter("doc_id = component_id").select(F.col("doc_id").alias(own))
+    kept = documents.join(once, F.col("doc_id") == F.col(own), "left_semi")
+    repeated = ids.filter("n > 1").select(F.col("doc_id").alias(own))
     if marked.filter("doc_id IS NULL").isEmpty() and repeated.isEmpty():
         return kept
     # Ids that do not name one row: those rows are told apart by their fingerprints.
-    unclear = documents.filter("doc_id IS NULL").unionByName(documents.join(repeated, documents["doc_id"] == F.col("_again"), "left_semi"))
-    fp = fresh(documents, "_fp")
-    own = fingerprints(unclear, shingle, seed, fp)
-    key = placed.select(F.col("_fp").alias("_key"), F.col("root").alias("_root"), F.col("component_id").alias("_component"))
-    chosen = own.join(key, own[fp] == F.col("_key")).filter(own["doc_id"].eqNullSafe(F.col("_component")))
-    row = F.struct(*[own[c] for c in documents.columns]).alias("_row")
-    first = chosen.select(row, "_root", "_component").groupBy("_root", "_component").agg(F.min("_row").alias("_row"))
-    return kept.unionByName(first.select("_row.*"))
+    unclear = documents.filter("doc_id IS NULL").unionByName(documents.join(repeated, F.col("doc_id") == F.col(own), "left_semi"))
+    key = placed.select(F.col("_fp").alias(own), F.col("root").alias(root), F.col("component_id").alias(component))
+    chosen = fingerprints(unclear, shingle, seed, fp).join(key, F.col(fp) == F.col(own)).filter(F.col("doc_id").eqNullSafe(F.col(component)))
+    row = F.struct(*documents.columns).alias("row")
+    first = chosen.select(row, F.col(root).alias("root"), F.col(component).alias("component")).groupBy("root", "component").agg(F.min("row").alias("row"))
+    return kept.unionByName(first.select("row.*"))
