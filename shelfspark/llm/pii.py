@@ -209,12 +209,12 @@ def spelled_digits(m: Mapped) -> list[Mapped]:
 
 
 #: Spoken or bracketed signs.
-_AT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:at|@|ät|arroba|arobase)\s{0,3}[\])}>]\s{0,3}|\s{1,3}(?:at|arroba|arobase)\s{1,3}|\s{1,3}@\s{0,3}|@\s{1,3})"
-_DOT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|\.|punkt|point|punto)\s{0,3}[\])}>]\s{0,3}|\s{1,3}(?:dot|punkt|point|punto)\s{1,3})"
+_AT = r"(?:\s*+[\[({<]\s*+(?:at|@|ät|arroba|arobase)\s*+[\])}>]\s*+|\s++(?:at|arroba|arobase)\s++|\s++@\s*+|@\s++)"
+_DOT = r"(?:\s*+[\[({<]\s*+(?:dot|\.|punkt|point|punto)\s*+[\])}>]\s*+|\s++(?:dot|punkt|point|punto)\s++)"
 _LABEL = r"[A-Za-z0-9-]{1,63}+"
 _NAME = r"[A-Za-z0-9._%+-]{1,64}+"
 _DISGUISED_AT = re.compile(rf"(?i)({_NAME}(?:{_DOT}{_NAME}){{0,4}})({_AT}|@)({_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{1,6}})")
-_AT_CUE = re.compile(r"(?i)[\[({<]\s{0,3}(?:at|@|ät|arroba|arobase|dot|\.|punkt|point|punto)\s{0,3}[\])}>]|\s(?:dot|punkt|point|punto)\s|\s@|@\s")
+_AT_CUE = re.compile(r"(?i)[\[({<]\s*+(?:at|@|ät|arroba|arobase|dot|\.|punkt|point|punto)\s*+[\])}>]|\s(?:dot|punkt|point|punto)\s|\s@|@\s")
 _DOTTED = re.compile(rf"(?i){_DOT}")
 _IP_DOTS = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}+(?:(?:{_DOT}|\.)[0-9]{{1,3}}+){{3}}(?![0-9])")
 

@@ -134,6 +134,17 @@ def test_near_duplicates_on_odd_rows(spark):
     assert simhash.keep_one(documents.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_kept_rows_under_any_column_name(spark, repeated):
+    """Every name that the operator uses for itself, as a column of the documents."""
+    names = ["_own", "_fp", "_root", "_component", "_once", "_again", "_key", "_row", "row", "root", "component", "component_id", "fingerprint", "node", "n", "first_id", "__own", "A", "b"]
+    rows = [(1, "one two three four"), (2, "one two three four"), (3, "some other words here")] + [(3, "quite another text of words"), (None, "no id at all")] * repeated
+    documents = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"{k} AS `{name}`" for k, name in enumerate(names)])
+    kept = simhash.keep_one(documents)
+    assert kept.columns == documents.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == (["1", "3", "3", "None"] if repeated else ["1", "3"])
+
+
 # -- decontamination
 
 def _overlaps(docs, items, similarity=0.8):
@@ -303,6 +314,7 @@ def test_disguised_identifiers_are_mapped_back(text, kind, span):
     ("card 4111 one 111 1111 11 one 1 ok", "card", "4111 one 111 1111 11 one 1"),
     ("card 4111 1111 1111 111 one.", "card", "4111 1111 1111 111 one"),
     ("ip 10.0.0 dot seven ok", "ip", "10.0.0 dot seven"),
+    ("to john       (at)      example       [dot]    com.", "email", "john       (at)      example       [dot]    com"),
 ])
 def test_spelled_digits_beside_numbers(text, kind, span):
     assert [(k, text[a:b]) for k, a, b, disguised in pii.find(text) if disguised] == [(kind, span)]
