@@ -19,8 +19,9 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from shelfspark.llm.common import text_or_empty
+from shelfspark.llm.common import own_id, text_or_empty
 from shelfspark.operators.ranking import rank_in_group
 from shelfspark.session import materialize
 
@@ -132,13 +133,15 @@ def format_conversations(conversations: DataFrame, segment_turns: int = SEGMENT_
     ``action`` is keep, merge, relabel or insert; ``cost`` that of the conversation's whole repair.
     """
     spark = conversations.sparkSession
-    turns = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.lower(F.trim(F.col("role"))).alias("_role"), text_or_empty("text").alias("_text"))
+    turns = conversations.select(own_id(conversations, "conv_id").alias("conv_id"), own_id(conversations, "turn").alias("turn"),
+                                 F.lower(F.trim(F.col("role"))).alias("_role"), text_or_empty("text").alias("_text"))
     # Always by slices, so that a conversation of any length is spread over several tasks.
     ranked = rank_in_group(turns, ["conv_id"], ["turn", "_role", "_text"], "_rank", slices=int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranked = materialize(ranked.withColumn("_segment", F.floor((F.col("_rank") - 1) / segment_turns).cast("bigint")), "turns")
     table = table_of_steps()
     names = ["conv_id", "_segment", "_role"]
-    kind = pa.int64()
+    conv_type, turn_type = ranked.schema["conv_id"].dataType, ranked.schema["turn"].dataType
+    kind, turn_kind, conv_sql, turn_sql = to_arrow_type(conv_type), to_arrow_type(turn_type), conv_type.simpleString(), turn_type.simpleString()
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -150,7 +153,7 @@ def format_conversations(conversations: DataFrame, segment_turns: int = SEGMENT_
         return _in_blocks(rows(), ["conv_id", "_segment", "_costs"], [kind, pa.int64(), pa.list_(pa.int64())])
 
     by_segment = ranked.select(*names, "_rank").repartition("conv_id", "_segment").sortWithinPartitions("conv_id", "_segment", "_rank")
-    segments = by_segment.mapInArrow(matrices, "conv_id long, _segment long, _costs array<long>")
+    segments = by_segment.mapInArrow(matrices, f"conv_id {conv_sql}, _segment long, _costs array<long>")
 
     def joints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -169,7 +172,7 @@ def format_conversations(conversations: DataFrame, segment_turns: int = SEGMENT_
         return _in_blocks(rows(), ["conv_id", "_segment", "_entry", "_leave", "_cost", "_last"], [kind, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()])
 
     joined = segments.repartition("conv_id").sortWithinPartitions("conv_id", "_segment").mapInArrow(
-        joints, "conv_id long, _segment long, _entry int, _leave int, _cost long, _last boolean")
+        joints, f"conv_id {conv_sql}, _segment long, _entry int, _leave int, _cost long, _last boolean")
     # A segment's ends travel with its turns, in front of them.
     both = ranked.unionByName(joined.withColumn("_rank", F.lit(0).cast("bigint")), allowMissingColumns=True)
     both = both.repartition("conv_id", "_segment").sortWithinPartitions("conv_id", "_segment", "_rank")
@@ -195,9 +198,9 @@ def format_conversations(conversations: DataFrame, segment_turns: int = SEGMENT_
                     yield conv, 2 * rank, turn, action, source, role, fragment + "<|im_end|>\n" * (ends and not lone), cost
                     if lone:
                         yield conv, 2 * rank + 1, None, "insert", None, "user", "<|im_end|>\n<|im_start|>user\n<|im_end|>\n", cost
-        return _in_blocks(rows(), out_names, [kind, pa.int64(), pa.int64(), *[pa.string()] * 4, pa.int64()])
+        return _in_blocks(rows(), out_names, [kind, pa.int64(), turn_kind, *[pa.string()] * 4, pa.int64()])
 
-    return both.mapInArrow(render, "conv_id long, seq long, turn long, action string, source_role string, role string, fragment string, cost long")
+    return both.mapInArrow(render, f"conv_id {conv_sql}, seq long, turn {turn_sql}, action string, source_role string, role string, fragment string, cost long")
 
 
 def rendered(fragments: DataFrame) -> DataFrame:

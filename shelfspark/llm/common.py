@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 #: Long texts are worked off in pieces of about this many bytes.
 PIECE_BYTES = 1 << 18
@@ -18,6 +19,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def own_id(df: DataFrame, column: str) -> Column:
+    """An id or place as it is; whole numbers of any width as 64 bits."""
+    return F.col(column).cast("bigint") if isinstance(df.schema[column].dataType, IntegralType) else F.col(column)
+
+
 def text_or_empty(column: str | Column) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

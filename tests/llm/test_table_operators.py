@@ -264,6 +264,14 @@ def test_rendered_conversations(spark, segment_turns):
     assert chat.format_conversations(table.limit(0), segment_turns).count() == 0
 
 
+def test_conversations_with_ids_of_any_type(spark):
+    rows = [("c1", "b", "assistant", "x"), ("c1", "a", "user", "y"), (None, "a", "tool", "z"), ("ü:2", None, "user", None)]
+    found = chat.format_conversations(spark.createDataFrame(rows, "conv_id string, turn string, role string, text string"))
+    assert [(r.conv_id, r.text) for r in chat.rendered(found).orderBy("conv_id").collect() if r.conv_id == "c1"] == [
+        ("c1", "<|im_start|>user\ny<|im_end|>\n<|im_start|>assistant\nx<|im_end|>\n")]
+    assert {(r.conv_id, r.turn) for r in found.filter("turn IS NOT NULL").collect()} == {("c1", "a"), ("c1", "b"), (None, "a")}
+
+
 # -- queries and pipeline
 
 @pytest.mark.parametrize("name", sorted(set(suite.QUERIES) - set(suite.ORACLE)))
