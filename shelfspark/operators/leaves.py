@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from shelfspark.functions.ids import LEAF_TARGET_MAX, leaf_target
+from shelfspark.functions.ids import leaf_target
 from shelfspark.functions.text import last_segment, listing_url
-from shelfspark.operators.ranking import paged_lists, rank_in_group, top_per_group
+from shelfspark.operators.ranking import counts_before, paged_lists, rank_in_group, sliced, top_per_group
 from shelfspark.session import materialize, scratch_path
 
 
@@ -94,14 +94,36 @@ def with_targets(leaves: DataFrame, targets: DataFrame, seed: int = 0) -> DataFr
     return leaves.join(given, "leaf", "left").withColumn("target", F.coalesce("target", leaf_target(F.col("leaf"), seed)))
 
 
+def quota_cuts(candidates: DataFrame, targets: DataFrame, product: str = "product_id", seed: int = 0) -> DataFrame:
+    """(leaf, cut): the key (phase, product) of the last candidate taken, for each leaf with more candidates than its ``target``.
+
+    Keys alone are dealt into slices by leaf and order. Counts of (leaf, slice), added up, say which slices lie wholly below the
+    target and which one it falls into; only that slice's part of the leaf is ranked. No task sees a leaf.
+    """
+    keys = candidates.select("leaf", "phase", F.col(product).alias("product"))
+    placed = sliced(keys, ["leaf"], [F.col("phase").asc(), F.col("product").asc()])
+    counted = counts_before(placed, ["leaf"])
+    totals = with_targets(counted.groupBy("leaf").agg(F.sum("_n").alias("total")), targets, seed).filter("total > target")
+    # One row a leaf that is cut: the slice and the place in it.
+    within = counted.join(totals.select("leaf", "target"), "leaf").filter("_before < target AND target <= _before + _n")
+    wanted = within.select("leaf", "_slice", (F.col("target") - F.col("_before")).alias("place"))
+    place = F.row_number().over(Window.partitionBy("_slice", "leaf").orderBy("phase", "product", "_spread"))
+    last = placed.join(wanted, ["leaf", "_slice"]).withColumn("at", place).filter("at = place")
+    empty = totals.filter("target <= 0").select("leaf", F.lit(None).alias("cut"), F.lit(False).alias("any"))
+    return last.select("leaf", F.struct("phase", "product").alias("cut"), F.lit(True).alias("any")).unionByName(empty)
+
+
 def fill_quota(candidates: DataFrame, targets: DataFrame, product: str = "product_id", seed: int = 0) -> DataFrame:
     """Candidates taken per leaf, phase 1 first, until the leaf's ``target`` is reached; exact for any leaf size.
 
-    No leaf takes more than the largest target, so no more rows of a leaf than that leave a map task (``WindowGroupLimit``).
+    Rows behind the cut of their leaf are dropped where they are read; those up to it, as many as the targets allow, are ranked.
+    Of candidates with one leaf, phase and product any may be the last.
     """
-    largest = max(targets.agg(F.max("target")).first()[0] or 0, LEAF_TARGET_MAX)
-    ranked = top_per_group(candidates, ["leaf"], [F.col("phase"), F.col(product)], largest, rank_col="taken")
-    return with_targets(ranked, targets, seed).withColumn("taken", F.col("taken").cast("bigint")).filter("taken <= target")
+    cuts = materialize(quota_cuts(candidates, targets, product, seed), "cuts")
+    up_to = (candidates.join(cuts, "leaf", "left")
+             .filter(F.col("any").isNull() | F.col("any") & (F.struct("phase", F.col(product).alias("product")) <= F.col("cut"))).drop("cut", "any"))
+    ranked = rank_in_group(up_to, ["leaf"], ["phase", product], "taken")
+    return with_targets(ranked, targets, seed).filter("taken <= target")
 
 
 def leaf_keywords(leaves: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -9,10 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfspark.session import materialize
 
 
-#: Rows of one group that a single window task may sort.
-GROUP_ROWS = 1_000_000
-
-
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1,
                   rank_col: str | None = None) -> DataFrame:
     """The first ``k`` rows of each group under a total ``order``.
@@ -26,38 +22,40 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return out if rank_col else out.drop(rank)
 
 
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: int | None = None, slice_col: str = "_slice") -> DataFrame:
+    """A written table of ``df`` in which consecutive rows by keys and ``order`` lie in consecutive, numbered slices.
+
+    A large group lies in several slices. Rows that are equal in all of it go on in the next slice too, so no group and no repeated
+    row decides how large a slice is. ``df`` is evaluated twice, once for the bounds of the slices: store it first if it is dear.
+    """
+    spread = df.withColumn("_spread", F.monotonically_increasing_id())
+    placement = [*[F.col(c).asc() for c in keys], *order, F.col("_spread").asc()]
+    placed = spread.repartitionByRange(slices, *placement) if slices else spread.repartitionByRange(*placement)
+    return materialize(placed.withColumn(slice_col, F.spark_partition_id()), "sliced")
+
+
+def counts_before(held: DataFrame, keys: Sequence[str], slice_col: str = "_slice") -> DataFrame:
+    """(slice, keys, ``_n``, ``_before``): rows a group has in a slice and in all slices before. ``held`` is :func:`sliced`.
+
+    The window sees one row per group and slice, never the rows themselves.
+    """
+    in_order = Window.partitionBy(*keys).orderBy(slice_col)
+    counted = held.groupBy(slice_col, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.withColumn("_before", F.coalesce(F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint")))
+
+
 def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank_col: str = "rank",
                   descending: Sequence[str] = (), slices: int | None = None) -> DataFrame:
-    """Exact 1-based row number inside each group, for groups of any size; ``order`` must be total.
-
-    The largest group is counted first. Up to ``GROUP_ROWS`` a window over the group will do.
-    Beyond that (or with ``slices`` given, or without ``keys``, where the rank is global) no task gets a whole
-    group: rows are range-partitioned by group and order, so a large group lies in several
-    consecutive slices. The slices are pinned by a written table, ranks are counted inside
-    (slice, group), and each group that continues from earlier slices gets the number of
-    rows it had there. At most one group per slice continues, so the offsets have fewer rows than
-    there are slices; that bound is what allows their broadcast.
+    """Exact 1-based row number inside each group (of all rows without ``keys``), for groups of any size; ties are in any order.
 
-    ``df`` is evaluated more than once: store it first if it is dear.
+    No task gets a whole group, and no group is counted beforehand: rows are ranked inside (slice, group), and each group that
+    continues from earlier slices gets the number of rows it had there. At most one group per slice continues, so the offsets
+    have fewer rows than there are slices; that bound is what allows their broadcast.
     """
     by = [F.col(c).desc() if c in descending else F.col(c).asc() for c in order]
-    if keys and slices is None:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if largest <= GROUP_ROWS:
-            rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
-            return df.withColumn(rank_col, rank.cast("bigint"))
-    placement = [F.col(c).asc() for c in keys] + by
-    spread = df.repartitionByRange(slices, *placement) if slices else df.repartitionByRange(*placement)
-    sliced = materialize(spread.withColumn("_slice", F.spark_partition_id()), "ranked")
-
-    # One row per slice and group; over all groups, a window of at most one row per slice.
-    held = sliced.groupBy("_slice", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    in_order = Window.partitionBy(*keys).orderBy("_slice")
-    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (held.withColumn("_before", F.sum("_n").over(earlier))
-               .filter(F.col("_before").isNotNull()).drop("_n"))
-
-    local = sliced.withColumn("_local", F.row_number().over(Window.partitionBy("_slice", *keys).orderBy(*by)))
+    placed = sliced(df, keys, by, slices)
+    offsets = counts_before(placed, keys).filter("_before > 0").drop("_n")
+    local = placed.withColumn("_local", F.row_number().over(Window.partitionBy("_slice", *keys).orderBy(*by, "_spread")))
     on = [F.col("l._slice") == F.col("o._slice")]
     on += [F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
     return (local.alias("l").join(F.broadcast(offsets).alias("o"), on, "left")

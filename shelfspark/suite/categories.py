@@ -77,6 +77,15 @@ def quota_without_target(spark, sf):
     return filled.select("leaf", "product_id", "target", "taken")
 
 
+def leaf_quota_hot(spark, sf):
+    """All order lines as candidates of five leaves, one of them with half of the rows, targets as large as real ones."""
+    lines = table(spark, sf, "lineitem").selectExpr(
+        "concat(l_returnflag, l_linestatus) AS leaf", "CASE WHEN l_linenumber > 4 THEN 1 ELSE 2 END AS phase", "l_orderkey * 10 + l_linenumber AS product_id")
+    targets = lines.select("leaf").distinct().withColumn("target", F.when(F.col("leaf") == "NF", 40).otherwise(1100).cast("bigint"))
+    filled = L.fill_quota(lines, targets)
+    return filled.select("leaf", F.col("phase").cast("bigint").alias("phase"), "product_id", "taken")
+
+
 def leaf_keywords(spark, sf):
     """Every customer leaf with the keywords of its root; the last region has none."""
     leaves = (table(spark, sf, "customer").join(table(spark, sf, "nation"), F.expr("n_nationkey = c_nationkey"))
@@ -171,6 +180,9 @@ ORACLE = {
         SELECT root, node AS leaf FROM down d WHERE is_leaf OR NOT EXISTS (SELECT 1 FROM edges e WHERE e.parent = d.node AND e.id <> '')""",
     "leaf_resolve_deep": f"""WITH RECURSIVE links AS ({_CHAIN}), down AS (SELECT 'T' AS node UNION SELECT id FROM down JOIN links ON parent = node)
         SELECT 'T' AS root, node AS leaf FROM down WHERE NOT EXISTS (SELECT 1 FROM links WHERE parent = node)""",
+    "leaf_quota_hot": """SELECT * FROM (SELECT leaf, phase, product_id, row_number() OVER (PARTITION BY leaf ORDER BY phase, product_id) AS taken FROM (
+        SELECT l_returnflag || l_linestatus AS leaf, CASE WHEN l_linenumber > 4 THEN 1 ELSE 2 END::bigint AS phase, l_orderkey * 10 + l_linenumber AS product_id FROM lineitem))
+        WHERE taken <= CASE WHEN leaf = 'NF' THEN 40 ELSE 1100 END""",
     "quota_without_target": cte("old_products") + f""", {_BY_LEAF}, {_TAKEN} SELECT leaf, product_id, target, taken FROM (
         SELECT leaf, product_id, taken, CASE WHEN target < 30 THEN target ELSE {_DRAWN.format('leaf')} END AS target FROM taken) WHERE taken <= target""",
     "leaf_index": cte("old_products") + f""", {_BY_LEAF} SELECT leaf, page, string_agg(product_id, ',' ORDER BY product_id) AS product_ids

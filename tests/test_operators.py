@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,19 +55,18 @@ def test_global_rank_over_many_slices(skewed):
     assert [r for _, r in rows(found, "o")] == list(range(1, len(source) + 1))
 
 
-def test_small_groups_need_no_slices(skewed):
+def test_ranks_count_nothing_beforehand(spark, skewed):
     source, df = skewed
     ranked = ranking.rank_in_group(df, ["k"], ["o"])
-    assert "rangepartitioning" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert "_slice" in ranked._jdf.queryExecution().analyzed().toString()
     assert sorted(map(tuple, ranked.collect())) == expected_ranks(source)
 
 
-def test_large_groups_are_sliced_unasked(skewed, monkeypatch):
-    source, df = skewed
-    monkeypatch.setattr(ranking, "GROUP_ROWS", 2999)
-    ranked = ranking.rank_in_group(df, ["k"], ["o"])
-    assert "_slice" in ranked._jdf.queryExecution().analyzed().toString()
-    assert sorted(map(tuple, ranked.collect())) == expected_ranks(source)
+def test_equal_rows_go_over_slices(spark):
+    same = spark.range(4000).select(F.lit("hot").alias("k"), F.lit(1).alias("o"))
+    placed = ranking.sliced(same, ["k"], [F.col("o").asc()], 8)
+    assert placed.groupBy("_slice").count().agg(F.max("count")).first()[0] < 1000
+    assert {r["rank"] for r in ranking.rank_in_group(same, ["k"], ["o"], slices=8).collect()} == set(range(1, 4001))
 
 
 def test_pages_are_bounded_and_whole(skewed):
@@ -88,15 +88,39 @@ def test_top_per_group_limits_before_the_shuffle(skewed):
     assert sorted(map(tuple, top.collect())) == sorted((k, o) for k, os in groups.items() for o in sorted(os)[-2:])
 
 
-def test_quota_of_a_hot_leaf(spark, skewed, monkeypatch):
-    monkeypatch.setattr(ranking, "GROUP_ROWS", 100)
-    source, df = skewed
-    candidates = df.select(F.col("k").alias("leaf"), F.when(F.col("o") % 2 == 0, 1).otherwise(2).alias("phase"), F.col("o").alias("product_id"))
-    targets = candidates.select("leaf").distinct().withColumn("target", F.when(F.col("leaf") == "hot", 1700).otherwise(3))
-    found = leaves.fill_quota(candidates, targets).collect()
-    assert sum(r.leaf == "hot" for r in found) == 1700
-    hot = sorted((1 if o % 2 == 0 else 2, o) for k, o in source if k == "hot")[:1700]
-    assert sorted((r.phase, r.product_id) for r in found if r.leaf == "hot") == hot
+def _filled(rows, targets, default):
+    """(leaf, phase, product, taken) by the definition; rows equal in all of it are alike."""
+    by_leaf = collections.defaultdict(list)
+    for leaf, phase, product in rows:
+        by_leaf[leaf].append((phase, product))
+    return sorted((leaf, *row, k) for leaf, own in by_leaf.items()
+                  for k, row in enumerate(sorted(own, key=lambda r: (r[0], r[1] is not None, r[1] or 0))[:max(0, targets.get(leaf, default(leaf)))], 1))
+
+
+def test_quota_of_a_hot_leaf(spark):
+    """A third of all rows in one leaf, copies among them, targets above the thousand up to which Spark limits groups in the map tasks."""
+    rng = random.Random(2)
+    rows = [("hot", rng.randint(1, 2), rng.randrange(20_000)) for _ in range(10_000)] + [("copies", 1, 7)] * 3000
+    rows += [(f"l{k % 40}", rng.randint(1, 2), rng.randrange(500)) for k in range(17_000)]
+    given = {"hot": 9000, "copies": 1200, "l1": 0, "l2": 1, "l3": 425, "l4": 10 ** 6, "l5": -3, **{f"l{k}": 100 + k for k in range(6, 40)}}
+    candidates = spark.createDataFrame(rows, "leaf string, phase int, product_id long").repartition(8)
+    targets = spark.createDataFrame(list(given.items()), "leaf string, target long")
+    found = leaves.fill_quota(candidates, targets)
+    assert sorted((r.leaf, r.phase, r.product_id, r.taken) for r in found.collect()) == _filled(rows, given, lambda leaf: 11_000)
+
+
+def test_quota_cuts_see_no_leaf_whole(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("l"), F.col("id") % 50)).alias("leaf"), F.lit(1).alias("phase"),
+                                      F.col("id").alias("product_id"), F.lit("wide").alias("more"))
+    targets = rows.select("leaf").distinct().withColumn("target", F.lit(9000))
+    cuts = leaves.quota_cuts(rows, targets)
+    assert [(r.leaf, r.cut.product) for r in cuts.collect()] == [("hot", 26_997)]
+    plan = cuts._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"Window \[.*?\], \[(.*?)\], \[(.*?)\]", plan)
+    # Ranks inside a slice; sums over slices, a row for each of a leaf.
+    assert windows and all("_slice" in keys + order for keys, order in windows) and "more" not in plan
+    placed = ranking.sliced(rows.select("leaf", "phase", "product_id"), ["leaf"], [F.col("product_id").asc()], 16)
+    assert placed.groupBy("leaf", "_slice").count().agg(F.max("count")).first()[0] < 4000
 
 
 def test_required_fields_follow_the_columns(spark):
