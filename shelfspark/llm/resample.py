@@ -193,9 +193,7 @@ def draw(scored: DataFrame, k: int, last: tuple | None, *, min_words: int = 20,
     keyed, key = _keyed(scored, names)
     bound = F.struct(*[F.lit(v).cast(keyed.schema[c].dataType).alias(c) for v, c in zip(last, key, strict=True)])
     within = (F.col(names[0]) >= min_words) & (F.struct(*key) <= bound)
-    # Rows equal in the whole key are alike; the last column only keeps many of them from gathering in one slice.
-    tie = fresh(keyed, "_tie")
-    up_to = rank_in_group(keyed.filter(within).withColumn(tie, F.monotonically_increasing_id()), [], [*key, tie], rank_col)
+    up_to = rank_in_group(keyed.filter(within), [], key, rank_col)
     up_to = up_to.select(*scored.columns, F.when(F.col(rank_col) <= k, F.col(rank_col)).alias(rank_col))
     return up_to.unionByName(keyed.filter(~within).select(*scored.columns, none))
 
