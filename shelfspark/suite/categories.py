@@ -157,7 +157,7 @@ def balance_progress(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    leaf_resolve, leaf_resolve_deep, quota_without_target, leaf_index, leaf_counts_ranked, leaf_top10, leaf_totals, leaf_targets, leaf_quota, leaf_keywords,
+    leaf_resolve, leaf_resolve_deep, quota_without_target, leaf_quota_hot, leaf_index, leaf_counts_ranked, leaf_top10, leaf_totals, leaf_targets, leaf_quota, leaf_keywords,
     leaf_progress, leaves_left, listing_pages, page_cursors, next_cursor, saved_state, balance_report,
     balance_selected, balance_progress)}
 

@@ -85,6 +85,31 @@ def self_neighbours(spark, sf):
     return ranking.top_per_group(others, ["query_id"], [F.desc("score"), F.col("point_id")], 3).withColumn("score", F.round("score", 6))
 
 
+PIVOTS = 24
+
+
+def cosine_topk_cells(spark, sf):
+    """As ``cosine_topk``, through cells and the two passes."""
+    found = neighbours.nearest(query_vectors(spark, sf), index_vectors(spark, sf), k=3, threshold=None, pivots=PIVOTS)
+    return found.select("query_id", "point_id", F.round("score", 6).alias("score"), F.col("match_rank").cast("bigint").alias("match_rank"))
+
+
+def cosine_threshold_cells(spark, sf):
+    """As ``cosine_threshold``, through the cells of a stored index."""
+    path = scratch_path(spark, "packed")
+    neighbours.store_packed(neighbours.pack_index(index_vectors(spark, sf), PIVOTS), path)
+    found = neighbours.nearest(query_vectors(spark, sf), neighbours.load_packed(spark, path), k=3, threshold=0.6)
+    return found.select("query_id", "point_id", F.round("score", 6).alias("score"))
+
+
+def self_neighbours_cells(spark, sf):
+    """As ``self_neighbours``, through cells."""
+    index = index_vectors(spark, sf)
+    found = neighbours.nearest(index.withColumnRenamed("point_id", "query_id"), index, k=4, threshold=None, pivots=PIVOTS)
+    others = found.filter("query_id <> point_id").drop("match_rank")
+    return ranking.top_per_group(others, ["query_id"], [F.desc("score"), F.col("point_id")], 3).withColumn("score", F.round("score", 6))
+
+
 def _items(spark, sf):
     # Stored once, as the vectors of a real run would be.
     asked = materialize(baskets(spark, sf), "baskets")
@@ -166,7 +191,8 @@ def vector_upsert(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     confident_detections, top1_detection, nearest_centre_detection, label_detections, object_metadata, crop_boxes,
-    l2_normalize, cosine_expression, cosine_topk, cosine_threshold, self_neighbours, cart_checkout, cart_items, cart_lines,
+    l2_normalize, cosine_expression, cosine_topk, cosine_threshold, self_neighbours, cosine_topk_cells, cosine_threshold_cells,
+    self_neighbours_cells, cart_checkout, cart_items, cart_lines,
     cart_quantities, cart_reply_pages, match_payload, cart_missing_payload, index_dimensions, point_payload, vector_upsert)}
 
 _ORDER = "l_orderkey, l_linenumber, l_suppkey, l_extendedprice"
@@ -232,3 +258,4 @@ ORACLE = {
         CASE WHEN label >= 5 THEN 'second' ELSE 'first' END AS version, round(embedding[1]::double, 6) AS v0
         FROM embeddings WHERE label <> 3 AND vec_id IN (SELECT p_partkey FROM part)""",
 }
+ORACLE |= {f"{name}_cells": ORACLE[name] for name in ("cosine_topk", "cosine_threshold", "self_neighbours")}

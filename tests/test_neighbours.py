@@ -52,7 +52,7 @@ def test_copies_and_shards(spark, monkeypatch, tmp_path):
     queries = np.vstack([np.tile([1, 2, 3, 4, 5, 7], (40, 1)), rng.normal(size=(80, 6))])
     index = frame(spark, points, "point_id")
     packed = neighbours.pack_index(index, 5)
-    assert max(packed.cells.shards.values()) > 1
+    assert packed.cells.shards.max() > 1 and len(packed.cells.occupied) > 1
     asked = frame(spark, queries, "query_id")
     assert found(neighbours.nearest(asked, packed, 4, 0.5)) == brute(queries, points, 4, 0.5)
     neighbours.store_packed(packed, str(tmp_path / "index"))
@@ -60,18 +60,26 @@ def test_copies_and_shards(spark, monkeypatch, tmp_path):
     assert found(neighbours.nearest(asked, stored, 4, 0.5)) == brute(queries, points, 4, 0.5)
 
 
-def test_threshold_prunes_cells(spark):
+@pytest.mark.parametrize("threshold", [0.6, 0.1, None])
+def test_searches_prune_and_do_not_multiply(spark, monkeypatch, threshold):
+    """Clustered vectors: a query meets a small share of them, whatever the threshold, and is copied once a shard at most."""
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 4 * 32 * 16)
+    monkeypatch.setattr(neighbours, "SHARD_BYTES", 4 * 32 * 64)
     rng = np.random.default_rng(2)
-    points = clustered(rng, 500, 32, 10)
-    index = frame(spark, points, "point_id")
-    packed = neighbours.pack_index(index, 16)
-    cells = packed.cells
-    asked = frame(spark, points[:50], "query_id")
-    everywhere = neighbours._pack_queries(asked, cells, np.pi, {}).selectExpr("sum(size(ids))").first()[0]
-    nearby = neighbours._pack_queries(asked, cells, np.arccos(0.9), {}).selectExpr("sum(size(ids))").first()[0]
-    assert nearby < everywhere / 2
-    result = neighbours.nearest(asked, packed, 3, 0.9)
-    assert found(result) == brute(points[:50], points, 3, 0.9)
+    points = clustered(rng, 600, 32, 12)
+    packed = neighbours.pack_index(frame(spark, points, "point_id"), 16)
+    asked = frame(spark, points[:60], "query_id")
+    seen = neighbours.coverage(asked, packed, 3, threshold)
+    assert seen["share"] < 0.3 and seen["copies"] < seen["shards"] / 2 and seen["shards"] < 24
+    # By the threshold alone most cells have to be met.
+    alone = (packed.cells.gaps(points[:60]) <= np.arccos(0.1 if threshold is None else threshold)) @ packed.cells.counts
+    assert seen["share"] < alone.mean() / 600 or threshold == 0.6
+    assert found(neighbours.nearest(asked, packed, 3, threshold)) == brute(points[:60], points, 3, threshold)
+
+
+def test_small_cells_share_shards_and_large_ones_have_several():
+    first, number = neighbours._shards_of(np.array([3, 4, 9, 35, 1, 1, 10, 11]), 10)
+    assert first.tolist() == [0, 0, 1, 2, 6, 6, 7, 8] and number.tolist() == [1, 1, 1, 4, 1, 1, 1, 2]
 
 
 def test_unusable_vectors(spark):
