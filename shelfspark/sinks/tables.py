@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from shelfspark.operators.ranking import rank_in_group
 from shelfspark.operators.upsert import absent_from, fold_changes, one_per_key
 
 
@@ -15,6 +16,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def children(spark: SparkSession, path: str, mark: str = "") -> list[str]:
+    """Names of the folders below ``path`` that hold ``mark``, in order; none if there is no such path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(target) if s.isDirectory() and mark in s.getPath().getName())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that no frame reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def append_stage(df: DataFrame, root: str, stage: str, run_id: str) -> str:
     """Store the metadata of a stage without image bytes; a rerun of ``run_id`` replaces its own rows only."""
     df.drop("image_data", "data").write.mode("overwrite").parquet(f"{root}/{stage}/run_id={run_id}")
@@ -44,12 +60,13 @@ def insert_absent(df: DataFrame, path: str, keys: Sequence[str], run_id: str, or
     return path
 
 
-def log_changes(df: DataFrame, path: str, batch: int) -> None:
+def log_changes(df: DataFrame, path: str, batch: int, order: Sequence[str] = ()) -> None:
     """Add one batch to a change log; writing the batch again replaces it, so replays are harmless.
 
-    Rows are numbered as they come (column ``seq``), so that changes of one key in one batch have an order; a ``seq`` of the caller's stays.
+    Several changes of one key in a batch need an order: the columns ``order``, by which rows are numbered (column ``seq``), or a ``seq`` of
+    the caller's. How a frame happens to lie is no order; without one such changes are refused when the log is folded (:func:`current`).
     """
-    numbered = df if "seq" in df.columns else df.withColumn("seq", F.monotonically_increasing_id())
+    numbered = rank_in_group(df, [], order, "seq") if order else df
     numbered.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
@@ -60,9 +77,15 @@ def read_changes(spark: SparkSession, path: str) -> DataFrame:
 def current(spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str] = ("batch", "seq")) -> DataFrame:
     """The log folded to one row per key: the newest non-null value of every column.
 
-    Changes are ordered by batch and place in it, or by ``version`` where the rows say themselves which is newer.
+    Changes are ordered by batch and ``seq`` in it, or by ``version`` where the rows say themselves which is newer.
     """
     changes = read_changes(spark, path)
+    if "seq" not in changes.columns:
+        changes = changes.withColumn("seq", F.lit(None).cast("bigint"))
+    if "seq" in version:
+        unordered = changes.filter("seq IS NULL").groupBy(*keys, "batch").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+        if unordered:
+            raise ValueError(f"{unordered.n} changes of one key in batch {unordered.batch} without an order: {unordered.asDict()}")
     return fold_changes(changes.drop(*{"batch", "seq"}.difference(version)), keys, version)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfspark.functions import vectors
 from shelfspark.operators import checkout, detections as D, neighbours, ranking
 from shelfspark.session import materialize, scratch_path
-from shelfspark.sinks.vector_index import ensure_index, publish, read_points
+from shelfspark.sinks.vector_index import compact, ensure_index, publish, read_points
 from shelfspark.suite.adapters import baskets, cte, index_vectors, query_vectors, table, view
 
 ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
@@ -189,11 +189,27 @@ def vector_upsert(spark, sf):
     return read_points(spark, path).select("point_id", "payload.sub_id", "payload.version", F.round(F.col("vector")[0].cast("double"), 6).alias("v0"))
 
 
+def index_compaction(spark, sf):
+    """Three batches, folded into the base behind the second and again behind the third; the second one is published again in between."""
+    path = scratch_path(spark, "index")
+    objects = _objects(spark, sf).select("sub_id", "label", "embedding")
+    ensure_index(spark, path, "objects", 64)
+    for batch, condition in enumerate(("label < 7", "label % 2 = 0", "label >= 6")):
+        points = D.points(objects.filter(condition).withColumn("batch", F.lit(batch)))
+        publish(points, path, batch)
+        if batch:
+            compact(spark, path)
+        if batch == 1:
+            publish(points, path, batch)
+    return read_points(spark, path).select("point_id", "payload.sub_id", F.col("payload.batch").cast("bigint").alias("from_batch"),
+                                           F.round(F.col("vector")[0].cast("double"), 6).alias("v0"))
+
+
 QUERIES = {f.__name__: f for f in (
     confident_detections, top1_detection, nearest_centre_detection, label_detections, object_metadata, crop_boxes,
     l2_normalize, cosine_expression, cosine_topk, cosine_threshold, self_neighbours, cosine_topk_cells, cosine_threshold_cells,
     self_neighbours_cells, cart_checkout, cart_items, cart_lines,
-    cart_quantities, cart_reply_pages, match_payload, cart_missing_payload, index_dimensions, point_payload, vector_upsert)}
+    cart_quantities, cart_reply_pages, match_payload, cart_missing_payload, index_dimensions, point_payload, vector_upsert, index_compaction)}
 
 _ORDER = "l_orderkey, l_linenumber, l_suppkey, l_extendedprice"
 _BEST = f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, {_ORDER}) AS rn
@@ -254,6 +270,9 @@ ORACLE = {
     "index_dimensions": "SELECT count(*) AS n_vectors, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim FROM embeddings",
     "point_payload": cte("payload") + f"""SELECT {_HASH.format("vec_id || '_obj0'")} AS point_id, 64::bigint AS dim, vec_id || '_obj0' AS sub_id, name, sku, round(price, 2) AS price
         FROM embeddings JOIN payload ON point_id = vec_id WHERE label <> 3""",
+    "index_compaction": f"""SELECT {_HASH.format("vec_id || '_obj0'")} AS point_id, vec_id || '_obj0' AS sub_id,
+        CASE WHEN label >= 6 THEN 2 WHEN label % 2 = 0 THEN 1 ELSE 0 END::bigint AS from_batch, round(embedding[1]::double, 6) AS v0
+        FROM embeddings WHERE label <> 3 AND vec_id IN (SELECT p_partkey FROM part)""",
     "vector_upsert": f"""SELECT {_HASH.format("vec_id || '_obj0'")} AS point_id, vec_id || '_obj0' AS sub_id,
         CASE WHEN label >= 5 THEN 'second' ELSE 'first' END AS version, round(embedding[1]::double, 6) AS v0
         FROM embeddings WHERE label <> 3 AND vec_id IN (SELECT p_partkey FROM part)""",

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.session import scratch_path
 from shelfspark.sinks.tables import current
-from shelfspark.streaming.checkout import checkout_stream, read_carts
+from shelfspark.sinks.vector_index import ensure_index, publish, publish_packed
+from shelfspark.streaming.checkout import checkout_stream, read_carts, read_items
 from shelfspark.streaming.ingest import distinct_stream, ingest
 from shelfspark.streaming.quota import quota_stream
 from shelfspark.suite.adapters import baskets, cte, index_vectors, table, view
@@ -46,11 +47,34 @@ def stream_distinct(spark, sf):
     return spark.read.parquet(f"{out}/rows")
 
 
+def _published(spark, sf, path: str, batch: int, condition: str = "true") -> None:
+    """Vectors of the table as index points, published and packed."""
+    vectors = index_vectors(spark, sf).filter(condition)
+    ensure_index(spark, path, "objects", 64)
+    publish(vectors.withColumn("payload", F.struct(F.col("point_id").cast("string").alias("sub_id"))), path, batch)
+    publish_packed(spark, path)
+
+
+_CARTS = ["cart_id", "n_detections", "n_items", "round(total_price, 2) AS total_price", "n_price_missing", "message"]
+
+
 def stream_checkout(spark, sf):
     feed = _as_stream(baskets(spark, sf), 4, "baskets", "cart_id")
     out = scratch_path(spark, "carts")
-    _drain(checkout_stream(feed, index_vectors(spark, sf), view(spark, sf, "payload"), out, f"{out}/checkpoint"))
-    return read_carts(spark, out).select("cart_id", "n_detections", "n_items", F.round("total_price", 2).alias("total_price"), "n_price_missing", "message")
+    _published(spark, sf, f"{out}/index", 0)
+    _drain(checkout_stream(feed, f"{out}/index", view(spark, sf, "payload"), out, f"{out}/checkpoint"))
+    return read_carts(spark, out).selectExpr(*_CARTS)
+
+
+def stream_checkout_versions(spark, sf):
+    """Baskets of even carts arrive while the index holds even points only, those of odd carts after the others were published."""
+    out, rows = scratch_path(spark, "carts"), baskets(spark, sf)
+    for batch in (0, 1):
+        rows.filter(F.col("cart_id") % 2 == batch).write.mode("append").parquet(f"{out}/feed")
+        feed = spark.readStream.schema(rows.schema).parquet(f"{out}/feed")
+        _published(spark, sf, f"{out}/index", batch, f"point_id % 2 = {batch}")
+        _drain(checkout_stream(feed, f"{out}/index", view(spark, sf, "payload"), out, f"{out}/checkpoint"))
+    return read_items(spark, out).select("cart_id", "query_id", "point_id", F.round("score", 6).alias("score"))
 
 
 def stream_quota(spark, sf):
@@ -64,11 +88,15 @@ def stream_quota(spark, sf):
     return spark.read.parquet(f"{out}/accepted").groupBy("leaf").agg(F.count(F.lit(1)).alias("n_accepted"))
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest_equals_batch, stream_distinct, stream_checkout, stream_quota)}
+QUERIES = {f.__name__: f for f in (stream_ingest_equals_batch, stream_distinct, stream_checkout, stream_checkout_versions, stream_quota)}
 
 ORACLE = {
     "stream_ingest_equals_batch": cte("event_rows") + """SELECT user_id, event_type, arg_max(value, event_id) FILTER (value >= 1) AS value, arg_max(outcome, event_id) AS outcome
         FROM event_rows GROUP BY user_id, event_type""",
+    "stream_checkout_versions": cte("query_vectors", "baskets") + """SELECT cart_id, query_id, point_id, round(score, 6) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rn FROM (
+        SELECT b.cart_id, q.query_id, e.vec_id AS point_id, round(list_cosine_similarity(q.vector::double[], e.embedding::double[]), 9) AS score
+        FROM baskets b JOIN query_vectors q USING (query_id) JOIN embeddings e ON b.cart_id % 2 = 1 OR e.vec_id % 2 = 0)) WHERE rn = 1 AND score > 0.6""",
     "stream_distinct": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_quota": "SELECT concat('N', c_nationkey) AS leaf, least(count(*), 20 + c_nationkey) AS n_accepted FROM customer GROUP BY c_nationkey",
 }

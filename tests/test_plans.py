@@ -118,6 +118,68 @@ def test_vector_index(spark, tmp_path):
         vector_index.publish(points(wrong), path, 1)
 
 
+def _points(spark, rows):
+    return spark.createDataFrame(rows, "point_id bigint, vector array<float>, sub string, place int").select(
+        "point_id", "vector", F.struct(F.col("sub").alias("sub_id")).alias("payload"), "place")
+
+
+def test_index_is_checked_before_it_is_written(spark, tmp_path):
+    path = str(tmp_path / "index")
+    vector_index.ensure_index(spark, path, "i", 1)
+    vector_index.publish(_points(spark, [(1, [1.0], "a", 0), (2, [2.0], "b", 0)]), path, 0)
+    for rows, problem in (([(2, [3.0], "other", 0)], "stands for"), ([(3, [3.0], "x", 0), (3, [3.0], "y", 1)], "stands for"),
+                          ([(4, [1.0], "d", 1), (4, [2.0], "d", 2)], "without an order")):
+        with pytest.raises(ValueError, match=problem):
+            vector_index.publish(_points(spark, rows), path, 1)
+    # What was refused left nothing behind, so the index goes on.
+    vector_index.publish(_points(spark, [(4, [1.0], "d", 1), (4, [2.0], "d", 2), (2, [9.0], "b", 0)]).repartition(3), path, 1, order=["place"])
+    vector_index.publish(_points(spark, []), path, 2)
+    assert {r.point_id: r.vector[0] for r in vector_index.read_points(spark, path).collect()} == {1: 1.0, 2: 9.0, 4: 2.0}
+    assert vector_index.newest_batch(spark, path) == 1
+
+
+def test_publishing_and_compaction_read_touched_buckets(spark, tmp_path):
+    path = str(tmp_path / "index")
+    vector_index.ensure_index(spark, path, "i", 1, buckets=64)
+    vector_index.publish(_points(spark, [(k, [float(k)], str(k), 0) for k in range(600)]), path, 0)
+    assert len(vector_index.compact(spark, path)) > 50 and not (tmp_path / "index/points/batch=0").exists()
+    later = _points(spark, [(k, [float(-k)], str(k), 0) for k in (5, 6, 1000)])
+    vector_index.publish(later, path, 1)
+    touched = {int(p.name.split("=")[1]) for p in (tmp_path / "index/points/batch=1").glob("bucket=*")}
+    assert len(touched) == 3
+    read = vector_index.rows(spark, path, sorted(touched))
+    seen = {r.f.rsplit("bucket=", 1)[1].split("/")[0] for r in read.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert seen == set(map(str, touched)) and "PartitionFilters: [bucket" in read._jdf.queryExecution().executedPlan().toString()
+    untouched = sorted(p for p in (tmp_path / "index/base/fold=0").glob("bucket=*") if int(p.name.split("=")[1]) not in touched)
+    assert vector_index.compact(spark, path) == sorted(touched) and vector_index.compact(spark, path) == []
+    vector_index.publish(later, path, 1)  # a replay, behind the compaction
+    assert sorted(p for p in (tmp_path / "index/base/fold=0").glob("bucket=*")) == untouched
+    found = {r.point_id: r.vector[0] for r in vector_index.read_points(spark, path).collect()}
+    assert found == {**{k: float(k) for k in range(600)}, 5: -5.0, 6: -6.0, 1000: -1000.0}
+
+
+def test_changes_need_an_order_of_their_own(spark, tmp_path):
+    changes = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3), (2, None, 1)], "k int, s string, at int")
+    for n, parts in enumerate((1, 3)):
+        tables.log_changes(changes.repartition(parts), str(tmp_path / f"ordered{n}"), 0, order=["at"])
+        assert {r.k: r.s for r in tables.current(spark, str(tmp_path / f"ordered{n}"), ["k"]).collect()} == {1: "c", 2: None}
+    tables.log_changes(changes, str(tmp_path / "plain"), 0)
+    with pytest.raises(ValueError, match="without an order"):
+        tables.current(spark, str(tmp_path / "plain"), ["k"])
+    assert tables.current(spark, str(tmp_path / "plain"), ["k"], version=["at"]).count() == 2
+
+
+def test_batches_keep_their_index_version(spark, tmp_path):
+    from shelfspark.streaming import checkout as stream
+
+    index, out = str(tmp_path / "i"), str(tmp_path / "o")
+    vector_index.ensure_index(spark, index, "i", 1)
+    for batch in range(2):
+        vector_index.publish(_points(spark, [(batch, [1.0], str(batch), 0)]), index, batch)
+        assert vector_index.publish_packed(spark, index) == batch
+        assert [stream._version(spark, index, out, k) for k in range(batch + 1)] == list(range(batch + 1))
+
+
 def test_collection_updates_waiting_documents(spark, tmp_path):
     write_documents(tmp_path / "d", a={"id": 1, "name": " A ", "price": "x"}, b={"id": 2, "name": "B"}, c={"id": 1, "name": "copy"})
     incoming = documents.read_products(spark, str(tmp_path / "d"))
@@ -208,7 +270,12 @@ def test_baskets_spread_over_batches(spark, tmp_path):
     payload = spark.createDataFrame([(0, "A", 2.0, "s", "p"), (1, "B", 3.0, "t", "p")], "point_id bigint, name string, price double, sku string, platform string")
     asked = spark.createDataFrame([(q, 1, [1.0, 0.1] if q < 2 else [0.1, 1.0]) for q in range(4)] + [(9, 2, [-1.0, -1.0])], "query_id bigint, cart_id bigint, vector array<float>")
     feed = file_stream(spark, asked, str(tmp_path / "f"), 3)
-    checkout_stream(feed, index, payload, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    with pytest.raises(Exception, match="no packed version"):
+        checkout_stream(feed, str(tmp_path / "i"), payload, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    vector_index.ensure_index(spark, str(tmp_path / "i"), "i", 2)
+    vector_index.publish(index.withColumn("payload", F.struct(F.col("point_id").cast("string").alias("sub_id"))), str(tmp_path / "i"), 0)
+    assert vector_index.publish_packed(spark, str(tmp_path / "i")) == vector_index.publish_packed(spark, str(tmp_path / "i")) == 0
+    checkout_stream(feed, str(tmp_path / "i"), payload, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
     carts = {r.cart_id: (r.n_items, r.total_price) for r in read_carts(spark, str(tmp_path / "o")).collect()}
     assert carts == {1: (4, 10.0), 2: (0, 0.0)}
     assert read_items(spark, str(tmp_path / "o")).count() == 4
