@@ -31,6 +31,16 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Put a written folder in the place of another of the same file system."""
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    system = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(target, True)
+    system.mkdirs(target.getParent())
+    if not system.rename(source, target):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def append_stage(df: DataFrame, root: str, stage: str, run_id: str) -> str:
     """Store the metadata of a stage without image bytes; a rerun of ``run_id`` replaces its own rows only."""
     df.drop("image_data", "data").write.mode("overwrite").parquet(f"{root}/{stage}/run_id={run_id}")

@@ -15,10 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.operators.neighbours import PackedIndex, load_packed, pack_index, store_packed
-from shelfspark.operators.ranking import top_per_group
 from shelfspark.operators.upsert import fold_rows
 from shelfspark.session import materialize
-from shelfspark.sinks.tables import children, delete, exists
+from shelfspark.sinks.tables import children, delete, exists, move
 
 #: Buckets of an index unless it is created with another number: a publish writes up to so many files, and rewrites or checks by bucket.
 BUCKETS = 16
@@ -51,31 +50,32 @@ def rows(spark: SparkSession, path: str, buckets: Sequence[int] | None = None) -
 
 
 def publish(points: DataFrame, path: str, batch: int, order: Sequence[str] = ()) -> None:
-    """Upsert points by id. A vector of another dimension or an id collision fails the job, and then nothing is written.
+    """Upsert points by id. A vector of another dimension or an id collision fails the job, and then nothing is published.
 
-    Of several points of one id in a batch the last by ``order`` stays; without an order they are refused. Publishing a batch again replaces it.
+    Of several points of one id in a batch the last by ``order`` stays; without an order they are refused. Points are written beside the
+    batches, checked against the rows stored in the buckets they touch, and moved to their place. Publishing a batch again replaces it.
     """
     spark = points.sparkSession
     meta = spark.read.schema(_META).parquet(f"{path}/meta").first()
-    dim = meta.dim
-    fits = F.assert_true(F.size("vector") == dim, F.lit(f"vector without {dim} dimensions"))
+    row, name = F.struct("vector", "payload"), F.col("payload.sub_id")
+    last = F.max_by(row, F.struct(*order)) if order else F.max_by(row, F.lit(0))
+    folded = points.groupBy("point_id").agg(last.alias("row"), F.min(name).alias("least"), F.max(name).alias("greatest"), F.count(F.lit(1)).alias("n"))
+    one_name = F.assert_true(F.col("least") == F.col("greatest"), F.concat(F.lit("a point id stands for "), "least", F.lit(" and "), "greatest"))
+    ordered = F.assert_true((F.col("n") == 1) | F.lit(bool(order)), F.concat("least", F.lit(" comes several times in a batch without an order")))
+    fits = F.assert_true(F.size("row.vector") == meta.dim, F.lit(f"vector without {meta.dim} dimensions"))
+    checked = folded.filter(one_name.isNull() & ordered.isNull() & fits.isNull())
     bucket = F.pmod(F.xxhash64("point_id"), F.lit(meta.buckets)).cast("int").alias("bucket")
-    checked = points.withColumn("_ok", fits).filter(F.col("_ok").isNull()).select("*", bucket).drop("_ok")
-    staged = materialize(checked.repartition("bucket"), "publish")
-    own = staged.select("point_id", "payload.sub_id", F.lit(1).alias("new"))
-    touched = [r.bucket for r in staged.select("bucket").distinct().collect()]  # as many numbers as there are buckets, at most
-    stored = rows(spark, path, touched)
+    staging = f"{path}/staging/batch={batch}"
+    checked.select("point_id", "row.*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staging)
+    touched = [_number(name) for name in children(spark, staging, "bucket=")]
+    stored = rows(spark, path, touched) if touched else None
     if stored is not None:
-        earlier = stored.filter(F.col("batch") != batch).join(own.select("point_id"), "point_id", "left_semi")
-        own = own.unionByName(earlier.select("point_id", "payload.sub_id", F.lit(0).alias("new")))
-    clash = own.groupBy("point_id").agg(F.min("sub_id").alias("first"), F.max("sub_id").alias("last"), F.sum("new").alias("n"))
-    wrong = clash.filter((F.col("first") != F.col("last")) | (F.col("n") > 1) & F.lit(not order)).first()
-    if wrong and wrong.first != wrong.last:
-        raise ValueError(f"point id {wrong.point_id} stands for {wrong.first} and {wrong.last}")
-    if wrong:
-        raise ValueError(f"{wrong.first} comes {wrong.n} times in a batch without an order")
-    last = top_per_group(staged, ["point_id"], [F.col(c).desc_nulls_last() for c in order]) if order else staged
-    last.select("point_id", "vector", "payload", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/points/batch={batch}")
+        own = spark.read.parquet(staging).select("point_id", F.col("payload.sub_id").alias("own"))
+        clash = (stored.filter(F.col("batch") != batch).join(own, "point_id").filter("payload.sub_id <> own")
+                 .select("point_id", "payload.sub_id", "own").first())
+        if clash:
+            raise ValueError(f"point id {clash.point_id} stands for {clash.sub_id} and {clash.own}")
+    move(spark, staging, f"{path}/points/batch={batch}")
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
