@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shelfspark.functions import ids, text
 from shelfspark.operators import clean, dedupe, integrate, matching, ranking, reports, upsert
@@ -10,7 +10,9 @@ from shelfspark.operators.images import decode_mask
 from shelfspark.plans.collection import collect
 from shelfspark.session import scratch_path
 from shelfspark.sinks import tables
+from shelfspark.sinks.files import write_files
 from shelfspark.sources import documents, images as image_sources, pages
+from shelfspark.sources.dimensions import ROOT_CATEGORIES, root_categories
 from shelfspark.suite.adapters import cte, image_files, pages_ld, table, view
 
 NUMBER = "try_cast(price AS double)"
@@ -113,13 +115,36 @@ def join_paths(spark, sf):
 
 
 def bytes_by_path(spark, sf):
-    """Content read from a stored table and joined by path; the content is the product's own text."""
-    products = view(spark, sf, "products")
-    content = products.select(F.concat(F.lit("s3://"), "image_path").alias("path"), F.encode(F.coalesce("name", "title", "platform"), "UTF-8").alias("content")).filter("path IS NOT NULL")
-    joined = image_sources.with_image_bytes(products, content)
+    """Files stored under the image paths of all products, some of them wanted by two products; the content is the product's own text."""
+    products, folder = view(spark, sf, "products"), scratch_path(spark, "images")
+    write_files(products.withColumn("content", F.coalesce("name", "title", "platform")), folder, "image_path", "content")
+    asked = products.withColumn("image_path", F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("products-images/"), (F.col("p_partkey") - 1).cast("string"), F.lit(".jpg")))
+                                .otherwise(F.concat(F.lit("s3://"), "image_path")))
+    joined = image_sources.with_stored_bytes(asked, image_sources.manifest(spark, folder))
     return joined.select("product_id", F.octet_length("image_data").cast("bigint").alias("n_bytes"), F.md5("image_data").alias("digest"))
 
 
+def content_scan(spark, sf):
+    """Contents of all files of a folder by path, joined to the products."""
+    products, folder = view(spark, sf, "products"), scratch_path(spark, "images")
+    write_files(products.withColumn("content", F.coalesce("name", "title", "platform")), folder, "image_path", "content")
+    joined = image_sources.with_image_bytes(products, image_sources.read_content(spark, folder, "*.jpg"))
+    return joined.select("product_id", F.octet_length("image_data").cast("bigint").alias("n_bytes"), F.md5("image_data").alias("digest"))
+
+
+def cleaned_rows(spark, sf):
+    """Rows with bytes, and their metadata cleaned under another name of the path column."""
+    products = view(spark, sf, "products").withColumns({"data": F.when(F.col("p_partkey") % 4 != 0, F.encode("platform", "UTF-8")), "photo": F.col("image_path")})
+    return clean.clean_stage(clean.with_bytes(products.drop("image_path"), "data"), "photo").select("product_id", "image_path", "photo")
+
+
+def rooted_orders(spark, sf):
+    """Orders of each root category, by the order's priority and a number of its key."""
+    roots = root_categories(spark).withColumn("place", F.row_number().over(Window.orderBy("root")) - 1)
+    orders = table(spark, sf, "orders").withColumn("place", F.col("o_orderkey") % 15)
+    return orders.join(roots, "place").groupBy("root", "root_name").agg(F.count(F.lit(1)).alias("n_orders"))
+
+
 def byte_fallback(spark, sf):
     """Bytes in the row for some, at the transformed path for others, at the image path for the rest."""
     products = view(spark, sf, "products").withColumns({
@@ -298,35 +323,56 @@ def page_structured_data(spark, sf):
                         F.try_variant_get("ld_json", "$.name", "string").alias("single_name"))
 
 
-def _write_documents(spark, sf, path):
-    """The products as JSON documents, one per file name, some of them broken."""
+def _documents(spark, sf):
+    """The products as JSON documents with their file names, some of them broken."""
     products = view(spark, sf, "products").withColumn("id", F.col("p_partkey").cast("string"))
     good = F.to_json(F.struct("id", "sku", "name", "title", "price", "platform"))
     return products.select("source_file", F.when(F.col("p_partkey") % 31 == 0, F.lit('{"id": ')).when(F.col("p_partkey") % 37 == 0, F.lit("[1]")).otherwise(good).alias("value"))
 
 
 def document_scan(spark, sf):
-    parsed = documents.parse_documents(_write_documents(spark, sf, ""))
+    parsed = documents.parse_documents(_documents(spark, sf))
     return parsed.filter("body IS NOT NULL").select("source_file", "id", "sku", "name", "title", "price", "platform")
 
 
 def _document_files(spark, sf):
-    """A folder with a JSON file for every supplier, some broken; the file name is the supplier's key."""
+    """A folder with a file for every supplier, named for its key: documents, broken ones, and texts that are none."""
     path = scratch_path(spark, "files")
-    rows = table(spark, sf, "supplier").withColumn("name_of_file", F.concat("s_suppkey", F.lit(".json")))
+    suppliers = table(spark, sf, "supplier")
     good = F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.round("s_acctbal", 2).cast("string").alias("price"),
                               F.concat(F.lit("root/N"), "s_nationkey").alias("primary_category_path")))
-    text_ = F.when(F.col("s_suppkey") % 7 == 3, F.lit("{broken")).otherwise(good)
-    # Spark names its files itself: each is written into a folder named for its supplier.
-    rows.select("name_of_file", text_.alias("value")).write.partitionBy("name_of_file").text(path)
+    ending = F.when(F.col("s_suppkey") % 11 == 5, F.lit(".txt")).otherwise(F.lit(".json"))
+    files = suppliers.select(F.concat(F.col("s_suppkey").cast("string"), ending).alias("name"), F.when(F.col("s_suppkey") % 7 == 3, F.lit("{broken")).otherwise(good).alias("value"))
+    write_files(files, path, "name", "value")
     return path
 
 
 def document_files(spark, sf):
-    """Files of a folder read as documents; the folder's name stands for the file's."""
-    read = spark.read.option("wholetext", True).text(_document_files(spark, sf))
-    parsed = documents.parse_documents(read.select("value", F.col("name_of_file").alias("source_file"))).filter("body IS NOT NULL")
-    return parsed.select("source_file", "id", "name", "price")
+    """Files of a folder read as documents."""
+    return documents.read_products(spark, _document_files(spark, sf)).select("source_file", "id", "name", "price")
+
+
+def broken_files(spark, sf):
+    """Files whose content is no document."""
+    return documents.unreadable_products(spark, _document_files(spark, sf))
+
+
+def historic_files(spark, sf):
+    """Old products and their category, from files; the id is the file's name."""
+    return documents.read_historic(spark, _document_files(spark, sf))
+
+
+def file_listing(spark, sf):
+    """Names and lengths of a folder's documents."""
+    return documents.list_files(spark, _document_files(spark, sf), "*.json").select("file_name", "length")
+
+
+def found_files(spark, sf):
+    """One file by its name, and one document by a condition."""
+    path = _document_files(spark, sf)
+    named = documents.find_file(documents.list_files(spark, path), "8.json").select(F.lit("name").alias("asked"), "file_name")
+    held = documents.find_one(documents.read_products(spark, path), F.col("id") == "9").select(F.lit("id").alias("asked"), F.col("source_file").alias("file_name"))
+    return named.unionByName(held)
 
 
 def trial_rows(spark, sf):
@@ -334,12 +380,13 @@ def trial_rows(spark, sf):
 
 
 def spread_collection(spark, sf):
-    """A stored collection read back spread over a given number of partitions."""
+    """A stored collection read back over sixteen partitions, of which each has rows, and none many more than the others."""
     path = scratch_path(spark, "collection")
     table(spark, sf, "customer").write.parquet(path)
-    spread = documents.read_collection(spark, path, exclude=("c_acctbal",), partitions=16)
-    used = spread.withColumn("p", F.spark_partition_id()).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", (F.col("p") < 16).alias("spread"))
-    return used
+    spread = documents.read_collection(spark, path, exclude=("c_acctbal",), partitions=16).withColumn("p", F.spark_partition_id())
+    held = spread.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
+    total = held.agg(F.count(F.lit(1)).alias("partitions"), F.sum("n").alias("n_rows"), F.sum("keys").alias("keys"), F.max("n").alias("most"))
+    return total.select("partitions", "n_rows", "keys", (F.col("most") * 8 <= F.col("n_rows")).alias("spread"))
 
 
 def counted_rows(spark, sf):
@@ -375,7 +422,7 @@ def listing_ids(spark, sf):
 
 def collect_products(spark, sf):
     """Documents taken into a collection that holds some of them already."""
-    parsed = documents.parse_documents(_write_documents(spark, sf, "")).filter("body IS NOT NULL")
+    parsed = documents.parse_documents(_documents(spark, sf)).filter("body IS NOT NULL")
     stored = view(spark, sf, "checkpoint").filter("source_file IS NOT NULL").withColumn("stored", F.lit(True))
     return collect(parsed, stored, image_files(spark, sf)).select("source_file", "image_path", "stored", "id", "name", "price")
 
@@ -384,7 +431,7 @@ QUERIES = {f.__name__: f for f in (
     clean_required_fields, missing_identity, kept_columns, canonical_products, strip_and_price_default, strip_and_price_drop,
     dedupe_identifier, distinct_identifiers, path_normalize, full_image_path, image_match_extension, ingest_status,
     ingest_report, checkpoint_scan, stage_paths, crop_paths, join_paths, bytes_by_path, byte_fallback, upsert_latest,
-    anti_new_rows, semi_reusable, copy_from_old, document_files, trial_rows, spread_collection, counted_rows, run_times, decoded_masks, insert_absent, insert_absent_order, change_log_ties, change_log_rows, resume_state, stage_append, enrich_merge, enrich_repeats, ingest_status_repeats, enrich_open_fields, product_uuid,
+    anti_new_rows, semi_reusable, copy_from_old, document_files, broken_files, historic_files, file_listing, found_files, content_scan, cleaned_rows, rooted_orders, trial_rows, spread_collection, counted_rows, run_times, decoded_masks, insert_absent, insert_absent_order, change_log_ties, change_log_rows, resume_state, stage_append, enrich_merge, enrich_repeats, ingest_status_repeats, enrich_open_fields, product_uuid,
     product_fingerprint, storage_refs, thumbnails, stage_states, run_report, batch_numbers, batch_sizes_64,
     page_structured_data, document_scan, collection_scan, listing_ids, collect_products)}
 
@@ -456,9 +503,8 @@ ORACLE = {
     "join_paths": cte("identifiers") + """, docs AS (SELECT doc_id, nullif(id, '') AS product_id FROM identifiers),
         stored AS (SELECT product_id, min('s3://products/clean/' || doc_id) AS clean_path FROM docs WHERE product_id IS NOT NULL GROUP BY product_id)
         SELECT doc_id, d.product_id, clean_path FROM docs d LEFT JOIN stored s ON s.product_id = d.product_id""",
-    "bytes_by_path": cte("products") + """SELECT product_id,
-        CASE WHEN image_path IS NOT NULL THEN strlen(coalesce(name, title, platform)) END::bigint AS n_bytes,
-        CASE WHEN image_path IS NOT NULL THEN md5(coalesce(name, title, platform)) END AS digest FROM products""",
+    "bytes_by_path": cte("products") + """SELECT p.product_id, strlen(coalesce(q.name, q.title, q.platform))::bigint AS n_bytes, md5(coalesce(q.name, q.title, q.platform)) AS digest
+        FROM products p LEFT JOIN products q ON q.image_path IS NOT NULL AND q.p_partkey = CASE WHEN p.p_partkey % 5 = 0 THEN p.p_partkey - 1 ELSE p.p_partkey END""",
     "byte_fallback": cte("products") + """SELECT product_id, CASE WHEN p_partkey % 4 = 0 THEN platform WHEN p_partkey % 3 = 0 THEN product_id ELSE source_file END AS content
         FROM products WHERE p_partkey % 4 = 0 OR p_partkey % 3 = 0 OR image_path IS NOT NULL""",
     "upsert_latest": f"""WITH {_ORDERS} SELECT coalesce(b.o_orderkey, n.o_orderkey) AS o_orderkey, coalesce(n.o_orderstatus, b.o_orderstatus) AS o_orderstatus,
@@ -470,9 +516,22 @@ ORACLE = {
         WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW')
           AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""",
     "document_files": """SELECT s_suppkey || '.json' AS source_file, s_suppkey::varchar AS id, s_name AS name, round(s_acctbal, 2)::varchar AS price
-        FROM supplier WHERE s_suppkey % 7 <> 3""",
+        FROM supplier WHERE s_suppkey % 7 <> 3 AND s_suppkey % 11 <> 5""",
     "trial_rows": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1000",
-    "spread_collection": "SELECT c_custkey, c_name, c_nationkey, c_mktsegment, true AS spread FROM customer",
+    "spread_collection": "SELECT 16 AS partitions, count(*) AS n_rows, sum(c_custkey)::bigint AS keys, true AS spread FROM customer",
+    "broken_files": "SELECT s_suppkey || '.json' AS source_file FROM supplier WHERE s_suppkey % 7 = 3 AND s_suppkey % 11 <> 5",
+    "historic_files": "SELECT s_suppkey::varchar AS product_id, 'root/N' || s_nationkey AS primary_category_path FROM supplier WHERE s_suppkey % 7 <> 3 AND s_suppkey % 11 <> 5",
+    "file_listing": """SELECT s_suppkey || '.json' AS file_name, strlen(CASE WHEN s_suppkey % 7 = 3 THEN '{broken' ELSE '{"id":' || s_suppkey || ',"name":"' || s_name ||
+        '","price":"' || round(s_acctbal, 2)::varchar || '","primary_category_path":"root/N' || s_nationkey || '"}' END)::bigint AS length
+        FROM supplier WHERE s_suppkey % 11 <> 5""",
+    "found_files": """SELECT 'name' AS asked, s_suppkey || '.json' AS file_name FROM supplier WHERE s_suppkey = 8
+        UNION ALL SELECT 'id', s_suppkey || '.json' FROM supplier WHERE s_suppkey = 9""",
+    "content_scan": cte("products") + """SELECT product_id, CASE WHEN image_path IS NOT NULL THEN strlen(coalesce(name, title, platform)) END::bigint AS n_bytes,
+        CASE WHEN image_path IS NOT NULL THEN md5(coalesce(name, title, platform)) END AS digest FROM products""",
+    "cleaned_rows": cte("products") + """SELECT product_id, image_path, image_path AS photo FROM products WHERE p_partkey % 4 <> 0 AND image_path IS NOT NULL AND sku IS NOT NULL
+        AND price IS NOT NULL AND (title IS NOT NULL OR name IS NOT NULL)""",
+    "rooted_orders": f"""SELECT root, root_name, count(*) AS n_orders FROM orders JOIN (SELECT root, root_name, row_number() OVER (ORDER BY root) - 1 AS place
+        FROM (VALUES {", ".join(map(str, ROOT_CATEGORIES))}) t(root, root_name)) ON place = o_orderkey % 15 GROUP BY root, root_name""",
     "counted_rows": "SELECT count(*) AS n_stored, count(*) AS n_counted FROM lineitem WHERE l_quantity > 25",
     "run_times": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso, strftime(ts, '%Y-%m-%d') AS day FROM events",
     "decoded_masks": "SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN hex(encode(p_name)) END AS mask FROM part",

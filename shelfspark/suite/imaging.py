@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.operators import images as I, inference
+from shelfspark.plans.indexing import build_index
+from shelfspark.session import scratch_path
+from shelfspark.sinks.vector_index import read_points
 from shelfspark.suite.adapters import cte, pixel_text, rasters, table, view
 
 
@@ -102,9 +105,17 @@ def labelled_objects(spark, sf):
     return found.select("sub_id", "sku_label", F.col("confidence").cast("double").alias("confidence"), F.octet_length("crop_data").cast("bigint").alias("n_bytes"))
 
 
+def index_job(spark, sf):
+    """From all rasters and their products to published points: the vectors of the best objects, as they are read back."""
+    out = scratch_path(spark, "index-job")
+    build_index(_with_products(spark, sf), _bright_regions, _means, out, "objects", "r1", 0)
+    points = read_points(spark, f"{out}/index/objects")
+    return points.select("payload.sub_id", "payload.sku", "payload.name", *[F.round(F.col("vector")[k].cast("double"), 6).alias(f"v{k}") for k in range(4)])
+
+
 QUERIES = {f.__name__: f for f in (
     image_quality, image_quality_report, image_sharpen, image_median, image_clean_states, fit_sizes, normalize_image,
-    whiten_background, crop_objects, model_detections, object_records, labelled_objects)}
+    whiten_background, crop_objects, model_detections, object_records, labelled_objects, index_job)}
 
 
 def _at(dy: int, dx: int, border: str) -> str:
@@ -151,6 +162,12 @@ ORACLE = {
     "object_records": cte("rasters", "pixels", "image_products") + f""", {_BRIGHT} SELECT product_id || '_obj0' AS sub_id, coalesce(sku, product_id) AS sku, coalesce(nullif(name, ''), title) AS name,
         's3://products/processing/objects/' || coalesce(sku, product_id) || '/' || product_id || '_obj0.jpg' AS object_path, false AS mask_applied, 4::bigint AS embedding_dim, 0.75::double AS confidence
         FROM bright JOIN image_products ON image_id = vec_id::varchar""",
+    "index_job": cte("rasters", "pixels", "image_products") + f""", {_BRIGHT}, quarters AS (SELECT vec_id, {", ".join(
+        f"coalesce(round(avg(v) FILTER (y {a} y1 + (y2 - y1) // 2 AND x {b} x1 + (x2 - x1) // 2)::float::double, 6), 'nan'::double) AS v{k}"
+        for k, (a, b) in enumerate((("<", "<"), ("<", ">="), (">=", "<"), (">=", ">="))))}
+        FROM pixels JOIN bright USING (vec_id) WHERE x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY vec_id)
+        SELECT product_id || '_obj0' AS sub_id, coalesce(sku, product_id) AS sku, coalesce(nullif(name, ''), title) AS name, v0, v1, v2, v3
+        FROM quarters JOIN image_products ON image_id = vec_id::varchar""",
     "labelled_objects": cte("rasters", "pixels", "image_products") + f""", {_BRIGHT} SELECT product_id || '_obj' || i AS sub_id, coalesce(sku, product_id) AS sku_label,
         CASE i WHEN 0 THEN 0.5 ELSE 0.75 END::double AS confidence, CASE i WHEN 0 THEN 64 ELSE (x2 - x1) * (y2 - y1) END::bigint AS n_bytes
         FROM bright JOIN image_products ON image_id = vec_id::varchar, range(2) t(i)""",

@@ -118,6 +118,25 @@ def test_vector_index(spark, tmp_path):
         vector_index.publish(points(wrong), path, 1)
 
 
+def test_bytes_come_last(spark, tmp_path):
+    """Files nobody wants are listed, never opened; a file that several rows want is read for each."""
+    from shelfspark.sinks.files import write_files
+    from shelfspark.sources import images as sources
+
+    folder = str(tmp_path / "images")
+    rows = spark.createDataFrame([(f"a/{k}.jpg", b"x" * k) for k in range(40)] + [(None, b"y"), ("none.jpg", None)], "path string, content binary")
+    assert write_files(rows, folder, "path", "content") == write_files(rows, folder, "path", "content") == 40
+    files = sources.manifest(spark, folder)
+    assert "ReadSchema: struct<path:string,length:bigint>" in files._jdf.queryExecution().executedPlan().toString() and files.count() == 39  # not the empty one
+    for k in range(5, 40):
+        (tmp_path / f"images/a/{k}.jpg").unlink()
+    products = spark.createDataFrame([(k, f"s3://a/{k % 5}.jpg") for k in range(12)] + [(90, "a/missing.jpg"), (91, None)], "id int, image_path string")
+    for task_bytes in (1, 1 << 20):
+        found = sources.with_stored_bytes(products, files, task_bytes=task_bytes)
+        assert found.columns == ["id", "image_path", "image_data"]
+        assert {r.id: r.image_data and bytes(r.image_data) for r in found.collect()} == {**{k: b"x" * (k % 5) or None for k in range(12)}, 90: None, 91: None}
+
+
 def _points(spark, rows):
     return spark.createDataFrame(rows, "point_id bigint, vector array<float>, sub string, place int").select(
         "point_id", "vector", F.struct(F.col("sub").alias("sub_id")).alias("payload"), "place")
