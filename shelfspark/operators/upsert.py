@@ -28,10 +28,14 @@ def fold_rows(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> Dat
     return df.groupBy(*keys).agg(newest).select(*keys, "_row.*")
 
 
+def ordered_columns(df: DataFrame, but: Sequence[str]) -> list[str]:
+    """Columns that have an order, without those of ``but``."""
+    return [name for name, kind in df.dtypes if name not in but and not any(t in kind for t in ("map<", "variant"))]
+
+
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """One row per key: the first by ``order``, or by all columns that have an order."""
-    plain = [name for name, kind in df.dtypes if name not in keys and not any(t in kind for t in ("map<", "variant"))]
-    by = list(order) or plain or list(keys)
+    by = list(order) or ordered_columns(df, keys) or list(keys)
     return top_per_group(df, list(keys), [F.col(c).asc_nulls_last() for c in by])
 
 

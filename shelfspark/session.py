@@ -16,7 +16,8 @@ def build_session(
     """A session with the settings the operators were tuned for; ``conf`` adds to or overrides them.
 
     AQE must stay on: it coalesces small shuffles, splits skewed join partitions and
-    turns a join into a broadcast only when the measured size of a side allows it.
+    turns a join into a broadcast only when the measured size of a side allows it. Sessions of a stream are merged before
+    their shuffle, so a hot key reaches it as a row per task.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -25,6 +26,7 @@ def build_session(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **(conf or {}),

@@ -8,7 +8,7 @@ from shelfspark.session import scratch_path
 from shelfspark.sinks.tables import current
 from shelfspark.sinks.vector_index import ensure_index, publish, publish_packed
 from shelfspark.streaming.checkout import checkout_stream, read_carts, read_items
-from shelfspark.streaming.ingest import distinct_stream, ingest
+from shelfspark.streaming.ingest import distinct_stream, ingest, read_report
 from shelfspark.streaming.quota import quota_stream
 from shelfspark.suite.adapters import baskets, cte, index_vectors, table, view
 
@@ -35,16 +35,44 @@ def stream_ingest_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
     return current(spark, f"{out}/log", ["user_id", "event_type"], version=["event_id"])
 
 
+def _arrivals(rows: DataFrame, batches: int, label: str, run) -> None:
+    """Rows appended to a feed by their column ``arrival``, which is dropped; ``run`` gets the feed after each and so starts anew on the same checkpoint."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, label)
+    for arrival in range(batches):
+        rows.filter(F.col("arrival") == arrival).drop("arrival").write.mode("append").parquet(path)
+        _drain(run(spark.readStream.schema(rows.drop("arrival").schema).parquet(path)))
+
+
+def stream_ingest_report(spark, sf):
+    """Events in three runs, of which those of some value are taken; what each batch scanned, took and skipped."""
+    rows = table(spark, sf, "events").select("event_id", "user_id", "value", (F.col("event_id") % 3).alias("arrival"))
+    out = scratch_path(spark, "reported")
+    _arrivals(rows, 3, "events", lambda feed: ingest(
+        feed, f"{out}/log", f"{out}/checkpoint", lambda batch: batch.filter("value >= 25"), f"{out}/report"))
+    return read_report(spark, f"{out}/report")
+
+
+#: Share of the events that arrive half a day late, in time to count.
+_LATE = "CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 12 HOURS ELSE ts END"
+
+
 def stream_distinct(spark, sf):
-    """First event per user and value, state bounded by a watermark longer than the table's time span."""
-    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    feed = _as_stream(rows, 4, "distinct", "ts")
+    """First event of each user and type by its time, a day being the delay. Some arrive after younger ones; in the last run copies that lie an hour
+    before events of the first days come too late. Groups still open at the end are not sent yet."""
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = events.withColumn("arrival", F.expr(f"CASE WHEN {_LATE} < '2024-01-11' THEN 0 WHEN {_LATE} < '2024-01-21' THEN 1 ELSE 2 END"))
+    late = events.filter("ts < '2024-01-05'").select(
+        (-F.col("event_id")).alias("event_id"), F.expr("ts - INTERVAL 1 HOUR").alias("ts"), "user_id", "event_type", "value", "props", F.lit(2).alias("arrival"))
     out = scratch_path(spark, "distinct-out")
-    deduped = distinct_stream(feed, ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type")
-    query = (deduped.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")
-             .trigger(availableNow=True).start())
-    _drain(query)
-    return spark.read.parquet(f"{out}/rows")
+
+    def run(feed):
+        first = distinct_stream(feed, ["user_id", "event_type"], "ts", "1 day")
+        return (first.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")
+                .trigger(availableNow=True).start())
+
+    _arrivals(rows.unionByName(late), 3, "distinct", run)
+    return spark.read.parquet(f"{out}/rows").withColumn("ts", F.unix_micros("ts"))
 
 
 def _published(spark, sf, path: str, batch: int, condition: str = "true") -> None:
@@ -78,17 +106,17 @@ def stream_checkout_versions(spark, sf):
 
 
 def stream_quota(spark, sf):
-    """Customers arriving in key order fill their nation's quota; each comes twice at once, and some once more later."""
-    rows = table(spark, sf, "customer").selectExpr("concat('N', c_nationkey) AS leaf", "c_custkey AS product_id", "c_custkey AS arrival")
-    later = rows.filter("product_id % 3 = 0").withColumn("arrival", F.col("arrival") + 400)
-    feed = _as_stream(rows.unionByName(rows).unionByName(later), 8, "arrivals", "arrival")
+    """Customers arriving in three runs fill their nation's quota; each comes twice at once, and some once more later."""
+    rows = table(spark, sf, "customer").selectExpr("concat('N', c_nationkey) AS leaf", "c_custkey AS product_id", "cast(c_custkey % 5 AS int) DIV 2 AS arrival")
+    later = rows.filter("arrival < 2 AND product_id % 3 = 0").withColumn("arrival", F.col("arrival") + 1)
     targets = table(spark, sf, "nation").selectExpr("concat('N', n_nationkey) AS leaf", "cast(20 + n_nationkey AS bigint) AS target")
     out = scratch_path(spark, "quota")
-    _drain(quota_stream(feed, targets, f"{out}/accepted", f"{out}/checkpoint"))
-    return spark.read.parquet(f"{out}/accepted").groupBy("leaf").agg(F.count(F.lit(1)).alias("n_accepted"))
+    _arrivals(rows.unionByName(rows).unionByName(later), 3, "arrivals",
+              lambda feed: quota_stream(feed, targets, f"{out}/accepted", f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/accepted").groupBy("leaf").agg(F.count(F.lit(1)).alias("n_accepted"), F.count_distinct("product_id").alias("n_products"))
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest_equals_batch, stream_distinct, stream_checkout, stream_checkout_versions, stream_quota)}
+QUERIES = {f.__name__: f for f in (stream_ingest_equals_batch, stream_ingest_report, stream_distinct, stream_checkout, stream_checkout_versions, stream_quota)}
 
 ORACLE = {
     "stream_ingest_equals_batch": cte("event_rows") + """SELECT user_id, event_type, arg_max(value, event_id) FILTER (value >= 1) AS value, arg_max(outcome, event_id) AS outcome
@@ -97,6 +125,13 @@ ORACLE = {
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rn FROM (
         SELECT b.cart_id, q.query_id, e.vec_id AS point_id, round(list_cosine_similarity(q.vector::double[], e.embedding::double[]), 9) AS score
         FROM baskets b JOIN query_vectors q USING (query_id) JOIN embeddings e ON b.cart_id % 2 = 1 OR e.vec_id % 2 = 0)) WHERE rn = 1 AND score > 0.6""",
-    "stream_distinct": "SELECT DISTINCT user_id, event_type FROM events",
-    "stream_quota": "SELECT concat('N', c_nationkey) AS leaf, least(count(*), 20 + c_nationkey) AS n_accepted FROM customer GROUP BY c_nationkey",
+    "stream_ingest_report": """SELECT event_id % 3 AS batch, count(*) AS scanned, count(*) FILTER (value >= 25) AS collected,
+        count(*) - count(*) FILTER (value >= 25) AS skipped FROM events GROUP BY event_id % 3""",
+    "stream_distinct": """WITH marked AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 1 DAY, true) AS starts FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
+        grouped AS (SELECT *, sum(starts::int) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM marked),
+        closed AS (SELECT user_id, event_type, g, min(ts) AS ts FROM grouped GROUP BY ALL
+            HAVING max(ts) + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 DAY)
+        SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, value, props FROM grouped JOIN closed USING (user_id, event_type, g, ts)""",
+    "stream_quota": """SELECT concat('N', c_nationkey) AS leaf, least(count(*), 20 + c_nationkey) AS n_accepted, least(count(*), 20 + c_nationkey) AS n_products
+        FROM customer GROUP BY c_nationkey""",
 }

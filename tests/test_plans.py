@@ -11,7 +11,7 @@ from shelfspark.plans import checkout, collection, indexing, preprocessing
 from shelfspark.sinks import tables, vector_index
 from shelfspark.sources import dimensions, documents
 from shelfspark.streaming.checkout import checkout_stream, read_carts, read_items
-from shelfspark.streaming.ingest import distinct_stream, ingest
+from shelfspark.streaming.ingest import distinct_stream, ingest, read_report
 from shelfspark.streaming.quota import quota_stream
 from tests.test_images import table
 
@@ -307,3 +307,51 @@ def test_quota_over_batches(spark, tmp_path):
     targets = spark.createDataFrame([("hot", 25), ("cold", 100)], "leaf string, target int")
     quota_stream(file_stream(spark, rows, str(tmp_path / "f"), 4), targets, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
     assert {r.leaf: r["count"] for r in spark.read.parquet(str(tmp_path / "o")).groupBy("leaf").count().collect()} == {"hot": 25, "cold": 20}
+
+
+def test_quotas_read_counts_not_rows(spark, tmp_path):
+    """The third batch gives what it must although the rows of the first are gone; a product seen before and rows without a leaf do not count."""
+    targets = spark.createDataFrame([("hot", 25), ("none", 0)], "leaf string, target int")
+    feed, out, checkpoint = (str(tmp_path / name) for name in ("f", "o", "c"))
+    accepted = []
+    for batch in range(3):
+        rows = [(i, "hot") for i in range(10 * batch, 10 * batch + 10)] + [(0, "hot"), (batch, None), (batch, "none"), (batch, "unlisted")]
+        spark.createDataFrame(rows, "product_id int, leaf string").write.mode("append").parquet(feed)
+        quota_stream(spark.readStream.schema("product_id int, leaf string").parquet(feed), targets, out, checkpoint).awaitTermination()
+        taken = spark.read.parquet(f"{out}/batch={batch}").collect()
+        accepted.append(sorted(r.product_id for r in taken if r.leaf == "hot"))
+        assert {r.leaf for r in taken} == {"hot", "unlisted"}
+        if batch == 1:
+            tables.delete(spark, f"{out}/batch=0")
+            assert tables.children(spark, f"{checkpoint}-held") == ["batch=0", "batch=1"]
+    assert accepted == [list(range(10)), list(range(10, 20)), list(range(20, 25))]
+    assert tables.children(spark, f"{checkpoint}-held") == ["batch=1", "batch=2"]
+    held = spark.read.parquet(f"{checkpoint}-held/batch=2").collect()
+    assert {r.leaf: r.held for r in held} == {"hot": 25, "unlisted": 3}
+
+
+def test_first_rows_by_event_time(spark, tmp_path):
+    """The first row is that of the least time though it came second; what was sent is forgotten; late rows and rows without a time are left out."""
+    feed, out, checkpoint = (str(tmp_path / name) for name in ("f", "o", "c"))
+    schema = "k string, at timestamp, v int"
+    held = []
+    for rows in ([("a", "2024-01-01 10:30:00", 1), (None, "2024-01-01 10:00:00", 2), ("a", None, 3)],
+                 [("a", "2024-01-01 10:00:00", 4), ("a", "2024-01-01 10:00:00", 5), ("b", "2024-01-01 20:00:00", 6)],
+                 [("a", "2024-01-01 09:45:00", 7), ("a", "2024-01-01 23:00:00", 8), ("z", "2024-01-03 00:00:00", 9)]):
+        spark.createDataFrame(rows, "k string, at string, v int").withColumn("at", F.col("at").cast("timestamp")).write.mode("append").parquet(feed)
+        stream = distinct_stream(spark.readStream.schema(schema).parquet(feed), ["k"], "at")
+        assert stream.columns == ["k", "at", "v"]
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        held.append(query.lastProgress.stateOperators[0].numRowsTotal)
+    found = sorted((r.k or "", f"{r['at']:%H:%M}", r.v) for r in spark.read.parquet(out).collect())
+    assert found == [("", "10:00", 2), ("a", "10:00", 4), ("a", "23:00", 8), ("b", "20:00", 6)]
+    assert held[-1] == 1  # the youngest group only
+
+
+def test_reports_of_batches(spark, tmp_path):
+    feed, log, checkpoint, report = (str(tmp_path / name) for name in ("f", "l", "c", "r"))
+    for n in (4, 6):
+        spark.range(n).write.mode("append").parquet(feed)
+        ingest(spark.readStream.schema("id bigint").parquet(feed), log, checkpoint, lambda batch: batch.filter("id > 2"), report).awaitTermination()
+    assert sorted(tuple(r) for r in read_report(spark, report).select("batch", "scanned", "collected", "skipped").collect()) == [(0, 4, 1, 3), (1, 6, 3, 3)]
