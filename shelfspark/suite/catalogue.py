@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from shelfspark.functions import ids, text
 from shelfspark.operators import clean, dedupe, integrate, matching, ranking, reports, upsert
 from shelfspark.operators.images import decode_mask
-from shelfspark.plans.collection import collect
+from shelfspark.plans.collection import collect, folder_documents as taken_documents, folder_report as taken_report, ingest_folder
 from shelfspark.session import scratch_path
 from shelfspark.sinks import tables
 from shelfspark.sinks.files import write_files
@@ -375,6 +375,30 @@ def found_files(spark, sf):
     return named.unionByName(held)
 
 
+def _ingested_folder(spark, sf):
+    """Two runs over a folder: files of some customers, then those of the others and some of the first rewritten; the second run is repeated."""
+    folder, out = scratch_path(spark, "landed"), scratch_path(spark, "taken")
+    customers = table(spark, sf, "customer").withColumn("key", F.col("c_custkey"))
+    for run, condition, label in ((0, "key % 3 < 2", "first"), (1, "key % 3 = 2 OR key % 5 = 0", "a second")):
+        good = F.to_json(F.struct(F.col("key").cast("string").alias("id"), F.concat(F.lit(f"{label} "), "c_name").alias("name"), F.col("c_mktsegment").alias("platform")))
+        files = customers.filter(condition).select(
+            F.concat("key", F.lit(".json")).alias("name"), F.when(F.col("key") % 7 == 3, F.lit(f"{label} broken")).otherwise(good).alias("value"))
+        write_files(files, folder, "name", "value")
+        for _ in range(run + 1):
+            ingest_folder(spark, folder, out, run)
+    return out
+
+
+def folder_documents(spark, sf):
+    """Newest document of each file of a folder that was read in two runs, and the run that read it."""
+    return taken_documents(spark, _ingested_folder(spark, sf)).select("source_file", "id", "name", "platform")
+
+
+def folder_report(spark, sf):
+    """What each of two runs over a folder listed, stored, knew already and could not read."""
+    return taken_report(spark, _ingested_folder(spark, sf))
+
+
 def trial_rows(spark, sf):
     return documents.first_rows(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 1000)
 
@@ -431,7 +455,7 @@ QUERIES = {f.__name__: f for f in (
     clean_required_fields, missing_identity, kept_columns, canonical_products, strip_and_price_default, strip_and_price_drop,
     dedupe_identifier, distinct_identifiers, path_normalize, full_image_path, image_match_extension, ingest_status,
     ingest_report, checkpoint_scan, stage_paths, crop_paths, join_paths, bytes_by_path, byte_fallback, upsert_latest,
-    anti_new_rows, semi_reusable, copy_from_old, document_files, broken_files, historic_files, file_listing, found_files, content_scan, cleaned_rows, rooted_orders, trial_rows, spread_collection, counted_rows, run_times, decoded_masks, insert_absent, insert_absent_order, change_log_ties, change_log_rows, resume_state, stage_append, enrich_merge, enrich_repeats, ingest_status_repeats, enrich_open_fields, product_uuid,
+    anti_new_rows, semi_reusable, copy_from_old, document_files, broken_files, historic_files, file_listing, found_files, folder_documents, folder_report, content_scan, cleaned_rows, rooted_orders, trial_rows, spread_collection, counted_rows, run_times, decoded_masks, insert_absent, insert_absent_order, change_log_ties, change_log_rows, resume_state, stage_append, enrich_merge, enrich_repeats, ingest_status_repeats, enrich_open_fields, product_uuid,
     product_fingerprint, storage_refs, thumbnails, stage_states, run_report, batch_numbers, batch_sizes_64,
     page_structured_data, document_scan, collection_scan, listing_ids, collect_products)}
 
@@ -515,6 +539,12 @@ ORACLE = {
     "copy_from_old": """SELECT c_custkey, c_name, c_mktsegment FROM customer
         WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW')
           AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""",
+    "folder_documents": """SELECT concat(c_custkey, '.json') AS source_file, c_custkey::varchar AS id,
+        concat(CASE WHEN c_custkey % 3 = 2 OR c_custkey % 5 = 0 THEN 'a second ' ELSE 'first ' END, c_name) AS name, c_mktsegment AS platform
+        FROM customer WHERE c_custkey % 7 <> 3""",
+    "folder_report": """WITH landed AS (SELECT c_custkey % 7 = 3 AS broken, c_custkey % 3 < 2 AS early, c_custkey % 3 = 2 OR c_custkey % 5 = 0 AS late FROM customer)
+        SELECT 0 AS run, count(*) FILTER (early) AS scanned, count(*) FILTER (early AND NOT broken) AS collected, 0 AS skipped, count(*) FILTER (early AND broken) AS broken FROM landed
+        UNION ALL SELECT 1, count(*), count(*) FILTER (late AND NOT broken), count(*) FILTER (NOT late), count(*) FILTER (late AND broken) FROM landed""",
     "document_files": """SELECT s_suppkey || '.json' AS source_file, s_suppkey::varchar AS id, s_name AS name, round(s_acctbal, 2)::varchar AS price
         FROM supplier WHERE s_suppkey % 7 <> 3 AND s_suppkey % 11 <> 5""",
     "trial_rows": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1000",

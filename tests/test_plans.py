@@ -355,3 +355,39 @@ def test_reports_of_batches(spark, tmp_path):
         spark.range(n).write.mode("append").parquet(feed)
         ingest(spark.readStream.schema("id bigint").parquet(feed), log, checkpoint, lambda batch: batch.filter("id > 2"), report).awaitTermination()
     assert sorted(tuple(r) for r in read_report(spark, report).select("batch", "scanned", "collected", "skipped").collect()) == [(0, 4, 1, 3), (1, 6, 3, 3)]
+
+
+def test_folders_are_read_once(spark, tmp_path):
+    """A second run opens new and rewritten files only, a repeated run the same again; files that are no documents are not tried again."""
+    from shelfspark.sources import file_ledger
+    folder, out = tmp_path / "d", str(tmp_path / "o")
+
+    def waiting(run):
+        return sorted(r.file_name for r in file_ledger.pending(file_ledger.listed(spark, str(folder)), f"{out}/ledger", run).collect())
+
+    write_documents(folder, a={"id": 1}, b="{broken", c={"id": 3, "name": "old"}, e="")
+    (folder / "f.txt").write_text("{}")
+    (folder / "deeper").mkdir()
+    (folder / "deeper" / "g.json").write_text("{}")
+    assert waiting(0) == ["a.json", "b.json", "c.json"]
+    collection.ingest_folder(spark, str(folder), out, 0)
+    assert waiting(1) == []
+    collection.ingest_folder(spark, str(folder), out, 1)
+    write_documents(folder, c={"id": 3, "name": "renamed"}, h={"id": 8, "name": "\u00ca"})
+    assert waiting(2) == ["c.json", "h.json"]
+    for _ in range(2):
+        collection.ingest_folder(spark, str(folder), out, 2)
+        assert waiting(2) == ["c.json", "h.json"] and waiting(3) == []
+    found = collection.folder_documents(spark, out).orderBy("source_file").collect()
+    assert [(r.source_file, r.id, r.name) for r in found] == [("a.json", "1", None), ("c.json", "3", "renamed"), ("h.json", "8", "\u00ca")]
+    report = collection.folder_report(spark, out).orderBy("run").select("run", "scanned", "collected", "skipped", "broken").collect()
+    assert [tuple(r) for r in report] == [(0, 3, 2, 0, 1), (1, 3, 0, 3, 0), (2, 4, 2, 2, 0)]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    from shelfspark.sources import file_ledger
+    write_documents(tmp_path / "d", **{f"f{i}": {"id": i} for i in range(40)})
+    files = file_ledger.listed(spark, str(tmp_path / "d"))
+    assert file_ledger.texts(files, task_bytes=48 << 20).select(F.spark_partition_id()).distinct().count() == 4
+    assert file_ledger.texts(files).select("source_file").distinct().count() == 40
+    assert file_ledger.texts(files.limit(0)).count() == 0
