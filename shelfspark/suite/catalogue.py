@@ -9,7 +9,7 @@ from shelfspark.operators import clean, dedupe, integrate, matching, ranking, re
 from shelfspark.operators.images import decode_mask
 from shelfspark.plans.collection import collect, folder_documents as taken_documents, folder_report as taken_report, ingest_folder
 from shelfspark.session import scratch_path
-from shelfspark.sinks import tables
+from shelfspark.sinks import keyed_table, tables
 from shelfspark.sinks.files import write_files
 from shelfspark.sources import documents, images as image_sources, pages
 from shelfspark.sources.dimensions import ROOT_CATEGORIES, root_categories
@@ -171,6 +171,17 @@ def upsert_latest(spark, sf):
     return upsert.upsert(base, new, ["o_orderkey"])
 
 
+def upsert_buckets(spark, sf):
+    """As the plain upsert, into a stored table in buckets; the second run is repeated, and what it replaced is deleted."""
+    base, new = _old_new_orders(spark, sf)
+    path = scratch_path(spark, "keyed")
+    keyed_table.create(spark, path, ["o_orderkey"], 8)
+    for run, changes in ((0, base), (1, new), (1, new)):
+        keyed_table.merge(changes, path, run)
+    keyed_table.vacuum(spark, path)
+    return keyed_table.read(spark, path).drop("run")
+
+
 def anti_new_rows(spark, sf):
     base, new = _old_new_orders(spark, sf)
     return upsert.absent_from(new, base, ["o_orderkey"])
@@ -198,6 +209,16 @@ def insert_absent(spark, sf):
     return spark.read.parquet(path).select("o_orderkey", F.col("run_id").cast("string").alias("run_id"))
 
 
+def insert_buckets(spark, sf):
+    """Two runs of insertions into a table in buckets, the second one repeated."""
+    base, new = _old_new_orders(spark, sf)
+    path = scratch_path(spark, "keyed")
+    keyed_table.create(spark, path, ["o_orderkey"], 8, merged=False)
+    for run, rows in ((0, base), (1, new), (1, new)):
+        keyed_table.insert(rows.select("o_orderkey"), path, run)
+    return keyed_table.read(spark, path).select("o_orderkey", F.concat(F.lit("r"), F.col("run") + 1).alias("run_id"))
+
+
 def stage_append(spark, sf):
     """Metadata of two runs; rerunning one replaces its rows."""
     path = scratch_path(spark, "stages")
@@ -454,7 +475,7 @@ def collect_products(spark, sf):
 QUERIES = {f.__name__: f for f in (
     clean_required_fields, missing_identity, kept_columns, canonical_products, strip_and_price_default, strip_and_price_drop,
     dedupe_identifier, distinct_identifiers, path_normalize, full_image_path, image_match_extension, ingest_status,
-    ingest_report, checkpoint_scan, stage_paths, crop_paths, join_paths, bytes_by_path, byte_fallback, upsert_latest,
+    ingest_report, checkpoint_scan, stage_paths, crop_paths, join_paths, bytes_by_path, byte_fallback, upsert_latest, upsert_buckets, insert_buckets,
     anti_new_rows, semi_reusable, copy_from_old, document_files, broken_files, historic_files, file_listing, found_files, folder_documents, folder_report, content_scan, cleaned_rows, rooted_orders, trial_rows, spread_collection, counted_rows, run_times, decoded_masks, insert_absent, insert_absent_order, change_log_ties, change_log_rows, resume_state, stage_append, enrich_merge, enrich_repeats, ingest_status_repeats, enrich_open_fields, product_uuid,
     product_fingerprint, storage_refs, thumbnails, stage_states, run_report, batch_numbers, batch_sizes_64,
     page_structured_data, document_scan, collection_scan, listing_ids, collect_products)}
@@ -619,3 +640,6 @@ ORACLE = {
 
 ORACLE["enrich_repeats"] = ORACLE["enrich_merge"]
 ORACLE["ingest_status_repeats"] = ORACLE["ingest_status"]
+
+ORACLE["upsert_buckets"] = ORACLE["upsert_latest"]
+ORACLE["insert_buckets"] = ORACLE["insert_absent"]

@@ -391,3 +391,54 @@ def test_small_files_share_tasks(spark, tmp_path):
     assert file_ledger.texts(files, task_bytes=48 << 20).select(F.spark_partition_id()).distinct().count() == 4
     assert file_ledger.texts(files).select("source_file").distinct().count() == 40
     assert file_ledger.texts(files.limit(0)).count() == 0
+
+
+def test_keyed_tables_touch_their_buckets_only(spark, tmp_path):
+    """A run neither reads nor writes buckets its keys do not fall into, a lost or repeated run changes nothing, new columns are added."""
+    from shelfspark.sinks import keyed_table
+    path = str(tmp_path / "t")
+
+    def rows():
+        found = keyed_table.read(spark, path)
+        names = [c for c in ("k", "a", "b") if c in found.columns]
+        return sorted(tuple(r) for r in found.select(*names).collect())
+
+    keyed_table.create(spark, path, ["k"], 16)
+    keyed_table.create(spark, path, ["k"], 99)  # it stays as it was laid down
+    assert keyed_table.read(spark, path) is None
+    assert keyed_table.merge(spark.range(200).selectExpr("id AS k", "id AS a"), path, 0) == list(range(16))
+    change = spark.createDataFrame([(7, None, "x"), (500, 1, None)], "k long, a long, b string")
+    touched = keyed_table.merge(change, path, 1)
+    assert len(touched) <= 2 and tables.children(spark, f"{path}/rows/run=1") == [f"bucket={b}" for b in sorted(touched, key=str)]
+    tables.delete(spark, f"{path}/rows/run=0/bucket={min(set(range(16)) - set(touched))}")
+    wanted = {r[0]: r for r in rows()}
+    assert wanted[7] == (7, 7, "x") and wanted[500] == (500, 1, None)
+    assert keyed_table.merge(change, path, 1) == touched and {r[0]: r for r in rows()} == wanted  # the deleted bucket is not needed
+    tables.delete(spark, f"{path}/rows/run=1/_SUCCESS")
+    assert 500 not in {r[0] for r in rows()}  # a run that is not whole is not read
+    keyed_table.merge(change, path, 1)
+    later = spark.createDataFrame([(7, 1, 70), (7, 2, None)], "k long, n int, a long")
+    keyed_table.merge(later, path, 2, version=["n"])
+    assert {r[0]: r for r in rows()} == wanted | {7: (7, 70, "x")}
+    assert keyed_table.vacuum(spark, path) == len(touched) + 1 and {r[0]: r for r in rows()} == wanted | {7: (7, 70, "x")}
+    for bad in (later, spark.createDataFrame([(None, 1)], "k long, a long")):
+        with pytest.raises(Exception, match="without (an order|a key)"):
+            keyed_table.merge(bad, path, 3)
+    assert {r[0] for r in rows()} == set(wanted)
+    assert keyed_table.merge(change.limit(0), path, 4) == [] and {r[0] for r in rows()} == set(wanted)
+
+
+def test_insertions_read_keys_of_their_buckets(spark, tmp_path):
+    from shelfspark.sinks import keyed_table
+    path = str(tmp_path / "t")
+    keyed_table.create(spark, path, ["k"], 16, merged=False)
+    keyed_table.insert(spark.range(100).selectExpr("id AS k", "'old' AS v"), path, 0)
+    new = spark.createDataFrame([(5, "b"), (300, "b"), (300, "a")], "k long, v string")
+    for _ in range(2):
+        touched = keyed_table.insert(new, path, 1, order=["v"])
+    assert len(touched) <= 2
+    plan = keyed_table.read(spark, path, before=1, only=touched).select("k")
+    assert {f.split("bucket=")[1].split("/")[0] for f in plan.inputFiles()} == {str(b) for b in touched}
+    found = {r.k: (r.v, r.run) for r in keyed_table.read(spark, path).collect()}
+    assert len(found) == 101 and found[300] == ("a", 1) and found[5] == ("old", 0)
+    assert keyed_table.read(spark, path).count() == 101 and keyed_table.vacuum(spark, path) == 0
