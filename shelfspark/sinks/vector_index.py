@@ -30,11 +30,16 @@ def ensure_index(spark: SparkSession, path: str, name: str, dim: int, model: str
     if not exists(spark, meta):
         spark.createDataFrame([(name, dim, "cosine", model, buckets)], _META).write.parquet(meta)
         return
-    found = spark.read.schema(_META).parquet(meta).first()
+    found = read_meta(spark, path).first()
     if (found.dim, found.model) != (dim, model):
         raise ValueError(f"index {name} holds {found.dim}-dimensional vectors of model {found.model!r}")
 
 
+def read_meta(spark: SparkSession, *paths: str) -> DataFrame:
+    """The metadata rows of indexes."""
+    return spark.read.schema(_META).parquet(*[f"{path}/meta" for path in paths])
+
+
 def rows(spark: SparkSession, path: str, buckets: Sequence[int] | None = None) -> DataFrame | None:
     """(point_id, vector, payload, batch, layer, bucket) of base and batches, of some buckets only; None before the first publication."""
     parts = []
@@ -55,8 +60,14 @@ def publish(points: DataFrame, path: str, batch: int, order: Sequence[str] = ())
     Of several points of one id in a batch the last by ``order`` stays; without an order they are refused. Points are written beside the
     batches, checked against the rows stored in the buckets they touch, and moved to their place. Publishing a batch again replaces it.
     """
+    stage(points, path, batch, order)
+    place(points.sparkSession, path, batch)
+
+
+def stage(points: DataFrame, path: str, batch: int, order: Sequence[str] = ()) -> None:
+    """The first half of :func:`publish`: write a batch aside and check it."""
     spark = points.sparkSession
-    meta = spark.read.schema(_META).parquet(f"{path}/meta").first()
+    meta = read_meta(spark, path).first()
     row, name = F.struct("vector", "payload"), F.col("payload.sub_id")
     last = F.max_by(row, F.struct(*order)) if order else F.max_by(row, F.lit(0))
     folded = points.groupBy("point_id").agg(last.alias("row"), F.min(name).alias("least"), F.max(name).alias("greatest"), F.count(F.lit(1)).alias("n"))
@@ -65,7 +76,7 @@ def publish(points: DataFrame, path: str, batch: int, order: Sequence[str] = ())
     fits = F.assert_true(F.size("row.vector") == meta.dim, F.lit(f"vector without {meta.dim} dimensions"))
     checked = folded.filter(one_name.isNull() & ordered.isNull() & fits.isNull())
     bucket = F.pmod(F.xxhash64("point_id"), F.lit(meta.buckets)).cast("int").alias("bucket")
-    staging = f"{path}/staging/batch={batch}"
+    staging = _staging(path, batch)
     checked.select("point_id", "row.*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staging)
     touched = [_number(name) for name in children(spark, staging, "bucket=")]
     stored = rows(spark, path, touched) if touched else None
@@ -75,12 +86,20 @@ def publish(points: DataFrame, path: str, batch: int, order: Sequence[str] = ())
                  .select("point_id", "payload.sub_id", "own").first())
         if clash:
             raise ValueError(f"point id {clash.point_id} stands for {clash.sub_id} and {clash.own}")
-    move(spark, staging, f"{path}/points/batch={batch}")
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """The newest row of every point as a whole: vector and payload of one publication."""
-    return fold_rows(rows(spark, path).drop("bucket"), ["point_id"], ["batch", "layer"])
+def place(spark: SparkSession, path: str, batch: int) -> None:
+    """The second half of :func:`publish`: put a checked batch in its place."""
+    move(spark, _staging(path, batch), f"{path}/points/batch={batch}")
+
+
+def _staging(path: str, batch: int) -> str:
+    return f"{path}/staging/batch={batch}"
+
+
+def read_points(spark: SparkSession, path: str, columns: Sequence[str] = ("vector", "payload")) -> DataFrame:
+    """The newest row of every point as a whole: vector and payload of one publication, or one of them."""
+    return fold_rows(rows(spark, path).select("point_id", *columns, "batch", "layer"), ["point_id"], ["batch", "layer"])
 
 
 def newest_batch(spark: SparkSession, path: str) -> int | None:
@@ -118,7 +137,7 @@ def publish_packed(spark: SparkSession, path: str, pivots: int | None = None) ->
     if version is None:
         raise ValueError("the index holds no points")
     if not exists(spark, f"{path}/packed/version={version}/ready"):
-        packed = pack_index(materialize(read_points(spark, path).select("point_id", "vector"), "points"), pivots)
+        packed = pack_index(materialize(read_points(spark, path, ["vector"]).select("point_id", "vector"), "points"), pivots)
         if packed is None:
             raise ValueError("the index holds no usable vectors")
         store_packed(packed, f"{path}/packed/version={version}")

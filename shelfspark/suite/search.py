@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfspark.functions import vectors
 from shelfspark.operators import checkout, detections as D, neighbours, ranking
 from shelfspark.session import materialize, scratch_path
+from shelfspark.sinks import model_index
 from shelfspark.sinks.vector_index import compact, ensure_index, publish, read_points
 from shelfspark.suite.adapters import baskets, cte, index_vectors, query_vectors, table, view
 
@@ -205,11 +206,63 @@ def index_compaction(spark, sf):
                                            F.round(F.col("vector")[0].cast("double"), 6).alias("v0"))
 
 
+def _narrowed(vectors_: DataFrame) -> DataFrame:
+    """Vectors of a stand-in second model: half the dimensions."""
+    return vectors_.withColumn("vector", F.slice("vector", 1, 32)).withColumn("model", F.lit("narrow"))
+
+
+def _both_models(vectors_: DataFrame) -> DataFrame:
+    return vectors_.withColumn("model", F.lit("wide")).unionByName(_narrowed(vectors_))
+
+
+def _model_points(spark, sf):
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), "label")
+    payload = F.struct(F.concat(F.col("point_id").cast("string"), F.lit("_obj0")).alias("sub_id"))
+    return index_vectors(spark, sf).join(labels, "point_id").withColumn("payload", payload)
+
+
+def _model_index(spark, sf):
+    """An index amid a change of the model: the new one has embedded the points of the lower labels."""
+    path = scratch_path(spark, "models")
+    model_index.register(spark, path, "wide", 64)
+    model_index.register(spark, path, "narrow", 32)
+    model_index.publish(_both_models(_model_points(spark, sf)).filter("model = 'wide' OR label < 5"), path, 0)
+    return path
+
+
+def model_status(spark, sf):
+    return model_index.status(spark, _model_index(spark, sf)).withColumn("dim", F.col("dim").cast("bigint"))
+
+
+def model_backlog(spark, sf):
+    return model_index.backlog(spark, _model_index(spark, sf), "narrow")
+
+
+def model_search(spark, sf):
+    """Queries of both models, after the new one has caught up with its backlog; the second batch is published twice."""
+    path = _model_index(spark, sf)
+    missing = materialize(model_index.backlog(spark, path, "narrow"), "backlog").select("point_id")
+    for _ in range(2):
+        model_index.publish(_narrowed(_model_points(spark, sf).join(missing, "point_id")), path, 1)
+    found = model_index.nearest(_both_models(query_vectors(spark, sf)), path, k=3, threshold=None)
+    return found.select("model", "query_id", "point_id", F.round("score", 6).alias("score"), F.col("match_rank").cast("bigint").alias("match_rank"))
+
+
+def model_fallback(spark, sf):
+    """Matches of the new model where it has any, else of the old one; packed versions of both are searched."""
+    path = _model_index(spark, sf)
+    model_index.publish_packed(spark, path)
+    found = model_index.nearest(_both_models(query_vectors(spark, sf)), path, k=3, threshold=0.6, packed=True)
+    return model_index.preferred(found, ["narrow", "wide"]).select(
+        "model", "query_id", "point_id", F.round("score", 6).alias("score"), F.col("match_rank").cast("bigint").alias("match_rank"))
+
+
 QUERIES = {f.__name__: f for f in (
     confident_detections, top1_detection, nearest_centre_detection, label_detections, object_metadata, crop_boxes,
     l2_normalize, cosine_expression, cosine_topk, cosine_threshold, self_neighbours, cosine_topk_cells, cosine_threshold_cells,
     self_neighbours_cells, cart_checkout, cart_items, cart_lines,
-    cart_quantities, cart_reply_pages, match_payload, cart_missing_payload, index_dimensions, point_payload, vector_upsert, index_compaction)}
+    cart_quantities, cart_reply_pages, match_payload, cart_missing_payload, index_dimensions, point_payload, vector_upsert, index_compaction,
+    model_status, model_backlog, model_search, model_fallback)}
 
 _ORDER = "l_orderkey, l_linenumber, l_suppkey, l_extendedprice"
 _BEST = f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, {_ORDER}) AS rn
@@ -223,6 +276,11 @@ def _box(i: int, column: str) -> str:
     return f"cast(trunc({column}::float) AS bigint) AS box{i}"
 
 
+_NARROW = """, narrow AS (SELECT query_id, point_id, score, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS match_rank,
+        row_number() OVER (PARTITION BY query_id, coalesce(label < 5, false) ORDER BY score DESC, point_id) AS rank_so_far FROM (
+        SELECT q.query_id, e.vec_id AS point_id, label, round(list_cosine_similarity(q.vector[1:32]::double[], e.embedding[1:32]::double[]), 9) AS score
+        FROM query_vectors q, embeddings e))"""
+
 ORACLE = {
     "confident_detections": cte("detections") + f"SELECT image_id, {_ORDER}, confidence FROM detections WHERE confidence >= 0.5",
     "top1_detection": cte("detections") + f", {_BEST} SELECT image_id, {_ORDER}, confidence FROM best",
@@ -276,5 +334,14 @@ ORACLE = {
     "vector_upsert": f"""SELECT {_HASH.format("vec_id || '_obj0'")} AS point_id, vec_id || '_obj0' AS sub_id,
         CASE WHEN label >= 5 THEN 'second' ELSE 'first' END AS version, round(embedding[1]::double, 6) AS v0
         FROM embeddings WHERE label <> 3 AND vec_id IN (SELECT p_partkey FROM part)""",
+    "model_status": """SELECT 'wide' AS model, 64::bigint AS dim, count(*) AS n_points, 0::bigint AS n_missing FROM embeddings
+        UNION ALL SELECT 'narrow', 32, count(*) FILTER (label < 5), count(*) - count(*) FILTER (label < 5) FROM embeddings""",
+    "model_backlog": "SELECT vec_id AS point_id, vec_id || '_obj0' AS sub_id FROM embeddings WHERE (label < 5) IS NOT true",
+    "model_search": cte(*_VECTORS) + _NARROW + """SELECT 'wide' AS model, query_id, point_id, round(score, 6) AS score, match_rank FROM matches WHERE match_rank <= 3
+        UNION ALL SELECT 'narrow', query_id, point_id, round(score, 6), match_rank FROM narrow WHERE match_rank <= 3""",
+    "model_fallback": cte(*_VECTORS) + _NARROW + """, renewed AS (SELECT * FROM narrow WHERE label < 5 AND rank_so_far <= 3 AND score > 0.6)
+        SELECT 'narrow' AS model, query_id, point_id, round(score, 6) AS score, rank_so_far AS match_rank FROM renewed
+        UNION ALL SELECT 'wide', query_id, point_id, round(score, 6), match_rank FROM matches
+        WHERE match_rank <= 3 AND score > 0.6 AND query_id NOT IN (SELECT query_id FROM renewed)""",
 }
 ORACLE |= {f"{name}_cells": ORACLE[name] for name in ("cosine_topk", "cosine_threshold", "self_neighbours")}
