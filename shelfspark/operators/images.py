@@ -8,6 +8,7 @@ numpy touches pixels inside one Arrow stage per job.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,15 @@ ImageStep = Callable[[np.ndarray, np.ndarray], np.ndarray]
 _RESULT = T.StructType([
     T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()),
     T.StructField("n_channels", T.IntegerType()), T.StructField("data", T.BinaryType()),
-    T.StructField("state", T.StringType())])
+    T.StructField("is_encoded", T.BooleanType()), T.StructField("state", T.StringType())])
+
+
+@dataclass(frozen=True)
+class Codec:
+    """The caller's file format: an image to the bytes of a file, and back. Both run on the executors and may fail on an image."""
+
+    encode: Callable[[np.ndarray], bytes]
+    decode: Callable[[bytes], np.ndarray] | None = None
 
 
 def to_array(height: int, width: int, n_channels: int, data: bytes) -> np.ndarray:
@@ -74,41 +83,51 @@ def _as_struct(prefix: str = "") -> Column:
 
 
 def _map_raster(df: DataFrame, step: Callable[[np.ndarray, dict], np.ndarray], extra: dict[str, Column],
-                state_col: str, encode: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
+                state_col: str, codec: Codec | None = None) -> DataFrame:
     """Replace each raster by ``step(image, row)``, recording a state.
 
-    A row that fails keeps its raster and stays in the flow.
+    A row that fails keeps its raster and stays in the flow. With a codec, results are stored as its bytes, which the column ``is_encoded``
+    tells apart from the pixels of rows that failed or come from elsewhere (null or no such column).
     """
     @F.pandas_udf(_RESULT)
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
-                kept = (row["height"], row["width"], row["n_channels"], row["data"])
+                kept = (row["height"], row["width"], row["n_channels"], row["data"], row["is_encoded"])
                 if not row["data"]:
-                    out.append((*kept[:3], None, STATE_EMPTY))
+                    out.append((*kept[:3], None, False, STATE_EMPTY))
                     continue
                 if not row["height"] or row["height"] < 0:
                     out.append((*kept, STATE_DECODE))
                     continue
+                if codec and row["is_encoded"]:
+                    try:
+                        image = codec.decode(row["data"])
+                    except Exception:
+                        out.append((*kept, STATE_DECODE))
+                        continue
                 try:
-                    image = step(to_array(*[int(v) for v in kept[:3]], kept[3]), row)
+                    if not (codec and row["is_encoded"]):
+                        image = to_array(*[int(v) for v in kept[:3]], kept[3])
+                    image = step(image, row)
                 except Exception:
                     out.append((*kept, STATE_EXCEPTION))
                     continue
                 try:
-                    data = encode(image) if encode else np.ascontiguousarray(image).tobytes()
+                    data = codec.encode(image) if codec else np.ascontiguousarray(image).tobytes()
                 except Exception:
                     out.append((*kept, STATE_ENCODE))
                     continue
-                out.append((*image.shape, data, STATE_OK))
+                out.append((*image.shape, data, codec is not None, STATE_OK))
             frame = pd.DataFrame(out, columns=_RESULT.names)
             for column in ("height", "width", "n_channels"):
                 frame[column] = frame[column].astype("Int32")
             yield frame
 
-    inputs = F.struct(*RASTER.names, *[c.alias(n) for n, c in extra.items()])
-    fields = {name: F.col(f"_result.{name}") for name in RASTER.names}
+    marked = F.coalesce(F.col("is_encoded"), F.lit(False)) if codec and "is_encoded" in df.columns else F.lit(False)
+    inputs = F.struct(*RASTER.names, marked.alias("is_encoded"), *[c.alias(n) for n, c in extra.items()])
+    fields = {name: F.col(f"_result.{name}") for name in [*RASTER.names, *(["is_encoded"] if codec else [])]}
     return df.withColumn("_result", apply(inputs)).withColumns({**fields, state_col: F.col("_result.state")}).drop("_result")
 
 
@@ -159,11 +178,11 @@ def median(df: DataFrame, state_col: str = "state") -> DataFrame:
 
 
 def clean_images(df: DataFrame, repair_glare: ImageStep | None = None,
-                 encode: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
+                 encode: Callable[[np.ndarray], bytes] | None = None, codec: Codec | None = None) -> DataFrame:
     """Sharpen blurred images, then take the median of all, with ``cleaning_state`` per row.
 
     Both flags are judged on the original gray image. ``repair_glare(image, gray)`` is applied to overexposed images last;
-    ``encode`` turns the result into file bytes where the caller has a codec.
+    ``codec`` reads what is encoded and turns the result into file bytes; ``encode`` alone does for images that are all plain.
     """
     def step(image: np.ndarray, _: dict) -> np.ndarray:
         gray = _gray(image)
@@ -175,7 +194,7 @@ def clean_images(df: DataFrame, repair_glare: ImageStep | None = None,
             image = repair_glare(image, gray)
         return image
 
-    return _map_raster(df, step, {}, "cleaning_state", encode)
+    return _map_raster(df, step, {}, "cleaning_state", codec or (Codec(encode) if encode else None))
 
 
 def target_size(df: DataFrame, limit: int = MAX_SIDE) -> DataFrame:
@@ -270,10 +289,10 @@ def crop_objects(images: DataFrame, detections: DataFrame, mask_unit: int = 1) -
     return cut.select(*names, "box", "mask_applied", *RASTER.names, "crop_state")
 
 
-def whiten_background(df: DataFrame, mask: str = "foreground") -> DataFrame:
-    """Everything outside the 0/1 mask column becomes white, with ``transform_state`` per row."""
+def whiten_background(df: DataFrame, mask: str = "foreground", codec: Codec | None = None) -> DataFrame:
+    """Everything outside the 0/1 mask column becomes white, with ``transform_state`` per row; ``codec`` reads what is encoded and encodes the result."""
     def step(image: np.ndarray, row: dict) -> np.ndarray:
         plane = np.frombuffer(row["mask"], np.uint8).reshape(image.shape[:2])
         return np.where((plane != 0)[:, :, None], image, np.uint8(255))
 
-    return _map_raster(df, step, {"mask": F.col(mask)}, "transform_state")
+    return _map_raster(df, step, {"mask": F.col(mask)}, "transform_state", codec)

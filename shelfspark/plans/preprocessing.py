@@ -26,19 +26,19 @@ def extract(products: DataFrame, rasters: DataFrame, path_column: str = "image_p
     return wanted.join(stored, "_path", "left").drop("_path")
 
 
-def clean_step(df: DataFrame, repair_glare: images.ImageStep | None = None) -> DataFrame:
-    return images.clean_images(clean.with_bytes(df, "data"), repair_glare)
+def clean_step(df: DataFrame, repair_glare: images.ImageStep | None = None, codec: images.Codec | None = None) -> DataFrame:
+    return images.clean_images(clean.with_bytes(df, "data"), repair_glare, codec=codec)
 
 
 def integrate_step(df: DataFrame) -> DataFrame:
     """Canonical columns with the raster and the paths of earlier stages carried along."""
     paths = [c for c in df.columns if c.endswith("_path") and c != "image_path"]
-    return integrate.canonical(df, carry=[*RASTER.names, *paths])
+    return integrate.canonical(df, carry=[*RASTER.names, "is_encoded", *paths])
 
 
-def transform_step(df: DataFrame, foreground: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def transform_step(df: DataFrame, foreground: Callable[[DataFrame], DataFrame], codec: images.Codec | None = None) -> DataFrame:
     """White background, given a function that adds the 0/1 mask column ``foreground``; states packed."""
-    return integrate.pack_states(images.whiten_background(foreground(df)).drop("foreground"))
+    return integrate.pack_states(images.whiten_background(foreground(df), codec=codec).drop("foreground"))
 
 
 def with_stage_path(df: DataFrame, step: str, bucket: str = "products") -> DataFrame:
@@ -58,21 +58,22 @@ class StagedRun:
 
 
 def run_stages(products: DataFrame, rasters: DataFrame, foreground: Callable[[DataFrame], DataFrame], out: str,
-               run_id: str, only_success: bool = False, bucket: str = "products") -> StagedRun:
+               run_id: str, only_success: bool = False, bucket: str = "products",
+               repair_glare: images.ImageStep | None = None, codec: images.Codec | None = None) -> StagedRun:
     """Run and store all stages.
 
     A stage is written once, with its rasters, and read back: the stored frame is the stage's
     content table (``<step>_path`` and the raster columns) and the next stage's input, so a lost executor costs one
     stage at most. The metadata is appended apart, without bytes. Failed images stay in
-    the flow unless ``only_success``.
+    the flow unless ``only_success``. With a codec the stored images are its files where ``is_encoded`` says so; ``foreground`` is given them as they are stored.
     """
     spark = products.sparkSession
     run = StagedRun()
     frame = extract(products, rasters)
     steps: dict[str, tuple[Callable[[DataFrame], DataFrame], str | None]] = {
-        "clean": (clean_step, "cleaning_state"),
+        "clean": (lambda df: clean_step(df, repair_glare, codec), "cleaning_state"),
         "integrate": (integrate_step, None),
-        "transform": (lambda df: transform_step(df, foreground), "pipeline_state.transform_state"),
+        "transform": (lambda df: transform_step(df, foreground, codec), "pipeline_state.transform_state"),
     }
     for step, (apply, state) in steps.items():
         frame = with_stage_path(apply(frame), step, bucket)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.operators import images as I, inference
 from shelfspark.plans.indexing import build_index
+from shelfspark.plans.preprocessing import run_stages
 from shelfspark.session import scratch_path
 from shelfspark.sinks.vector_index import read_points
 from shelfspark.suite.adapters import cte, pixel_text, rasters, table, view
@@ -113,9 +114,45 @@ def index_job(spark, sf):
     return points.select("payload.sub_id", "payload.sku", "payload.name", *[F.round(F.col("vector")[k].cast("double"), 6).alias(f"v{k}") for k in range(4)])
 
 
+def _tagged_files() -> I.Codec:
+    """Stand-in file format: a tag before the pixels of 8x8 gray images. It refuses what is brighter than 200 on average."""
+    def encode(image: np.ndarray) -> bytes:
+        if image.mean() > 200:
+            raise ValueError("too bright")
+        return b"GRAY" + image.tobytes()
+
+    def decode(data: bytes) -> np.ndarray:
+        if data[:4] != b"GRAY":
+            raise ValueError("no such file")
+        return np.frombuffer(data, np.uint8, offset=4).reshape(8, 8, 1)
+    return I.Codec(encode, decode)
+
+
+def _staged(spark, sf):
+    stored = rasters(spark, sf).withColumn("path", F.concat(F.lit("s3://products/"), "image_id", F.lit(".jpg")))
+
+    def left_half(df: DataFrame) -> DataFrame:
+        return df.withColumn("foreground", F.unhex(F.lit("0101010100000000" * 8)))
+
+    return run_stages(view(spark, sf, "image_products"), stored, left_half, scratch_path(spark, "stages"), "r1", codec=_tagged_files())
+
+
+def preprocessing_job(spark, sf):
+    """All stages over the products and their images, as files of a stand-in format that not every image fits."""
+    return _staged(spark, sf).last.select(
+        "product_id", "sku", "name", F.round("price", 2).alias("price"), "pipeline_state.*", "clean_path", "transform_path", "is_encoded", pixel_text(F.col("data")).alias("file"))
+
+
+def preprocessing_clean_files(spark, sf):
+    """What the cleaning stage of the same job has stored."""
+    stored = spark.read.parquet(_staged(spark, sf).frames["clean"])
+    return stored.select("product_id", "cleaning_state", "is_encoded", pixel_text(F.col("data")).alias("file"))
+
+
 QUERIES = {f.__name__: f for f in (
     image_quality, image_quality_report, image_sharpen, image_median, image_clean_states, fit_sizes, normalize_image,
-    whiten_background, crop_objects, model_detections, object_records, labelled_objects, index_job)}
+    whiten_background, crop_objects, model_detections, object_records, labelled_objects, index_job,
+    preprocessing_job, preprocessing_clean_files)}
 
 
 def _at(dy: int, dx: int, border: str) -> str:
@@ -141,6 +178,21 @@ def _hex(value: str) -> str:
 
 _BRIGHT = """bright AS (SELECT vec_id, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM pixels WHERE v > 128 GROUP BY vec_id)"""
 
+def _pixels_of(source: str) -> str:
+    return f"SELECT vec_id, i // 8 AS y, i % 8 AS x, px[i + 1] AS v, px FROM {source}, range(64) t(i)"
+
+
+# Cleaning: sharpened where the variance is low, then the median; a file is the tag and the pixels, unless they are too bright.
+_FILE = "CASE WHEN list_sum({0}) <= 200 * 64 THEN '47524159' || list_aggregate(list_transform({0}, lambda p: printf('%02x', p)), 'string_agg', '') END"
+_PLAIN = "list_aggregate(list_transform({0}, lambda p: printf('%02x', p)), 'string_agg', '')"
+_CLEANED = f""", {_QUALITY}, sharpened AS (SELECT vec_id, list(cast(CASE WHEN laplacian_var < 100 THEN greatest(0, least(255, {_SHARPEN})) ELSE v END AS bigint) ORDER BY y, x) AS px
+        FROM pixels JOIN quality USING (vec_id) GROUP BY vec_id), sharp AS ({_pixels_of("sharpened")}),
+        cleaned AS (SELECT vec_id, list(cast({_MEDIAN} AS bigint) ORDER BY y, x) AS px FROM sharp GROUP BY vec_id),
+        stored AS (SELECT c.vec_id, {_FILE.format("c.px")} AS file, CASE WHEN {_FILE.format("c.px")} IS NULL THEN r.px ELSE c.px END AS px
+                   FROM cleaned c JOIN rasters r USING (vec_id)),
+        whitened AS (SELECT vec_id, file, px, list_transform(px, lambda p, i: CASE WHEN (i - 1) % 8 < 4 THEN p ELSE 255 END) AS white FROM stored),
+        staged AS (SELECT * FROM image_products WHERE image_path IS NOT NULL AND sku IS NOT NULL AND price IS NOT NULL AND (title IS NOT NULL OR name IS NOT NULL))"""
+
 ORACLE = {
     "image_quality": cte("rasters", "pixels") + f""", {_QUALITY} SELECT vec_id, round(laplacian_var, 6) AS laplacian_var, round(brightness, 6) AS brightness,
         laplacian_var < 100 AS is_blurred, brightness > 200 AS is_glare FROM quality""",
@@ -168,6 +220,16 @@ ORACLE = {
         FROM pixels JOIN bright USING (vec_id) WHERE x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY vec_id)
         SELECT product_id || '_obj0' AS sub_id, coalesce(sku, product_id) AS sku, coalesce(nullif(name, ''), title) AS name, v0, v1, v2, v3
         FROM quarters JOIN image_products ON image_id = vec_id::varchar""",
+    "preprocessing_clean_files": cte("rasters", "pixels", "image_products") + _CLEANED + f"""
+        SELECT product_id, CASE WHEN file IS NULL THEN 'FAILED_ENCODE' ELSE 'SUCCESS' END AS cleaning_state, file IS NOT NULL AS is_encoded,
+        coalesce(file, {_PLAIN.format("px")}) AS file FROM whitened JOIN staged ON image_id = vec_id::varchar""",
+    "preprocessing_job": cte("rasters", "pixels", "image_products") + _CLEANED + f"""
+        SELECT product_id, sku, coalesce(name, title) AS name, round(price, 2) AS price,
+        CASE WHEN w.file IS NULL THEN 'FAILED_ENCODE' ELSE 'SUCCESS' END AS cleaning_state, 'SUCCESS' AS integrate_state,
+        CASE WHEN {_FILE.format("white")} IS NULL THEN 'FAILED_ENCODE' ELSE 'SUCCESS' END AS transform_state,
+        's3://products/preprocessing/clean/' || product_id || '.jpg' AS clean_path, 's3://products/preprocessing/transform/' || product_id || '.jpg' AS transform_path,
+        w.file IS NOT NULL OR {_FILE.format("white")} IS NOT NULL AS is_encoded, coalesce({_FILE.format("white")}, w.file, {_PLAIN.format("px")}) AS file
+        FROM whitened w JOIN staged ON image_id = vec_id::varchar""",
     "labelled_objects": cte("rasters", "pixels", "image_products") + f""", {_BRIGHT} SELECT product_id || '_obj' || i AS sub_id, coalesce(sku, product_id) AS sku_label,
         CASE i WHEN 0 THEN 0.5 ELSE 0.75 END::double AS confidence, CASE i WHEN 0 THEN 64 ELSE (x2 - x1) * (y2 - y1) END::bigint AS n_bytes
         FROM bright JOIN image_products ON image_id = vec_id::varchar, range(2) t(i)""",

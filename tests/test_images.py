@@ -84,6 +84,30 @@ def test_glare_step_and_encoder(spark):
     assert I.clean_images(table(spark, {"b": bright}), encode=refuse).first().cleaning_state == "FAILED_ENCODE"
 
 
+def test_codec_between_stages(spark):
+    def encode(image):
+        if image[0, 0, 0] == 7:
+            raise OSError
+        return b"E" + image.tobytes()
+
+    def decode(data):
+        if data == b"E?":
+            raise OSError
+        return np.frombuffer(data, np.uint8, offset=1).reshape(2, 2, 1)
+
+    codec = I.Codec(encode, decode)
+    pictures = {"good": np.full((2, 2), 30, np.uint8), "refused": np.full((2, 2), 7, np.uint8), "empty": (2, 2, 1, None)}
+    cleaned = I.clean_images(table(spark, pictures), codec=codec)
+    assert {r.image_id: (r.cleaning_state, r.is_encoded, r.data) for r in cleaned.collect()} == {
+        "good": ("SUCCESS", True, b"E" + bytes([30] * 4)), "refused": ("FAILED_ENCODE", False, bytes([7] * 4)), "empty": ("FAILED_EMPTY", False, None)}
+    # What could not be encoded is plain, and is read as such; damaged files and those of unknown format are told apart from failed steps.
+    broken = cleaned.withColumn("data", F.when(F.col("image_id") == "good", F.lit(bytearray(b"E?"))).otherwise(F.col("data")))
+    half = F.lit(bytearray([0, 1, 0, 1]))
+    for frame, good in ((cleaned, ("SUCCESS", b"E" + bytes([255, 30, 255, 30]))), (broken, ("FAILED_DECODE", b"E?"))):
+        white = {r.image_id: (r.transform_state, r.data) for r in I.whiten_background(frame.withColumn("foreground", half), codec=codec).collect()}
+        assert white == {"good": good, "refused": ("SUCCESS", b"E" + bytes([255, 7, 255, 7])), "empty": ("FAILED_EMPTY", None)}
+
+
 def test_normalising(spark):
     clear = np.zeros((2, 2, 4), np.uint8)
     clear[0, 0] = [10, 20, 30, 255]
