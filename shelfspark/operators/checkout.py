@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfspark.functions.text import price_label, sku_label
 from shelfspark.operators.neighbours import PackedIndex, nearest
 from shelfspark.operators.ranking import paged_lists
+from shelfspark.session import materialize
 
 # The acceptance threshold, the number of matches looked at, and the reply messages.
 ACCEPT = 0.6
@@ -32,15 +33,25 @@ def describe_matches(matches: DataFrame, payload: DataFrame) -> DataFrame:
     return joined.select(*matches.columns, *reply_columns())
 
 
+def with_search_ids(detections: DataFrame, label: str = "detections") -> DataFrame:
+    """Detections stored with a row number ``search_id``, by which a search can tell all of them apart; it holds for the stored table only."""
+    return materialize(detections.withColumn("search_id", F.monotonically_increasing_id()), label)
+
+
 def cart_items(detections: DataFrame, index: DataFrame | PackedIndex, payload: DataFrame,
                accept: float = ACCEPT) -> DataFrame:
     """One item per detection whose best match scores above ``accept``; equal products stay separate items.
 
-    ``detections`` has ``cart_id, query_id, vector``, with a null or empty vector where embedding failed.
+    ``detections`` has ``cart_id, query_id, vector``, with a null or empty vector where embedding failed; rows without a ``query_id`` match nothing.
+    Query ids of any type may repeat: the search goes by ``search_id`` (:func:`with_search_ids`), which detections without it are given here.
     """
-    best = nearest(detections, index, k=1, threshold=accept)
-    matched = detections.select("cart_id", "query_id").join(best.drop("match_rank"), "query_id")
-    return describe_matches(matched, payload)
+    asked = detections.filter(F.col("query_id").isNotNull())
+    if "search_id" not in detections.columns:
+        asked = with_search_ids(asked.select("cart_id", "query_id", "vector"))
+    best = nearest(asked.select(F.col("search_id").alias("query_id"), "vector"), index, k=1, threshold=accept)
+    found = best.select(F.col("query_id").alias("search_id"), "point_id", "score")
+    matched = asked.select("cart_id", "query_id", "search_id").join(found, "search_id")
+    return describe_matches(matched.select("query_id", "cart_id", "point_id", "score"), payload)
 
 
 def carts(detections: DataFrame, items: DataFrame) -> DataFrame:

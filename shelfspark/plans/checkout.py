@@ -30,7 +30,8 @@ def basket_vectors(images: DataFrame, detector: Callable[[], Detector], embedder
 def checkout(images: DataFrame, index: DataFrame, payload: DataFrame, detector: Callable[[], Detector],
              embedder: Callable[[], Embedder], scratch: str, accept: float = ACCEPT) -> tuple[DataFrame, DataFrame]:
     """Items and carts of basket images. The vectors are stored in ``scratch`` first, so that models run once."""
-    basket_vectors(images, detector, embedder).write.mode("overwrite").parquet(scratch)
+    found = basket_vectors(images, detector, embedder).withColumn("search_id", F.monotonically_increasing_id())
+    found.write.mode("overwrite").parquet(scratch)
     vectors = images.sparkSession.read.parquet(scratch)
     items = cart_items(vectors.filter(F.col("query_id").isNotNull()), index, payload, accept)
     return items, carts(vectors, items)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfspark.operators.checkout import ACCEPT, cart_items, carts
-from shelfspark.session import materialize
+from shelfspark.operators.checkout import ACCEPT, cart_items, carts, with_search_ids
 from shelfspark.sinks.tables import exists, log_changes, read_changes
 from shelfspark.sinks.vector_index import packed_version, read_packed
 
@@ -33,7 +32,7 @@ def checkout_stream(feed: DataFrame, index: str, payload: DataFrame, out: str, c
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = materialize(batch, "baskets")
+        stored = with_search_ids(batch, "baskets")
         packed = read_packed(spark, index, _version(spark, index, out, batch_id))
         log_changes(stored.select("cart_id", "query_id"), f"{out}/detections", batch_id)
         log_changes(cart_items(stored, packed, payload, accept), f"{out}/items", batch_id)

@@ -113,8 +113,8 @@ def self_neighbours_cells(spark, sf):
 
 def _items(spark, sf):
     # Stored once, as the vectors of a real run would be.
-    asked = materialize(baskets(spark, sf), "baskets")
-    return asked, checkout.cart_items(asked.filter("query_id IS NOT NULL"), index_vectors(spark, sf), view(spark, sf, "payload"))
+    asked = checkout.with_search_ids(baskets(spark, sf), "baskets")
+    return asked, checkout.cart_items(asked, index_vectors(spark, sf), view(spark, sf, "payload"))
 
 
 def cart_checkout(spark, sf):

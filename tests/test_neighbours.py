@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from shelfspark.operators import checkout, neighbours
 
 
@@ -130,3 +132,18 @@ def test_cart_messages_prices_and_separate_items(spark):
     assert (quantities.quantity, quantities.amount) == (2, 5.0)
     page = checkout.cart_pages(items).filter("cart_id = 1").first()
     assert [i.sku for i in page["items"]] == ["s", "s"]
+
+
+def test_detections_of_one_id_stay_apart(spark):
+    """Ids that repeat, within a cart or between two, and ids of another type."""
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "point_id bigint, vector array<float>")
+    payload = index.select("point_id", F.lit("n").alias("name"), F.lit(1.0).alias("price"), F.lit("s").alias("sku"), F.lit("p").alias("platform"))
+    rows = [(1, 7, [1.0, 0.1]), (2, 7, [0.1, 1.0]), (2, 7, [1.0, 0.0]), (2, 8, None), (3, None, [1.0, 0.0]), (3, 9, [-1.0, -1.0])]
+    asked = spark.createDataFrame(rows, "cart_id bigint, query_id bigint, vector array<float>").repartition(3)
+    for frame in (asked, checkout.with_search_ids(asked)):
+        items = checkout.cart_items(frame, index, payload)
+        assert items.columns[:4] == ["query_id", "cart_id", "point_id", "score"] and "search_id" not in items.columns
+        assert sorted((r.cart_id, r.query_id, r.point_id) for r in items.collect()) == [(1, 7, 1), (2, 7, 1), (2, 7, 2)]
+        assert {r.cart_id: (r.n_detections, r.n_items) for r in checkout.carts(frame, items).collect()} == {1: (1, 1), 2: (3, 2), 3: (1, 0)}
+    named = checkout.cart_items(asked.withColumn("query_id", F.concat(F.lit("q"), "query_id")), index, payload)
+    assert sorted((r.cart_id, r.query_id) for r in named.collect()) == [(1, "q7"), (2, "q7"), (2, "q7")]
