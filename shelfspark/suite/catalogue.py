@@ -8,7 +8,7 @@ from shelfspark.functions import ids, text
 from shelfspark.operators import clean, dedupe, integrate, matching, ranking, reports, upsert
 from shelfspark.operators.images import decode_mask
 from shelfspark.plans.collection import collect, folder_documents as taken_documents, folder_report as taken_report, ingest_folder
-from shelfspark.session import scratch_path
+from shelfspark.session import materialize, scratch_path
 from shelfspark.sinks import keyed_table, tables
 from shelfspark.sinks.files import write_files
 from shelfspark.sources import documents, images as image_sources, pages
@@ -425,13 +425,14 @@ def trial_rows(spark, sf):
 
 
 def spread_collection(spark, sf):
-    """A stored collection read back over sixteen partitions, of which each has rows, and none many more than the others."""
+    """A stored collection read back over sixteen partitions, row by row; ``spread`` where each has rows, and none many more than the others."""
     path = scratch_path(spark, "collection")
     table(spark, sf, "customer").write.parquet(path)
-    spread = documents.read_collection(spark, path, exclude=("c_acctbal",), partitions=16).withColumn("p", F.spark_partition_id())
-    held = spread.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
-    total = held.agg(F.count(F.lit(1)).alias("partitions"), F.sum("n").alias("n_rows"), F.sum("keys").alias("keys"), F.max("n").alias("most"))
-    return total.select("partitions", "n_rows", "keys", (F.col("most") * 8 <= F.col("n_rows")).alias("spread"))
+    spread = documents.read_collection(spark, path, exclude=("c_acctbal",), partitions=16)
+    placed = materialize(spread.withColumn("p", F.spark_partition_id()), "spread")
+    held = placed.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    even = held.agg(((F.count(F.lit(1)) == 16) & (F.max("n") * 8 <= F.sum("n"))).alias("spread"))
+    return placed.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").crossJoin(F.broadcast(even))
 
 
 def counted_rows(spark, sf):
@@ -569,7 +570,7 @@ ORACLE = {
     "document_files": """SELECT s_suppkey || '.json' AS source_file, s_suppkey::varchar AS id, s_name AS name, round(s_acctbal, 2)::varchar AS price
         FROM supplier WHERE s_suppkey % 7 <> 3 AND s_suppkey % 11 <> 5""",
     "trial_rows": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1000",
-    "spread_collection": "SELECT 16 AS partitions, count(*) AS n_rows, sum(c_custkey)::bigint AS keys, true AS spread FROM customer",
+    "spread_collection": "SELECT c_custkey, c_name, c_nationkey, c_mktsegment, true AS spread FROM customer",
     "broken_files": "SELECT s_suppkey || '.json' AS source_file FROM supplier WHERE s_suppkey % 7 = 3 AND s_suppkey % 11 <> 5",
     "historic_files": "SELECT s_suppkey::varchar AS product_id, 'root/N' || s_nationkey AS primary_category_path FROM supplier WHERE s_suppkey % 7 <> 3 AND s_suppkey % 11 <> 5",
     "file_listing": """SELECT s_suppkey || '.json' AS file_name, strlen(CASE WHEN s_suppkey % 7 = 3 THEN '{broken' ELSE '{"id":' || s_suppkey || ',"name":"' || s_name ||

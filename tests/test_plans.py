@@ -63,6 +63,17 @@ def test_trial_limit_and_listing_ids(spark):
     assert documents.with_listing_id(spark.range(3)).count() == 2
 
 
+def test_spread_rows_come_back_one_by_one(spark, tmp_path):
+    """Every row of the collection is read back, copies and nulls too, and says whether the partitions are even."""
+    from shelfspark.suite.catalogue import spread_collection
+    rows = [(k // 2 if k % 9 else None, f"c{k}", k % 25, float(k), "M") for k in range(400)]
+    schema = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "customer.parquet"))
+    found = spread_collection(spark, str(tmp_path))
+    assert found.columns == ["c_custkey", "c_name", "c_nationkey", "c_mktsegment", "spread"]
+    assert sorted(found.collect(), key=lambda r: int(r[1][1:])) == [(*r[:3], r[4], True) for r in rows]
+
+
 def test_dimensions(spark):
     assert dimensions.root_categories(spark).count() == 15
     assert dimensions.keyword_dimension(spark, {"1": ["a", "b"]}).first().keywords == ["a", "b"]
