@@ -11,6 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+#: Spark puts about 32 small files in a task; folders of very many are listed, or read with their contents, by so many tasks at most.
+LISTING_TASKS, CONTENT_TASKS = 200, 1000
+
 
 def located(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI or of an absolute path."""
@@ -22,7 +25,11 @@ def write_files(df: DataFrame, folder: str, name: str, content: str) -> int:
 
     A file gets its name when it is whole, so attempts that were lost leave no half files, and one that runs again writes the same.
     """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     wanted = df.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content")).filter("name IS NOT NULL AND content IS NOT NULL")
+    # Dealt by number: a table of few row groups would have its files written by few tasks, one after the other.
+    wanted = wanted.repartition(tasks, F.xxhash64("name"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = located(folder)

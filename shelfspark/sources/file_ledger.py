@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.session import materialize
-from shelfspark.sinks.files import with_file_bytes
+from shelfspark.sinks.files import LISTING_TASKS, with_file_bytes
 from shelfspark.sinks.tables import exists
 
-#: Bytes of files that one task reads, about, and what opening a file counts for.
-TASK_BYTES, OPEN_BYTES = 128 << 20, 4 << 20
+#: Bytes of files that one task reads, about, and what opening a file counts for: 512 small files a task.
+TASK_BYTES, OPEN_BYTES = 2 << 30, 4 << 20
 
 _KEY = ["file_name", "length", "modified"]
 _LEDGER = "file_name string, length bigint, modified timestamp, run bigint"
@@ -22,7 +22,8 @@ _LEDGER = "file_name string, length bigint, modified timestamp, run bigint"
 def listed(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """(file_name, length, modified, uri) of the files of a folder, without those below it; contents are not read, and files without any are not listed."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", F.col("modificationTime").alias("modified"), F.col("path").alias("uri"))
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", F.col("modificationTime").alias("modified"), F.col("path").alias("uri"))
+    return named.coalesce(LISTING_TASKS)
 
 
 def pending(files: DataFrame, ledger: str, run: int) -> DataFrame:

@@ -8,17 +8,17 @@ from shelfspark.functions.text import normalize_path
 from shelfspark.operators.images import from_image_source
 from shelfspark.operators.matching import join_on_path, spread_nulls
 from shelfspark.session import materialize
-from shelfspark.sinks.files import with_file_bytes
+from shelfspark.sinks.files import CONTENT_TASKS, LISTING_TASKS, with_file_bytes
 
-#: Bytes of files that one task reads, about.
-TASK_BYTES = 256 << 20
+#: Bytes of files that one task reads, about, and what opening a file counts for: 1024 small files a task.
+TASK_BYTES, OPEN_BYTES = 256 << 20, 256 << 10
 
 
 def read_content(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``(path, content)`` of the files below ``path``: one distributed listing and read, paths relative to it."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
              .load(path))
-    return files.select(_relative(path).alias("path"), "content")
+    return files.select(_relative(path).alias("path"), "content").coalesce(CONTENT_TASKS)
 
 
 def _relative(path: str) -> Column:
@@ -31,19 +31,20 @@ def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``(path, uri, length)`` of the files below ``path``, paths relative to it. Contents are not read; files without any are not listed."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
              .load(path).select("path", "length"))
-    return files.select(_relative(path).alias("path"), F.col("path").alias("uri"), "length")
+    return files.select(_relative(path).alias("path"), F.col("path").alias("uri"), "length").coalesce(LISTING_TASKS)
 
 
-def with_stored_bytes(df: DataFrame, files: DataFrame, path_column: str = "image_path", task_bytes: int = TASK_BYTES) -> DataFrame:
+def with_stored_bytes(df: DataFrame, files: DataFrame, path_column: str = "image_path", task_bytes: int = TASK_BYTES,
+                      open_bytes: int = OPEN_BYTES) -> DataFrame:
     """Add ``image_data``: the bytes of the file at the row's path, null where there is none; ``files`` is a :func:`manifest`.
 
-    Rows meet the manifest first, then tasks are dealt by the lengths of the files they want, and each reads its own: what nobody wants is
+    Rows meet the manifest first, then tasks are dealt by the lengths and number of the files they want, and each reads its own: what nobody wants is
     not read, and no byte is shuffled.
     """
     known = files.select(normalize_path(F.col("path")).alias("_path"), F.col("uri").alias("_uri"), F.col("length").alias("_length"))
     found = df.withColumn("_path", spread_nulls(normalize_path(F.col(path_column)))).join(known, "_path", "left").drop("_path")
     planned = materialize(found, "wanted")
-    total = planned.agg(F.sum("_length")).first()[0] or 0
+    total = planned.agg(F.sum(F.col("_length") + open_bytes)).first()[0] or 0
     dealt = planned.repartition(max(1, -(-total // task_bytes)), F.col("_uri"), F.monotonically_increasing_id())
     return with_file_bytes(dealt, "_uri", "image_data").drop("_uri", "_length")
 

@@ -404,6 +404,34 @@ def test_small_files_share_tasks(spark, tmp_path):
     assert file_ledger.texts(files.limit(0)).count() == 0
 
 
+def test_very_many_small_files_ask_for_few_tasks(spark, tmp_path, monkeypatch):
+    """Rows of one partition are written by several tasks; listings have a bounded number of them, reads one for many hundred files."""
+    from shelfspark.sinks.files import write_files
+    from shelfspark.sources import file_ledger, images as sources
+    rows = spark.range(60).selectExpr("concat(id, '.json') AS name", "'{}' AS content").coalesce(1)
+    spark.sparkContext.setJobGroup("written", "")
+    assert write_files(rows, str(tmp_path / "d"), "name", "content") == 60
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("", "")
+    stages = [tracker.getStageInfo(stage) for job in tracker.getJobIdsForGroup("written") for stage in tracker.getJobInfo(job).stageIds]
+    assert max(stage.numTasks for stage in stages if stage) >= 4
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a file a task, as Spark would have it
+    try:
+        for module, name in ((file_ledger, "LISTING_TASKS"), (sources, "LISTING_TASKS"), (sources, "CONTENT_TASKS")):
+            monkeypatch.setattr(module, name, 3)
+        for found in (file_ledger.listed(spark, str(tmp_path / "d")), sources.manifest(spark, str(tmp_path / "d")), sources.read_content(spark, str(tmp_path / "d"))):
+            assert found.withColumn("p", F.spark_partition_id()).agg(F.count("p"), F.countDistinct("p")).first() == (60, 3)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    files = file_ledger.listed(spark, str(tmp_path / "d")).crossJoin(spark.range(20).select())
+    assert file_ledger.texts(files).select(F.spark_partition_id()).distinct().count() == 3
+    # Empty or tiny files are no reason to read a million of them in one task.
+    wanted = spark.range(60).selectExpr("concat('d/', id, '.json') AS image_path")
+    stored = sources.with_stored_bytes(wanted, sources.manifest(spark, str(tmp_path)), open_bytes=64 << 20)
+    assert stored.withColumn("p", F.spark_partition_id()).filter("image_data = cast('{}' AS binary)").agg(F.count("p"), F.countDistinct("p") > 4).first() == (60, True)
+
+
 def test_keyed_tables_touch_their_buckets_only(spark, tmp_path):
     """A run neither reads nor writes buckets its keys do not fall into, a lost or repeated run changes nothing, new columns are added."""
     from shelfspark.sinks import keyed_table
