@@ -30,8 +30,11 @@ from shelfspark.session import materialize
 SCORE_DECIMALS = 9
 #: Packed rows, shards of a cell and parts of its queries, in bytes of float32.
 BLOCK_BYTES = 256 * 1024
-SHARD_BYTES = 64 * 1024 * 1024
-PART_BYTES = 32 * 1024 * 1024
+SHARD_BYTES = 32 * 1024 * 1024
+PART_BYTES = 16 * 1024 * 1024
+#: What a task holds of the blocks it packs, and of the gaps between queries and cells, in bytes.
+HELD_BYTES = 32 * 1024 * 1024
+GAP_BYTES = 16 * 1024 * 1024
 #: Up to this many index vectors per pivot; an index that needs one pivot is not cut in rings either.
 ROWS_PER_PIVOT = 64 * 1024
 MAX_PIVOTS = 256
@@ -104,14 +107,33 @@ class Cells:
         return (nearest * self.rings + np.minimum(ring, self.rings - 1)).astype(np.int32)
 
     def gaps(self, matrix: np.ndarray) -> np.ndarray:
-        """(vectors, cells): by how much the angles of a vector to the references miss the spans of a cell, at least; 0 if they may lie in it."""
-        angles = self.angles(matrix)
+        """(vectors, cells): by how much the angles of a vector to the references miss the spans of a cell, at least; 0 if they may lie in it.
+
+        For few vectors at a time (:meth:`slices`), as it grows with the cells.
+        """
+        angles = self.reference_angles(matrix)
         out = np.zeros((len(matrix), len(self.occupied)))
         for j in range(self.low.shape[1]):
             np.maximum(out, self.low[None, :, j] - angles[:, j, None], out=out)
             np.maximum(out, angles[:, j, None] - self.high[None, :, j], out=out)
         return out
 
+    def reference_angles(self, matrix: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(_unit(matrix) @ self.pivots[:self.low.shape[1]].T, -1.0, 1.0))
+
+    def within(self, angles: np.ndarray, place: int, reach: np.ndarray) -> np.ndarray:
+        """Rows of reference angles whose gap to one cell is within their reach."""
+        low, high = self.low[place], self.high[place]
+        out = np.ones(len(angles), dtype=bool)
+        for j in range(len(low)):
+            out &= np.maximum(low[j] - angles[:, j], angles[:, j] - high[j]) <= reach
+        return np.flatnonzero(out & (reach >= 0))
+
+    def slices(self, n: int) -> Iterator[slice]:
+        """Parts of ``n`` vectors whose gaps are held at once."""
+        step = max(1024, GAP_BYTES // (8 * max(1, len(self.occupied))))
+        return (slice(start, start + step) for start in range(0, n, step))
+
     def by_shard(self) -> dict[int, list[int]]:
         """Places (in ``occupied``) of the cells that each shard holds, or holds a part of."""
         out: dict[int, list[int]] = {}
@@ -214,6 +236,7 @@ def _pack_points(index: DataFrame, cells: Cells) -> DataFrame:
         turn = TaskContext.get().partitionId()
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         sizes: dict[int, int] = {}
+        most = cells.rows_in(HELD_BYTES)
 
         def flush(cell: int) -> pa.RecordBatch:
             nonlocal turn
@@ -239,6 +262,8 @@ def _pack_points(index: DataFrame, cells: Cells) -> DataFrame:
                 sizes[cell] = sizes.get(cell, 0) + int(mine.sum())
                 if sizes[cell] >= block_rows:
                     yield flush(cell)
+            while sum(sizes.values()) > most:
+                yield flush(max(sizes, key=sizes.__getitem__))
         for cell in list(held):
             yield flush(cell)
 
@@ -283,7 +308,8 @@ def _survey_queries(queries: DataFrame, cells: Cells, home: bool) -> dict[int, i
         for batch in batches:
             matrix, rows = _matrix(batch.column("vector"), cells.dim)
             if len(rows):
-                found = [(shard, len(mine)) for shard, mine, _ in route(matrix, _reaches(batch, rows))]
+                reach = _reaches(batch, rows)
+                found = [(shard, len(mine)) for s in cells.slices(len(rows)) for shard, mine, _ in route(matrix[s], reach[s])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([c for c, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int64())], names=["shard", "n"])
 
@@ -302,15 +328,17 @@ def _pack_queries(queries: DataFrame, cells: Cells, home: bool, parts: dict[int,
             matrix, rows = _matrix(batch.column("vector"), cells.dim)
             if not len(rows):
                 continue
-            ids = np.asarray(batch.column("query_id"))[rows]
-            for shard, mine, reach in route(matrix, _reaches(batch, rows)):
-                starts, n_parts = range(0, len(mine), block_rows), parts.get(shard, 1)
-                blocks = [slice(s, s + block_rows) for s in starts]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([shard] * len(blocks), pa.int32()), pa.array([(turn + i) % n_parts for i in range(len(blocks))], pa.int32()),
-                    pa.array([ids[mine[b]] for b in blocks], pa.list_(pa.int64())), pa.array([matrix[mine[b]].tobytes() for b in blocks], pa.binary()),
-                    pa.array([reach[b] for b in blocks], pa.list_(pa.float64()))], names=names)
-                turn += len(blocks)
+            all_ids, all_reach = np.asarray(batch.column("query_id"))[rows], _reaches(batch, rows)
+            for s in cells.slices(len(rows)):
+                ids, some = all_ids[s], matrix[s]
+                for shard, mine, reach in route(some, all_reach[s]):
+                    starts, n_parts = range(0, len(mine), block_rows), parts.get(shard, 1)
+                    blocks = [slice(b, b + block_rows) for b in starts]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([shard] * len(blocks), pa.int32()), pa.array([(turn + i) % n_parts for i in range(len(blocks))], pa.int32()),
+                        pa.array([ids[mine[b]] for b in blocks], pa.list_(pa.int64())), pa.array([some[mine[b]].tobytes() for b in blocks], pa.binary()),
+                        pa.array([reach[b] for b in blocks], pa.list_(pa.float64()))], names=names)
+                    turn += len(blocks)
 
     return queries.select("query_id", "vector", "reach").mapInArrow(pack, _ASKED)
 
@@ -351,23 +379,22 @@ def _score(cells: Cells, k: int, threshold: float | None):
         if len(asked) and len(points):
             query_ids, queries = gather(asked)
             reach = np.asarray(asked.column("reach").combine_chunks().flatten())
-            gaps, queries = cells.gaps(queries), _unit(queries)
+            angles = np.concatenate([cells.reference_angles(queries[q:q + block_rows]) for q in range(0, len(queries), block_rows)])
             top_scores = np.full((len(query_ids), k), -np.inf)
             top_ids = np.full((len(query_ids), k), np.iinfo(np.int64).max)
             blocks = np.asarray(points.column("cell").combine_chunks())
             for cell in np.unique(blocks).tolist():
-                own = np.flatnonzero(gaps[:, np.searchsorted(cells.occupied, cell)] <= reach + _SLACK)
+                own = cells.within(angles, int(np.searchsorted(cells.occupied, cell)), reach + _SLACK)
                 if not len(own):
                     continue
                 point_ids, vectors = gather(points.filter(pa.array(blocks == cell)))
                 order = point_ids.argsort(kind="stable")
-                point_ids, vectors = point_ids[order], vectors[order]
                 for p in range(0, len(point_ids), 4 * block_rows):
-                    ids = point_ids[p:p + 4 * block_rows]
-                    columns = _unit(vectors[p:p + 4 * block_rows]).T
+                    some = order[p:p + 4 * block_rows]
+                    ids, columns = point_ids[some], _unit(vectors[some]).T
                     for q in range(0, len(own), block_rows):
                         rows = own[q:q + block_rows]
-                        found = queries[rows] @ columns
+                        found = _unit(queries[rows]) @ columns
                         # Rounded while scaled: copies tie exactly, in whichever block they lie.
                         np.rint(np.multiply(found, _SCALE, out=found), out=found)
                         if threshold is not None:
@@ -475,9 +502,10 @@ def coverage(queries: DataFrame, index: PackedIndex, k: int = 3, threshold: floa
             matrix, rows = _matrix(batch.column("vector"), cells.dim)
             if len(rows):
                 reach = _reaches(batch, rows)
-                met = (cells.gaps(matrix) <= reach[:, None] + _SLACK) @ cells.counts
-                copies = sum(len(mine) for _, mine, _ in route(matrix, reach))
-                yield pa.RecordBatch.from_arrays([pa.array([len(rows)]), pa.array([int(met.sum())]), pa.array([copies])], names=["n", "met", "copies"])
+                for s in cells.slices(len(rows)):
+                    met = (cells.gaps(matrix[s]) <= reach[s, None] + _SLACK) @ cells.counts
+                    copies = sum(len(mine) for _, mine, _ in route(matrix[s], reach[s]))
+                    yield pa.RecordBatch.from_arrays([pa.array([len(matrix[s])]), pa.array([int(met.sum())]), pa.array([copies])], names=["n", "met", "copies"])
 
     total = asked.select("vector", "reach").mapInArrow(measure, "n bigint, met bigint, copies bigint").agg(*[F.sum(c).alias(c) for c in ("n", "met", "copies")]).first()
     return {"share": total.met / (total.n * int(cells.counts.sum())), "copies": total.copies / total.n, "shards": int((cells.first + cells.shards).max())}

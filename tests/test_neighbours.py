@@ -1,5 +1,7 @@
 """The k-NN join against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -147,3 +149,27 @@ def test_detections_of_one_id_stay_apart(spark):
         assert {r.cart_id: (r.n_detections, r.n_items) for r in checkout.carts(frame, items).collect()} == {1: (1, 1), 2: (3, 2), 3: (1, 0)}
     named = checkout.cart_items(asked.withColumn("query_id", F.concat(F.lit("q"), "query_id")), index, payload)
     assert sorted((r.cart_id, r.query_id) for r in named.collect()) == [(1, "q7"), (2, "q7"), (2, "q7")]
+
+
+def test_memory_does_not_grow_with_cells_times_queries():
+    """A group of many queries holds neither a number for each pair of query and cell nor its vectors in double."""
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    dim, n_cells, n = 8, 3000, 20_000
+    wide = np.ones((n_cells, 16))
+    one = np.ones(n_cells, dtype=np.int64)
+    cells = neighbours.Cells(neighbours._unit(rng.normal(size=(250, dim))), 12, np.arange(n_cells), 0 * wide, math.pi * wide, one, 0 * one, one)
+    queries, vectors = (rng.normal(size=(m, dim)).astype(np.float32) for m in (n, 40))
+    asked = pa.table({"ids": pa.array([np.arange(n)]), "vectors": pa.array([queries.tobytes()], pa.binary()), "reach": pa.array([np.full(n, 4.0)])})
+    points = pa.table({"cell": pa.array([5, 2999], pa.int32()), "ids": pa.array([np.arange(25, 40), np.arange(25)]),
+                       "vectors": pa.array([vectors[25:].tobytes(), vectors[:25].tobytes()], pa.binary())})
+    tracemalloc.start()
+    found = neighbours._score(cells, 2, None)(asked, points)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    scores = np.rint(neighbours._unit(queries) @ neighbours._unit(vectors).T * 1e9)
+    assert np.array_equal(np.asarray(found["point_id"]).reshape(n, 2), np.argsort(-scores, axis=1, kind="stable")[:, :2])
+    assert peak < 64 << 20
+    assert max(s.stop - s.start for s in cells.slices(n)) * n_cells * 8 <= 2 * neighbours.GAP_BYTES
