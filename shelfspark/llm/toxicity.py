@@ -2,9 +2,10 @@
 
 Words are runs of letters and digits, lower-cased. A word's embedding is the sum of the rows its hash and the hashes of its
 first 4, 5 and 6 bytes point to, so that inflected and made-up forms share rows. Filters of several widths slide over the words; each
-keeps its largest answer over the whole text (max pooling), and a logistic layer turns those into a score. Everything is
-trained in numpy on a bounded sample of labelled documents; decision thresholds are calibrated by language on a part
-of the sample that training has not seen.
+keeps its largest answer over the whole text (max pooling), and a logistic layer turns those into a score. The log-odds
+that the network starts from are counted over all labelled documents outside the held-out fold. Its gradient steps run over all of them too, in slices side
+by side: each epoch starts every slice from the same weights, and the steps of the slices are averaged. Decision thresholds are calibrated by
+language on a part of the labelled documents that training has not seen.
 
 Defined cases: a null or wordless text pools to zeros and gets the score of the bias alone; repeated documents get equal scores; a label
 that is null is ignored, and a document labelled both ways counts as toxic; with no label of one class, the score is the
@@ -13,6 +14,7 @@ smoothed share of toxic labels; an empty table gives an empty table. Input colum
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,9 +24,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from shelfspark.llm.common import PIECE_BYTES, fresh, text_or_empty
+from shelfspark.session import materialize
 
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5, 6)
+#: Documents of a slice of the training, about; with more than ``SLICES`` of them, slices grow instead.
+SLICE_DOCUMENTS, SLICES = 4000, 64
+#: Words whose answers are held at once in training, and steps of a score between which thresholds may lie.
+BLOCK_WORDS, SCORE_STEPS = 1 << 16, 10_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
@@ -142,85 +149,206 @@ def score_text(model: ToxicityModel, hasher: WordHasher, text: str | None) -> fl
     return float(1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30))))
 
 
-def train(texts: list[str], labels: np.ndarray, *, buckets: int = 1 << 16, dim: int = 8, n_filters: int = 6, epochs: int = 2,
-          rate: float = 0.05, least_documents: int = 3, seed: int = 7) -> ToxicityModel:
-    """Weights from labelled texts.
+@dataclass
+class _Descent:
+    """A model under training and its Adagrad sums; ``known`` are the embedding rows that may move."""
+
+    model: ToxicityModel
+    known: np.ndarray
+    balance: tuple[float, float]
+    g_embedding: np.ndarray
+    g_filters: list[np.ndarray]
+    g_weights: np.ndarray
+    g_bias: float = 1e-1
+
+    def dense(self) -> list[np.ndarray]:
+        """Everything but the embedding, in a fixed order."""
+        return [*self.model.filters, self.model.weights, np.array([self.model.bias]), *self.g_filters, self.g_weights, np.array([self.g_bias])]
+
+    def add(self, dense: np.ndarray, rows: np.ndarray, steps: np.ndarray) -> None:
+        """Move by the steps of :meth:`dense`, flat, and of embedding rows, whose last column is their Adagrad sum."""
+        at, moved = 0, []
+        for part in self.dense():
+            moved.append((part + dense[at:at + part.size].reshape(part.shape)).astype(part.dtype))
+            at += part.size
+        n = len(WIDTHS)
+        self.model.filters, self.model.weights, self.model.bias = moved[:n], moved[n], float(moved[n + 1][0])
+        self.g_filters, self.g_weights, self.g_bias = moved[n + 2:2 * n + 2], moved[2 * n + 2], float(moved[2 * n + 3][0])
+        self.model.embedding[rows] += steps[:, :-1]
+        self.g_embedding[rows, 0] += steps[:, -1]
+
+
+def _features(hasher: WordHasher, text: str | None) -> np.ndarray:
+    return np.concatenate([*hasher.pieces(text), np.full((max(WIDTHS) - 1, 1 + len(PREFIXES)), hasher.buckets, dtype=np.int32)])
+
+
+def _start(seen: np.ndarray, toxic: float, clean: float, rng: np.random.Generator, buckets: int, dim: int, n_filters: int, least_documents: int) -> _Descent:
+    """The network before its first step. ``seen`` (2, buckets + 1) counts the clean and the toxic documents that hold a bucket.
 
     The first embedding axis starts as the shrunk log-odds of a bucket's document counts and the first filter of each width reads it;
     everything else starts small and random. Rows seen in fewer than ``least_documents`` texts stay zero, so that words
-    unknown to the sample say nothing.
+    unknown to the labelled documents say nothing.
     """
-    rng = np.random.default_rng(seed)
-    labels = np.asarray(labels, dtype=np.float64)
-    toxic, clean = labels.sum(), len(labels) - labels.sum()
     embedding = np.zeros((buckets + 1, dim), dtype=np.float32)
     filters = [(rng.normal(size=(w, dim, n_filters)) * 0.3).astype(np.float32) for w in WIDTHS]
     model = ToxicityModel(embedding, filters, np.zeros(len(WIDTHS) * n_filters), float(np.log((toxic + 0.5) / (clean + 0.5))))
-    if not toxic or not clean:
-        return model
+    known = np.zeros(buckets + 1, dtype=bool)
+    balance = 1.0, 1.0
+    if toxic and clean:
+        total = seen.sum(axis=0)
+        odds = np.log((seen[1] + 0.5) / (toxic + 1)) - np.log((seen[0] + 0.5) / (clean + 1))
+        known = total >= least_documents
+        known[buckets] = False
+        embedding[:, 0] = np.where(known, 0.5 * odds * total / (total + 3), 0)
+        embedding[:, 1:] = np.where(known[:, None], rng.normal(size=(buckets + 1, dim - 1)) * 0.02, 0)
+        for w in filters:
+            w[:, :, 0] *= 0.1
+            w[:, 0, 0] = 0.5 / len(w)
+        model.weights[::n_filters] = 1.0
+        balance = 0.5 * (toxic + clean) / clean, 0.5 * (toxic + clean) / toxic
+    return _Descent(model, known, balance, np.full((buckets + 1, 1), 1e-2, dtype=np.float32),
+                    [np.full_like(w, 1e-1) for w in filters], np.full_like(model.weights, 1e-1))
+
+
+def _winners(model: ToxicityModel, ids: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Largest answer of each filter over the first ``n`` words and, for each width, the windows that gave them; the first of equal ones."""
+    best, where, reach = None, [], max(WIDTHS) - 1
+    for start in range(0, n, BLOCK_WORDS):
+        stop = min(n, start + BLOCK_WORDS)
+        answers = _answers(_embed(model.embedding, ids[start:stop + reach]), model.filters, stop - start)
+        now, at = [a.max(axis=1) for a in answers], [a.argmax(axis=1) + start for a in answers]
+        if best is not None:
+            at = [np.where(m > b, p, w) for m, b, p, w in zip(now, best, at, where, strict=True)]
+            now = [np.maximum(m, b) for m, b in zip(now, best, strict=True)]
+        best, where = now, at
+    return np.concatenate(best), where
+
+
+def _descend(state: _Descent, ids: np.ndarray, label: int, rate: float) -> np.ndarray:
+    """One Adagrad step for a document; only the winning window of a filter has a gradient. Returns the embedding rows moved."""
+    model, known = state.model, state.known
+    n = len(ids) - (max(WIDTHS) - 1)
+    if n < 1:
+        return np.empty(0, np.int32)
+    pooled, where = _winners(model, ids, n)
+    pooled = np.tanh(pooled)
+    error = state.balance[label] * (1 / (1 + np.exp(-np.clip(model.bias + pooled @ model.weights, -30, 30))) - label)
+    if abs(error) < 1e-3:
+        return np.empty(0, np.int32)
+    back = error * model.weights * (1 - pooled ** 2)
+    step = error * pooled + 1e-4 * model.weights
+    state.g_weights += step ** 2
+    model.weights -= rate * step / np.sqrt(state.g_weights)
+    state.g_bias += error ** 2
+    model.bias -= rate * error / np.sqrt(state.g_bias)
+    moved = []
+    read = [[_embed(model.embedding, ids[where[j] + k]) for k in range(len(w))] for j, w in enumerate(model.filters)]
+    for j, w in enumerate(model.filters):
+        n_filters = w.shape[2]
+        d = back[j * n_filters:(j + 1) * n_filters].astype(np.float32)
+        for k in range(len(w)):
+            rows = where[j] + k
+            step_e = w[k].T * d[:, None]
+            for row, s in zip(ids[rows], step_e, strict=True):
+                row = row[known[row]]
+                state.g_embedding[row] += (s ** 2).mean()
+                model.embedding[row] -= rate * s / np.sqrt(state.g_embedding[row])
+                moved.append(row)
+            step_w = read[j][k] * d[None, :]
+            state.g_filters[j][k] += step_w ** 2
+            w[k] -= rate * step_w / np.sqrt(state.g_filters[j][k])
+    return np.concatenate(moved)
+
+
+def train(texts: list[str], labels: np.ndarray, *, buckets: int = 1 << 16, dim: int = 8, n_filters: int = 6, epochs: int = 2,
+          rate: float = 0.05, least_documents: int = 3, seed: int = 7) -> ToxicityModel:
+    """Weights from labelled texts in memory; :func:`train_slices` is the same over a table."""
+    rng = np.random.default_rng(seed)
+    labels = np.asarray(labels, dtype=np.int64)
     hasher = WordHasher(buckets)
-    features = [np.concatenate([*hasher.pieces(t), np.full((max(WIDTHS) - 1, 1 + len(PREFIXES)), buckets, dtype=np.int32)]) for t in texts]
+    features = [_features(hasher, t) for t in texts]
     seen = np.zeros((2, buckets + 1))
     for ids, label in zip(features, labels, strict=True):
-        seen[int(label), np.unique(ids)] += 1
-    total = seen.sum(axis=0)
-    odds = np.log((seen[1] + 0.5) / (toxic + 1)) - np.log((seen[0] + 0.5) / (clean + 1))
-    known = total >= least_documents
-    known[buckets] = False
-    embedding[:, 0] = np.where(known, 0.5 * odds * total / (total + 3), 0)
-    embedding[:, 1:] = np.where(known[:, None], rng.normal(size=(buckets + 1, dim - 1)) * 0.02, 0)
-    for w in filters:
-        w[:, :, 0] *= 0.1
-        w[:, 0, 0] = 0.5 / len(w)
-    model.weights[::n_filters] = 1.0
-
-    # Adagrad; only the winning window of a filter has a gradient.
-    g_embedding = np.full((buckets + 1, 1), 1e-2, dtype=np.float32)
-    g_filters = [np.full_like(w, 1e-1) for w in filters]
-    g_weights, g_bias = np.full_like(model.weights, 1e-1), 1e-1
-    balance = np.where(labels == 1, 0.5 * len(labels) / toxic, 0.5 * len(labels) / clean)
-    for _ in range(epochs):
+        seen[label, np.unique(ids)] += 1
+    toxic = float(labels.sum())
+    state = _start(seen, toxic, len(labels) - toxic, rng, buckets, dim, n_filters, least_documents)
+    for _ in range(epochs if 0 < toxic < len(labels) else 0):
         for i in rng.permutation(len(features)):
-            ids = features[i]
-            n = len(ids) - (max(WIDTHS) - 1)
-            if n < 1:
-                continue
-            x = _embed(embedding, ids)
-            answers = _answers(x, filters, n)
-            where = [a.argmax(axis=1) for a in answers]
-            pooled = np.tanh(np.concatenate([a.max(axis=1) for a in answers]))
-            error = balance[i] * (1 / (1 + np.exp(-np.clip(model.bias + pooled @ model.weights, -30, 30))) - labels[i])
-            if abs(error) < 1e-3:
-                continue
-            back = error * model.weights * (1 - pooled ** 2)
-            step = error * pooled + 1e-4 * model.weights
-            g_weights += step ** 2
-            model.weights -= rate * step / np.sqrt(g_weights)
-            g_bias += error ** 2
-            model.bias -= rate * error / np.sqrt(g_bias)
-            for j, w in enumerate(filters):
-                d = back[j * n_filters:(j + 1) * n_filters].astype(np.float32)
-                for k in range(len(w)):
-                    rows = where[j] + k
-                    step_e = w[k].T * d[:, None]
-                    for row, s in zip(ids[rows], step_e, strict=True):
-                        row = row[known[row]]
-                        g_embedding[row] += (s ** 2).mean()
-                        embedding[row] -= rate * s / np.sqrt(g_embedding[row])
-                    step_w = x[:, rows] * d[None, :]
-                    g_filters[j][k] += step_w ** 2
-                    w[k] -= rate * step_w / np.sqrt(g_filters[j][k])
-    return model
+            _descend(state, features[i], int(labels[i]), rate)
+    return state.model
+
+
+def _bucket_counts(rows: DataFrame, buckets: int) -> np.ndarray:
+    """(2, buckets + 1): the clean and the toxic documents that hold a bucket, over all rows; as many numbers come back."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, seen = WordHasher(buckets), np.zeros((2, buckets + 1), dtype=np.int64)
+        for batch in batches:
+            for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                seen[label, np.unique(_features(hasher, text.as_py()))] += 1
+        held = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(seen[0, held]), pa.array(seen[1, held])], names=["row", "clean", "toxic"])
+
+    counted = rows.select("text", "toxic").mapInArrow(count, "row int, clean bigint, toxic bigint")
+    found = counted.groupBy("row").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    seen = np.zeros((2, buckets + 1))
+    seen[:, found["row"].to_numpy(dtype=np.int64)] = found[["clean", "toxic"]].to_numpy(dtype=np.float64).T
+    return seen
+
 
+def train_slices(rows: DataFrame, *, buckets: int = 1 << 16, dim: int = 8, n_filters: int = 6, epochs: int = 2,
+                 rate: float = 0.05, least_documents: int = 3, seed: int = 7) -> ToxicityModel:
+    """Weights from all rows (_id, _h, text, toxic).
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, default: float, least: float = 0.5) -> float:
-    """The cut with the fewest errors, in the middle of the widest gap of scores that has them; never below ``least``."""
-    order = np.argsort(scores, kind="stable")
-    s, y = scores[order], labels[order]
-    errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
-    ends = np.concatenate([[0.0], s, [1.0]])
-    cuts = (ends[:-1] + ends[1:]) / 2
-    gaps = ends[1:] - ends[:-1]
+    Documents are dealt into slices by the hash ``_h``, and ordered in them by a hash of epoch and id, so the model does not depend on how the table is laid
+    out. In an epoch each slice takes a step per document from where all of them started; what comes back is the mean step of each number over
+    the slices that moved it, of which there are as many as the model has numbers.
+    """
+    number = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    toxic, clean = (float(number.get(label, 0)) for label in (1, 0))
+    learns = bool(toxic and clean)
+    seen = _bucket_counts(rows, buckets) if learns else np.zeros((2, buckets + 1))
+    state = _start(seen, toxic, clean, np.random.default_rng(seed), buckets, dim, n_filters, least_documents)
+    slices = min(SLICES, -(-int(toxic + clean) // SLICE_DOCUMENTS))
+    columns = [f"d{i}" for i in range(dim + 1)]
+    context = rows.sparkSession.sparkContext
+    for epoch in range(epochs if learns else 0):
+        held = context.broadcast(state)
+
+        def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shared = held.value
+            own, hasher, moved = copy.deepcopy(shared), WordHasher(buckets), np.zeros(buckets + 1, dtype=bool)
+            n = 0
+            for batch in batches:
+                for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                    moved[_descend(own, _features(hasher, text.as_py()), label, rate)] = True
+                    n += 1
+            if not n:
+                return
+            places = np.flatnonzero(moved)
+            steps = np.hstack([own.model.embedding[places].astype(np.float64) - shared.model.embedding[places],
+                               own.g_embedding[places].astype(np.float64) - shared.g_embedding[places]])
+            dense = np.concatenate([(np.asarray(a, dtype=np.float64) - b).ravel() for a, b in zip(own.dense(), shared.dense(), strict=True)])
+            table = np.vstack([steps, np.hstack([dense[:, None], np.zeros((len(dense), dim))])])
+            at = np.concatenate([places, buckets + 1 + np.arange(len(dense))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(np.ascontiguousarray(c)) for c in table.T]], names=["row", *columns])
+
+        dealt = rows.repartition(slices, "_h").sortWithinPartitions(F.xxhash64(F.lit(epoch), "_id"), "_id").select("text", "toxic")
+        steps = dealt.mapInArrow(descend, "row int, " + ", ".join(f"{c} double" for c in columns))
+        found = steps.groupBy("row").agg(*[F.avg(c).alias(c) for c in columns]).toPandas().sort_values("row")
+        embedded = found["row"] <= buckets
+        state.add(found.loc[~embedded, "d0"].to_numpy(), found.loc[embedded, "row"].to_numpy(), found.loc[embedded, columns].to_numpy())
+        held.unpersist()
+    return state.model
+
+
+def best_threshold(low: np.ndarray, high: np.ndarray, toxic: np.ndarray, clean: np.ndarray, default: float, least: float = 0.5) -> float:
+    """The cut with the fewest errors, in the middle of the widest gap of scores that has them; never below ``least``.
+
+    Scores come in ascending steps: the least and greatest of each, and its toxic and clean documents. A cut lies between steps.
+    """
+    errors = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
+    below, above = np.concatenate([[0.0], high]), np.concatenate([low, [1.0]])
+    cuts, gaps = (below + above) / 2, above - below
     open_gap = gaps > 0
     if not open_gap.any():
         return default
@@ -229,15 +357,17 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, default: float, least
     return float(max(least, cuts[among[np.argmax(gaps[among])]]))
 
 
-def calibrate(model: ToxicityModel, texts: list[str], labels: np.ndarray, langs: list[str | None], least_per_class: int = 15) -> None:
-    """Set a threshold for each language with enough labels of both classes; others keep the default."""
-    hasher = WordHasher(model.buckets)
-    scores = np.array([score_text(model, hasher, t) for t in texts])
-    langs_, labels = np.array([x or "" for x in langs], dtype=object), np.asarray(labels, dtype=np.int64)
-    for lang in sorted(set(langs_)):
-        own = langs_ == lang
-        if lang and min(labels[own].sum(), (1 - labels[own]).sum()) >= least_per_class:
-            model.thresholds[lang] = best_threshold(scores[own], labels[own], model.default_threshold)
+def calibrate(model: ToxicityModel, rows: DataFrame, least_per_class: int = 15) -> None:
+    """Set a threshold for each language with enough labels of both classes, from all rows (text, lang, toxic); others keep the default.
+
+    Scores are counted in ``SCORE_STEPS`` steps, so no more numbers than that come back for a language.
+    """
+    scored = score(rows.select("text", "lang", "toxic"), model, "_score")
+    steps = (scored.filter("lang <> ''").groupBy("lang", F.floor(F.col("_score") * SCORE_STEPS).alias("step"))
+             .agg(F.min("_score").alias("low"), F.max("_score").alias("high"), F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")))
+    for lang, own in steps.toPandas().sort_values(["lang", "step"]).groupby("lang"):
+        if min(own["toxic"].sum(), own["clean"].sum()) >= least_per_class:
+            model.thresholds[lang] = best_threshold(*[own[c].to_numpy() for c in ("low", "high", "toxic", "clean")], model.default_threshold)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -245,32 +375,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, *, n_toxic: int = 2500, n_clean: int = 3500,
-                    longest: int = 100_000) -> DataFrame:
-    """At most ``n_toxic`` and ``n_clean`` labelled documents outside the held-out fold, of at most ``longest`` characters each.
-
-    They are the first by a hash of the id, so the choice does not depend on how the tables are laid out.
-    """
+def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(_id, text, lang, toxic) of all labelled documents outside the held-out fold, whatever their length."""
     marked = (labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("doc_id")))
-              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = (marked.filter("toxic = 1").orderBy(*order).limit(n_toxic)
-              .unionByName(marked.filter("toxic = 0").orderBy(*order).limit(n_clean))
-              .select(F.col("doc_id").alias("_id"), "toxic"))
-    # Bounded by the two parameters, so it may be broadcast.
+              .groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     return (documents.select(F.col("doc_id").alias("_id"), text_or_empty("text").alias("text"), F.col("lang").cast("string").alias("lang"))
-            .filter(F.length("text") <= longest).join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]))
-
-
-def fit(documents: DataFrame, labels: DataFrame, *, n_toxic: int = 2500, n_clean: int = 3500, longest: int = 100_000,
-        calibration: int = 5, **training) -> ToxicityModel:
-    """Train on the bounded sample; every ``calibration``-th document of it, by hash, only sets the thresholds."""
-    rows = labelled_sample(documents, labels, n_toxic=n_toxic, n_clean=n_clean, longest=longest)
-    rows = rows.withColumn("_h", F.xxhash64(F.lit("fold"), "_id")).toPandas().sort_values("_h", kind="stable")
-    apart = (rows["_h"] % calibration == 0).to_numpy() if len(rows) else np.zeros(0, dtype=bool)
-    fitted, kept = rows[~apart], rows[apart]
-    model = train(fitted["text"].tolist(), fitted["toxic"].to_numpy(), **training)
-    calibrate(model, kept["text"].tolist(), kept["toxic"].to_numpy(), kept["lang"].tolist())
+            .join(marked, "_id").dropDuplicates(["_id"]))
+
+
+def fit(documents: DataFrame, labels: DataFrame, *, calibration: int = 5, **training) -> ToxicityModel:
+    """Train on all labelled documents outside the held-out fold; every ``calibration``-th of them, by hash, only sets the thresholds."""
+    rows = materialize(labelled(documents, labels).withColumn("_h", F.xxhash64(F.lit("fold"), "_id")), "labelled")
+    apart = F.col("_h") % calibration == 0
+    model = train_slices(rows.filter(~apart), **training)
+    calibrate(model, rows.filter(apart))
     return model
 
 

@@ -65,6 +65,29 @@ def test_toxicity_labels_of_the_held_out_fold_are_not_read(spark, toxicity_table
     assert np.array_equal(a.embedding, b.embedding) and a.thresholds == b.thresholds
 
 
+def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
+    """A word that only a few long documents hold counts, and slices side by side come to what one of them comes to."""
+    rows = _labelled(1200, 8)
+    padding = " ".join(["harmless"] * 15_000)
+    rows += [(k, f"{padding} zyxword {padding}" if k % 2 else padding, "en", k % 2) for k in range(5000, 5060)]
+    documents = spark.createDataFrame([r[:3] for r in rows], DOCS + ", lang string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    unseen = [r for r in rows if __import__("zlib").crc32(str(r[0]).encode()) % 3 == 1]
+    for size in (4000, 200):
+        monkeypatch.setattr(toxicity, "SLICE_DOCUMENTS", size)
+        model = toxicity.fit(documents, labels)
+        hasher = toxicity.WordHasher(model.buckets)
+        assert model.embedding[hasher._piece(b"zyxword")[0, 0], 0] > 0.3
+        right = sum((toxicity.score_text(model, hasher, r[1]) >= 0.7) == bool(r[3]) for r in unseen)
+        assert right >= 0.97 * len(unseen)
+
+
+def test_thresholds_from_steps():
+    low, high = np.array([0.1, 0.4, 0.9]), np.array([0.2, 0.6, 0.95])
+    assert toxicity.best_threshold(low, high, np.array([0, 1, 9]), np.array([9, 3, 0]), 0.7) == pytest.approx(0.75)
+    assert toxicity.best_threshold(low, high, np.array([0, 3, 9]), np.array([9, 1, 0]), 0.7) == pytest.approx(0.5)
+
+
 def test_toxicity_without_a_class(spark):
     documents = spark.createDataFrame([(1, "a", "en")], DOCS + ", lang string")
     empty = spark.createDataFrame([], "doc_id long, toxic int")
