@@ -404,9 +404,9 @@ def _score(cells: Cells, k: int, threshold: float | None):
                                 continue
                         new_scores, new_ids = best(found, ids)
                         both = np.hstack([top_scores[rows], new_scores]), np.hstack([top_ids[rows], new_ids])
-                        order = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
-                        top_scores[rows] = np.take_along_axis(both[0], order, axis=1)
-                        top_ids[rows] = np.take_along_axis(both[1], order, axis=1)
+                        merged = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
+                        top_scores[rows] = np.take_along_axis(both[0], merged, axis=1)
+                        top_ids[rows] = np.take_along_axis(both[1], merged, axis=1)
             top_scores /= _SCALE
             keep = top_scores > (-np.inf if threshold is None else threshold)
             result = [np.repeat(query_ids, k).reshape(-1, k)[keep], top_ids[keep], top_scores[keep]]

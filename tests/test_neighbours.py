@@ -81,6 +81,19 @@ def test_searches_prune_and_do_not_multiply(spark, monkeypatch, threshold):
     assert found(neighbours.nearest(asked, packed, 3, threshold)) == brute(points[:60], points, 3, threshold)
 
 
+@pytest.mark.parametrize("threshold", [0.6, None])
+def test_cells_of_many_blocks(spark, monkeypatch, threshold):
+    """A cell's points in a group are scored some blocks at a time, and each of them is."""
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 4 * 8 * 4)
+    rng = np.random.default_rng(4)
+    points, queries = clustered(rng, 300, 8, 5), clustered(rng, 30, 8, 5)
+    for pivots in (1, 3):
+        packed = neighbours.pack_index(frame(spark, points, "point_id"), pivots)
+        assert packed.cells.counts.max() > 2 * 4 * packed.cells.rows_in(neighbours.BLOCK_BYTES)
+        result = neighbours.nearest(frame(spark, queries, "query_id"), packed, 3, threshold)
+        assert found(result) == brute(queries, points, 3, threshold)
+
+
 def test_small_cells_share_shards_and_large_ones_have_several():
     first, number = neighbours._shards_of(np.array([3, 4, 9, 35, 1, 1, 10, 11]), 10)
     assert first.tolist() == [0, 0, 1, 2, 6, 6, 7, 8] and number.tolist() == [1, 1, 1, 4, 1, 1, 1, 2]
