@@ -8,17 +8,19 @@ from shelfspark.functions.text import normalize_path
 from shelfspark.operators.images import from_image_source
 from shelfspark.operators.matching import join_on_path, spread_nulls
 from shelfspark.session import materialize
-from shelfspark.sinks.files import CONTENT_TASKS, LISTING_TASKS, with_file_bytes
+from shelfspark.sinks.files import CONTENT_TASKS, LISTING_TASKS, deal, listing, with_file_bytes
 
 #: Bytes of files that one task reads, about, and what opening a file counts for: 1024 small files a task.
 TASK_BYTES, OPEN_BYTES = 256 << 20, 256 << 10
 
 
 def read_content(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``(path, content)`` of the files below ``path``: one distributed listing and read, paths relative to it."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-             .load(path))
-    return files.select(_relative(path).alias("path"), "content").coalesce(CONTENT_TASKS)
+    """``(path, content)`` of the files below ``path``: one distributed listing and read, paths relative to it.
+
+    The size of the contents does not show in a plan, hence the hint: nothing of them is broadcast, however short the listing.
+    """
+    files = deal(listing(spark, path, pattern, recursive=True), CONTENT_TASKS).select("root", "path")
+    return with_file_bytes(files, "path", "content", root="root").select("path", "content").hint("merge")
 
 
 def _relative(path: str) -> Column:

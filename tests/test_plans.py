@@ -432,6 +432,14 @@ def test_very_many_small_files_ask_for_few_tasks(spark, tmp_path, monkeypatch):
     assert stored.withColumn("p", F.spark_partition_id()).filter("image_data = cast('{}' AS binary)").agg(F.count("p"), F.countDistinct("p") > 4).first() == (60, True)
 
 
+def test_contents_are_not_broadcast(spark, tmp_path):
+    """A listing is short where its files are few, whatever their size."""
+    from shelfspark.sources import images as sources
+    (tmp_path / "a.jpg").write_bytes(b"A")
+    joined = sources.with_image_bytes(spark.range(2).selectExpr("concat(id, '.jpg') AS image_path"), sources.read_content(spark, str(tmp_path)))
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 2
+
+
 def test_keyed_tables_touch_their_buckets_only(spark, tmp_path):
     """A run neither reads nor writes buckets its keys do not fall into, a lost or repeated run changes nothing, new columns are added."""
     from shelfspark.sinks import keyed_table
