@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.session import materialize
-from shelfspark.sinks.files import LISTING_TASKS, with_file_bytes
+from shelfspark.sinks.files import LISTING_TASKS, deal, listing, with_file_bytes
 from shelfspark.sinks.tables import exists
 
 #: Bytes of files that one task reads, about, and what opening a file counts for: 512 small files a task.
@@ -20,10 +20,12 @@ _LEDGER = "file_name string, length bigint, modified timestamp, run bigint"
 
 
 def listed(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
-    """(file_name, length, modified, uri) of the files of a folder, without those below it; contents are not read, and files without any are not listed."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", F.col("modificationTime").alias("modified"), F.col("path").alias("uri"))
-    return named.coalesce(LISTING_TASKS)
+    """(file_name, length, modified, uri) of the files of a folder, without those below it; contents are not read, and files without any are not listed.
+
+    The folder is listed by a task, and the listing stored: the driver of a folder of millions of files holds none of them.
+    """
+    files = deal(listing(spark, folder, pattern), LISTING_TASKS)
+    return files.select(F.col("path").alias("file_name"), "length", "modified", F.concat("root", F.lit("/"), "path").alias("uri"))
 
 
 def pending(files: DataFrame, ledger: str, run: int) -> DataFrame:

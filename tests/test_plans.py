@@ -432,6 +432,37 @@ def test_very_many_small_files_ask_for_few_tasks(spark, tmp_path, monkeypatch):
     assert stored.withColumn("p", F.spark_partition_id()).filter("image_data = cast('{}' AS binary)").agg(F.count("p"), F.countDistinct("p") > 4).first() == (60, True)
 
 
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    """Spark's own file source lists on the driver, which holds each file; tasks list the same files, at any depth and of any name."""
+    from shelfspark.sources import file_ledger, images as sources
+    folder = tmp_path / "d"
+    names = ["a.json", "b c.json", "100%25.json", "x#y.json", "\u00ca.json", "k=1.json", "_k=2.json", "_hidden.json", ".dot.json", "c._COPYING_", "n\nl.json", "t.txt", "empty.json"]
+    for place in (folder, folder / "deep", folder / "deep/er d", folder / "_temporary"):
+        place.mkdir()
+        for name in names:
+            (place / name).write_text("" if name == "empty.json" else f"{place.name}/{name}")
+    (folder / "gone.json").symlink_to(folder / "nothing")
+    (folder / "link.json").symlink_to(folder / "a.json")
+
+    def own(path, recursive):
+        return spark.read.format("binaryFile").option("pathGlobFilter", "*.{json,bin}").option("recursiveFileLookup", recursive).load(path)
+
+    files = file_ledger.listed(spark, f"{folder}", "*.{json,bin}")
+    assert "binaryfile" not in files._jdf.queryExecution().toString().lower()
+    held = sorted(tuple(r) for r in files.select("uri", "length", "modified").collect())
+    assert held == sorted(tuple(r) for r in own(f"{folder}", False).select("path", "length", "modificationTime").collect()) and len(held) == 9
+    assert {r.uri.rsplit("/", 1)[1] for r in files.collect()} == {r.file_name for r in files.collect()}
+    assert file_ledger.listed(spark, f"{folder}/deep*", "a*").count() == file_ledger.listed(spark, f"{folder}/a.js*").count() == 1
+    content = sources.read_content(spark, str(folder), "*.{json,bin}")
+    assert "binaryfile" not in content._jdf.queryExecution().toString().lower()
+    root = f"file:{folder}/"
+    read = sorted((r.path, bytes(r.content)) for r in content.collect())
+    assert read == sorted((r.path.removeprefix(root), bytes(r.content)) for r in own(str(folder), True).collect()) and len(read) == 25
+    for missing in (folder / "none", folder / "none*"):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            file_ledger.listed(spark, str(missing))
+
+
 def test_contents_are_not_broadcast(spark, tmp_path):
     """A listing is short where its files are few, whatever their size."""
     from shelfspark.sources import images as sources
