@@ -46,8 +46,9 @@ def with_stored_bytes(df: DataFrame, files: DataFrame, path_column: str = "image
     known = files.select(normalize_path(F.col("path")).alias("_path"), F.col("uri").alias("_uri"), F.col("length").alias("_length"))
     found = df.withColumn("_path", spread_nulls(normalize_path(F.col(path_column)))).join(known, "_path", "left").drop("_path")
     planned = materialize(found, "wanted")
-    total = planned.agg(F.sum(F.col("_length") + open_bytes)).first()[0] or 0
-    dealt = planned.repartition(max(1, -(-total // task_bytes)), F.col("_uri"), F.monotonically_increasing_id())
+    total, wanted = planned.agg(F.coalesce(F.sum(F.col("_length") + open_bytes), F.lit(0)), F.count("_length")).first()
+    # A task has a file at least, however few bytes it is to have.
+    dealt = planned.repartition(max(1, min(wanted, -(-total // task_bytes))), F.col("_uri"), F.monotonically_increasing_id())
     return with_file_bytes(dealt, "_uri", "image_data").drop("_uri", "_length")
 
 
